@@ -36,10 +36,15 @@ def extract_json_block(reply: Column) -> Column:
     return parse_json_block(json_text(reply))
 
 
-def reply_error(reply: Column, parsed: Column) -> Column:
+def reply_fields(parsed: Column) -> Column:
+    """Top-level fields of a parsed reply as a map; null if it is no object."""
+    return F.try_variant_get(parsed, "$", "map<string,variant>")
+
+
+def reply_error(parsed: Column, fields: Column) -> Column:
     """Why a reply gives no properties; null where it does."""
     return F.when(parsed.isNull(), F.lit("Antwort ist kein JSON")).when(
-        ~F.schema_of_variant(parsed).startswith("OBJECT"), F.lit("Antwort ist kein JSON-Objekt")
+        fields.isNull(), F.lit("Antwort ist kein JSON-Objekt")
     )
 
 
@@ -97,6 +102,7 @@ def coalesce_engine_reply(reply: Column, log: Column) -> Column:
 
 def coerce_list(value: Column) -> Column:
     """Normalised texts of a list, or of a single value; never null."""
+    nothing = F.array().cast("array<string>")
     many = F.transform(
         F.try_variant_get(value, "$", "array<variant>"),
         lambda item: norm_space(scalar_text(item)),
@@ -104,31 +110,29 @@ def coerce_list(value: Column) -> Column:
     one = F.array(norm_space(scalar_text(value)))
     texts = F.when(F.schema_of_variant(value).startswith("ARRAY"), many).otherwise(one)
     kept = F.filter(texts, lambda text: text.isNotNull() & (text != ""))
-    return F.coalesce(kept, F.array().cast("array<string>"))
+    return F.when(value.isNull(), nothing).otherwise(F.coalesce(kept, nothing))
 
 
 def coerce_scalar(value: Column) -> Column:
-    return F.coalesce(norm_space(scalar_text(value)), F.lit(""))
+    text = F.coalesce(norm_space(scalar_text(value)), F.lit(""))
+    return F.when(value.isNull(), F.lit("")).otherwise(text)
 
 
-def coerce_properties(payload: Column) -> Column:
+def coerce_properties(fields: Column) -> Column:
     """Values of exactly the 17 known keys, as (texts, lists); missing ones are
     empty, others dropped. ``property_struct`` gives them their names.
 
-    The object is opened once, as a map, and one lambda serves all keys of a
-    kind, so that the expression stays small.
+    One lambda serves all keys of a kind, so that the expression stays small.
     """
-    fields = F.try_variant_get(payload, "$", "map<string,variant>")
     scalar_keys = [key for key in PROPERTY_KEYS if key not in LIST_KEYS]
-    texts = F.transform(
-        F.array(*[F.lit(key) for key in scalar_keys]),
-        lambda key: coerce_scalar(F.try_element_at(fields, key)),
-    )
-    lists = F.transform(
-        F.array(*[F.lit(key) for key in LIST_KEYS]),
-        lambda key: coerce_list(F.try_element_at(fields, key)),
+
+    def values(keys: list[str]) -> Column:
+        return F.array(*[F.try_element_at(fields, F.lit(key)) for key in keys])
+
+    return F.struct(
+        F.transform(values(scalar_keys), coerce_scalar).alias("texts"),
+        F.transform(values(LIST_KEYS), coerce_list).alias("lists"),
     )
-    return F.struct(texts.alias("texts"), lists.alias("lists"))
 
 
 def property_struct(coerced: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from blattwerk.fixed import LIST_KEYS, PROPERTY_KEYS
 from blattwerk.functions import replies
-from blattwerk.functions.text import normalize_list, normalize_value
+from blattwerk.functions.text import is_blank, normalize_list, normalize_value
 
 
 def property_texts(properties: Column) -> Column:
@@ -26,16 +26,17 @@ def parse_replies(rows: DataFrame, reply: str = "reply") -> DataFrame:
     return (
         rows.withColumn("__text", replies.json_text(F.col(reply)))
         .withColumn("__json", replies.parse_json_block(F.col("__text")))
-        .withColumn("error", replies.reply_error(F.col(reply), F.col("__json")))
+        .withColumn("__fields", replies.reply_fields(F.col("__json")))
+        .withColumn("error", replies.reply_error(F.col("__json"), F.col("__fields")))
         .withColumn(
             "__values",
-            F.when(F.col("error").isNull(), replies.coerce_properties(F.col("__json"))),
+            F.when(F.col("__fields").isNotNull(), replies.coerce_properties(F.col("__fields"))),
         )
         .withColumn(
             "properties",
             F.when(F.col("__values").isNotNull(), replies.property_struct(F.col("__values"))),
         )
-        .drop("__text", "__json", "__values")
+        .drop("__text", "__json", "__fields", "__values")
     )
 
 
@@ -45,7 +46,11 @@ def invoice_fill(rows: DataFrame) -> DataFrame:
     Works on the columns of one row: no shuffle. Both are null for a reply
     that gave no properties, so that means leave it out.
     """
-    filled = F.size(F.filter(property_texts(F.col("properties")), lambda text: text != ""))
+    values = [
+        F.array_join(F.col("properties")[key], "") if key in LIST_KEYS else F.col("properties")[key]
+        for key in PROPERTY_KEYS
+    ]
+    filled = F.size(F.filter(F.array(*values), lambda value: ~is_blank(value)))
     filled = F.when(F.col("properties").isNotNull(), filled)
     return rows.withColumn("filled_properties", filled).withColumn(
         "filled_ratio", F.round(F.col("filled_properties") / F.lit(len(PROPERTY_KEYS)), 4)

@@ -57,3 +57,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_table_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores, where they come in fewer input splits than that.
+
+    For work that is heavy per row. A table that spans more splits than there
+    are cores, as every large one does, is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
