@@ -103,12 +103,10 @@ def coalesce_engine_reply(reply: Column, log: Column) -> Column:
 def coerce_list(value: Column) -> Column:
     """Normalised texts of a list, or of a single value; never null."""
     nothing = F.array().cast("array<string>")
-    many = F.transform(
-        F.try_variant_get(value, "$", "array<variant>"),
-        lambda item: norm_space(scalar_text(item)),
-    )
-    one = F.array(norm_space(scalar_text(value)))
-    texts = F.when(F.schema_of_variant(value).startswith("ARRAY"), many).otherwise(one)
+    items = F.when(
+        F.schema_of_variant(value).startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>")
+    ).otherwise(F.array(value))
+    texts = F.transform(items, lambda item: norm_space(scalar_text(item)))
     kept = F.filter(texts, lambda text: text.isNotNull() & (text != ""))
     return F.when(value.isNull(), nothing).otherwise(F.coalesce(kept, nothing))
 
@@ -135,19 +133,16 @@ def coerce_properties(fields: Column) -> Column:
     )
 
 
-def property_struct(coerced: Column) -> Column:
-    """The coerced values as one field per key."""
+def property_struct(name: str) -> Column:
+    """The coerced values in column ``name`` as one field per key."""
     scalar_keys = [key for key in PROPERTY_KEYS if key not in LIST_KEYS]
-    return F.struct(
-        *[
-            (
-                F.get(coerced["lists"], F.lit(LIST_KEYS.index(key)))
-                if key in LIST_KEYS
-                else F.get(coerced["texts"], F.lit(scalar_keys.index(key)))
-            ).alias(key)
-            for key in PROPERTY_KEYS
-        ]
-    )
+    fields = [
+        f"'{key}', get({name}.lists, {LIST_KEYS.index(key)})"
+        if key in LIST_KEYS
+        else f"'{key}', get({name}.texts, {scalar_keys.index(key)})"
+        for key in PROPERTY_KEYS
+    ]
+    return F.expr(f"named_struct({', '.join(fields)})")
 
 
 def empty_property_template() -> str:

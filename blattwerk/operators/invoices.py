@@ -6,16 +6,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from blattwerk.fixed import LIST_KEYS, PROPERTY_KEYS
 from blattwerk.functions import replies
-from blattwerk.functions.text import is_blank, normalize_list, normalize_value
+from blattwerk.functions.text import is_blank, normalize_value
 
 
-def property_texts(properties: Column) -> Column:
-    """Comparable texts of the 17 properties, in key order; lists as ``a | b``."""
+def property_values(separator: str, name: str = "properties") -> Column:
+    """Array of the 17 values in column ``name``, in key order, lists joined."""
     values = [
-        F.array_join(normalize_list(properties[key]), " | ") if key in LIST_KEYS else properties[key]
+        f"array_join({name}.`{key}`, '{separator}')" if key in LIST_KEYS else f"{name}.`{key}`"
         for key in PROPERTY_KEYS
     ]
-    return F.transform(F.array(*values), lambda value: normalize_value(value))
+    return F.expr(f"array({', '.join(values)})")
+
+
+def property_texts() -> Column:
+    """Comparable texts of the 17 ``properties``; lists, as coerced, as ``a | b``."""
+    return F.transform(property_values(" | "), lambda value: normalize_value(value))
 
 
 def parse_replies(rows: DataFrame, reply: str = "reply") -> DataFrame:
@@ -34,7 +39,7 @@ def parse_replies(rows: DataFrame, reply: str = "reply") -> DataFrame:
         )
         .withColumn(
             "properties",
-            F.when(F.col("__values").isNotNull(), replies.property_struct(F.col("__values"))),
+            F.when(F.col("__values").isNotNull(), replies.property_struct("__values")),
         )
         .drop("__text", "__json", "__fields", "__values")
     )
@@ -46,11 +51,7 @@ def invoice_fill(rows: DataFrame) -> DataFrame:
     Works on the columns of one row: no shuffle. Both are null for a reply
     that gave no properties, so that means leave it out.
     """
-    values = [
-        F.array_join(F.col("properties")[key], "") if key in LIST_KEYS else F.col("properties")[key]
-        for key in PROPERTY_KEYS
-    ]
-    filled = F.size(F.filter(F.array(*values), lambda value: ~is_blank(value)))
+    filled = F.size(F.filter(property_values(""), lambda value: ~is_blank(value)))
     filled = F.when(F.col("properties").isNotNull(), filled)
     return rows.withColumn("filled_properties", filled).withColumn(
         "filled_ratio", F.round(F.col("filled_properties") / F.lit(len(PROPERTY_KEYS)), 4)
@@ -61,7 +62,7 @@ def property_rows(rows: DataFrame) -> DataFrame:
     """Long form: one row per property, with its comparable text."""
     keys = F.array(*[F.lit(key) for key in PROPERTY_KEYS])
     others = [name for name in rows.columns if name != "properties"]
-    pairs = F.arrays_zip(keys.alias("key"), property_texts(F.col("properties")).alias("value"))
+    pairs = F.arrays_zip(keys.alias("key"), property_texts().alias("value"))
     return rows.select(*others, F.inline(pairs))
 
 

@@ -19,15 +19,11 @@ def truth_by_file(truth: DataFrame) -> DataFrame:
 
     Files whose only keys are unknown ones keep a row, with all 17 null.
     """
-    value = F.coalesce(norm_space(F.col("value")), F.lit(""))
-    wide = truth.groupBy("file").agg(
-        *[
-            F.max(F.when(F.col("key") == key, value)).alias(f"k{number}")
-            for number, key in enumerate(PROPERTY_KEYS)
-        ]
+    known = truth.withColumn("value", F.coalesce(norm_space(F.col("value")), F.lit("")))
+    wide = known.groupBy("file").agg(
+        *[F.expr(f"max(value) FILTER (WHERE key = '{key}') AS `{key}`") for key in PROPERTY_KEYS]
     )
-    fields = [F.col(f"k{number}").alias(key) for number, key in enumerate(PROPERTY_KEYS)]
-    return wide.select("file", F.struct(*fields).alias("truth"))
+    return wide.select("file", F.struct(*[f"`{key}`" for key in PROPERTY_KEYS]).alias("truth"))
 
 
 def truth_lookup(items: DataFrame, truth: DataFrame, name: Column, path: Column) -> DataFrame:
@@ -48,9 +44,9 @@ def truth_lookup(items: DataFrame, truth: DataFrame, name: Column, path: Column)
 def _compared() -> Column:
     """Array of (key, pred, truth, exact_match) for the keys that the truth gives."""
     keys = F.array(*[F.lit(key) for key in PROPERTY_KEYS])
-    truths = F.array(*[F.col("truth")[key] for key in PROPERTY_KEYS])
+    truths = F.expr(f"array({', '.join(f'truth.`{key}`' for key in PROPERTY_KEYS)})")
     zipped = F.arrays_zip(
-        keys.alias("key"), property_texts(F.col("properties")).alias("pred"), truths.alias("truth")
+        keys.alias("key"), property_texts().alias("pred"), truths.alias("truth")
     )
     return F.transform(
         F.filter(zipped, lambda pair: pair["truth"].isNotNull()),
