@@ -16,13 +16,17 @@ FENCED = r"(?isU)\A```(?:json)?[\s\x1c-\x1f]*+(.*?)(?:[\s\x1c-\x1f]*+```)?\z"
 
 def strip_code_fence(reply: Column) -> Column:
     """Reply without white space around it and without a surrounding code fence."""
-    return F.regexp_replace(strip(reply), FENCED, "$1")
+    return _unfenced(strip(reply))
 
 
-def json_text(reply: Column) -> Column:
-    """The part of a reply that should be JSON; a blank reply is the empty object."""
-    given = F.regexp_replace(strip(F.coalesce(reply, F.lit(""))), r"\A\z", "{}")
-    return F.regexp_replace(given, FENCED, "$1")
+def _unfenced(text: Column) -> Column:
+    return F.when(text.startswith("```"), F.regexp_replace(text, FENCED, "$1")).otherwise(text)
+
+
+def json_text(stripped: Column) -> Column:
+    """The part of a stripped reply that should be JSON; without text, the empty object."""
+    blank = F.coalesce(stripped, F.lit("")) == ""
+    return F.when(blank, F.lit("{}")).otherwise(_unfenced(stripped))
 
 
 def parse_json_block(text: Column) -> Column:
@@ -33,7 +37,7 @@ def parse_json_block(text: Column) -> Column:
 
 def extract_json_block(reply: Column) -> Column:
     """Variant of the JSON in a reply; null where there is none."""
-    return parse_json_block(json_text(reply))
+    return parse_json_block(json_text(strip(reply)))
 
 
 def reply_fields(parsed: Column) -> Column:
@@ -76,7 +80,8 @@ def scalar_text(value: Column) -> Column:
     # decimals was written with a decimal point.
     whole = kind.rlike(r"^DECIMAL\((?:[1-9]|1[0-8]),0\)")
     return (
-        F.when(kind == "BOOLEAN", F.initcap(text))
+        F.when(kind.isin("STRING", "BIGINT"), text)
+        .when(kind == "BOOLEAN", F.initcap(text))
         .when(whole, F.concat(text, F.lit(".0")))
         .when(kind == "DOUBLE", _float_text(text))
         .otherwise(text)

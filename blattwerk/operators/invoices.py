@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from blattwerk.fixed import LIST_KEYS, PROPERTY_KEYS
 from blattwerk.functions import replies
-from blattwerk.functions.text import is_blank, normalize_value
+from blattwerk.functions.text import is_blank, normalize_value, strip
 
 
 def property_values(separator: str, name: str = "properties") -> Column:
@@ -29,7 +29,8 @@ def parse_replies(rows: DataFrame, reply: str = "reply") -> DataFrame:
     A blank reply means that nothing was asked: all properties are empty.
     """
     return (
-        rows.withColumn("__text", replies.json_text(F.col(reply)))
+        rows.withColumn("__stripped", strip(F.col(reply)))
+        .withColumn("__text", replies.json_text(F.col("__stripped")))
         .withColumn("__json", replies.parse_json_block(F.col("__text")))
         .withColumn("__fields", replies.reply_fields(F.col("__json")))
         .withColumn("error", replies.reply_error(F.col("__json"), F.col("__fields")))
@@ -41,7 +42,7 @@ def parse_replies(rows: DataFrame, reply: str = "reply") -> DataFrame:
             "properties",
             F.when(F.col("__values").isNotNull(), replies.property_struct("__values")),
         )
-        .drop("__text", "__json", "__fields", "__values")
+        .drop("__stripped", "__text", "__json", "__fields", "__values")
     )
 
 
