@@ -48,9 +48,20 @@ def engine_mode(engine: Column, input_kind: Column, mode: Column) -> Column:
     return F.when(input_kind != "image", pages).when(engine == "deepseek", first).otherwise(second)
 
 
-def method_label(*parts: Column) -> Column:
-    """``engine/model[/mode]``; null parts are left out."""
-    return F.concat_ws("/", *parts)
+def method_label(engine: Column, provider: Column, model: Column, mode: Column) -> Column:
+    """Label under which a run's records and results stand.
+
+    ``model`` is the model of ``vision`` and ``glm`` (null or empty for the
+    default) and the backend of ``deepseek``. Other engines are their own label.
+    """
+    served = F.coalesce(F.nullif(model, F.lit("")), F.lit(fixed.GLM_MODEL))
+    return (
+        F.when(engine == "vision", F.concat(F.lit("vision-"), provider, F.lit("/"), resolve_model(provider, model)))
+        .when(engine == "deepseek", F.concat_ws("/", F.lit("deepseek-ocr2"), model, mode))
+        .when(engine == "glm", F.concat_ws("/", F.lit("glm-ocr"), served, mode))
+        .when(engine == "easyocr", F.lit("easyocr-local"))
+        .otherwise(engine)
+    )
 
 
 def cost_per_page(method: Column, costs: Mapping[str, float] = fixed.COST_PER_PAGE) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from blattwerk import fixed, schemas
 from blattwerk.functions import lookups, replies, text
+from blattwerk.session import stage
 
 # Characters one request may hold; a Spark value ends at 2 GiB.
 MAX_REQUEST_CHARS = 256 * 1024 * 1024
@@ -86,14 +87,15 @@ def rewrite_requests(pages: DataFrame, source_type: Column, model: Column | None
 def whole_texts(texts: DataFrame, keys: tuple[str, ...] = ("method", "document")) -> DataFrame:
     """One row per document out of ``document_text``, with an ``error`` column.
 
-    Nearly always every document has one part and nothing is moved. The parts
-    of longer ones are joined; a document too long for any request keeps its
+    Nearly always every document has one part and nothing is moved. Else the
+    texts are written once, and the parts of the longer ones are joined; a document too long for any request keeps its
     parts in the text table and gets an error here instead of a cut text.
     """
     later = texts.where(F.col("part") > 0).select(*keys).distinct()
     none = F.lit(None).cast("string")
     if later.isEmpty():
         return texts.drop("part").withColumn("error", none)
+    texts = stage(texts, "texts")
     short = texts.join(later, list(keys), "left_anti").drop("part").withColumn("error", none)
     parts = texts.join(later, list(keys), "left_semi").withColumn("chars", F.length("text"))
     measures = [F.sum(name).alias(name) for name in ("pages", "seconds", "chars") if name in parts.columns]

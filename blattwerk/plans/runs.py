@@ -37,7 +37,7 @@ def run_pages(
     engine: Engine,
     engine_kind: str,
     mode: str,
-    label: str,
+    label: str | None = None,
     numbers: list[int] | None = None,
     provider: str = "anthropic",
     model: str | None = None,
@@ -45,12 +45,14 @@ def run_pages(
 ) -> DataFrame:
     """Page table from page images ``(document, page, content)``.
 
-    ``engine_kind`` is ``vision``, ``deepseek`` or ``glm``; ``label`` the method
-    label of the records. Only the chosen pages reach the engine. Replies are
+    ``engine_kind`` is ``vision``, ``deepseek`` or ``glm``; ``label`` replaces the
+    usual method label of the records. Only the chosen pages reach the engine. Replies are
     written once; a failed page keeps its error.
     """
     prepare(images.sparkSession)
     chosen = page_ops.select_pages(images, numbers)
+    settings = [F.lit(value).cast("string") for value in (engine_kind, provider, model, mode)]
+    method = F.lit(label) if label else lookups.method_label(*settings)
     asked = requests.page_requests(
         chosen,
         F.lit(engine_kind),
@@ -58,7 +60,7 @@ def run_pages(
         requests.image_payload(F.col("content")),
         F.lit(provider),
         F.lit(model).cast("string"),
-    ).select(F.lit(label).alias("method"), "document", "page", "request")
+    ).select(method.alias("method"), "document", "page", "request")
     replies = stage(apply_engine(asked, engine), "page-replies")
     content = F.coalesce("reply", F.lit(""))
     return replies.select(
@@ -105,10 +107,15 @@ def vector_ready_pages(
 
 
 def folder_run(
-    images: DataFrame, engine: Engine, label: str, rewriter: Engine | None = None, mode: str = "slide"
+    images: DataFrame,
+    engine: Engine,
+    rewriter: Engine | None = None,
+    mode: str = "slide",
+    provider: str = "anthropic",
+    model: str | None = None,
 ) -> DataFrame:
     """Page images of a folder to running-numbered pages with rewritten text."""
-    found = run_pages(images, engine, "vision", mode, label)
+    found = run_pages(images, engine, "vision", mode, provider=provider, model=model)
     recorded = page_ops.folder_records(found)
     rewritten = vector_ready_pages(recorded, rewriter, "powerpoint", spread=True)
     return stage(rewritten, "folder-pages") if rewriter else recorded

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import importlib
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the operators rely on.
@@ -22,12 +24,22 @@ SETTINGS = {
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the settings above to a running session."""
+    """Apply the settings above to a running session.
+
+    The package's own functions travel to the workers inside the plan, so it
+    need not be installed there.
+    """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    ship("blattwerk")
     return spark
 
 
+def ship(package: str) -> None:
+    """Send functions of a package to the workers by value."""
+    cloudpickle.register_pickle_by_value(importlib.import_module(package))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder that all executors can read, from ``spark.checkpoint.dir``.
 

@@ -443,12 +443,23 @@ def _settings(spark: SparkSession, folder: str) -> DataFrame:
     return spark.sql(ORDERS, rows=inputs.table(spark, folder, "orders"))
 
 
+MODEL = (
+    "CASE WHEN model IS NOT NULL AND model <> '' THEN model "
+    "WHEN provider = 'anthropic' THEN 'claude-opus-4-5-20251101' ELSE 'gpt-5.2' END"
+)
+
+
 @query(
     "method_label",
-    f"{SETTINGS} SELECT o_orderkey, engine || CASE WHEN model IS NULL THEN '' ELSE '/' || model END || '/' || mode AS label FROM s",
+    f"""{SETTINGS} SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'vision-' || provider || '/' || {MODEL}
+      WHEN 1 THEN 'deepseek-ocr2/vllm/' || mode
+      WHEN 2 THEN 'glm-ocr/' || coalesce(nullif(model, ''), 'glm-ocr') || '/' || mode
+      WHEN 3 THEN 'easyocr-local' ELSE 'direct' END AS label FROM s""",
 )
 def method_label(spark: SparkSession, folder: str) -> DataFrame:
-    label = lookups.method_label(F.col("engine"), F.col("model"), F.col("mode"))
+    engine = F.expr("element_at(array('vision', 'deepseek', 'glm', 'easyocr', 'direct'), CAST(o_orderkey % 5 AS INT) + 1)")
+    model = F.when(engine == "deepseek", F.lit("vllm")).otherwise(F.col("model"))
+    label = lookups.method_label(engine, F.col("provider"), model, F.col("mode"))
     return _settings(spark, folder).select("o_orderkey", label.alias("label"))
 
 
@@ -466,12 +477,6 @@ def resolve_prompt_mode(spark: SparkSession, folder: str) -> DataFrame:
     return _settings(spark, folder).select("o_orderkey", mode.alias("engine_mode"))
 
 
-MODEL = (
-    "CASE WHEN model IS NOT NULL AND model <> '' THEN model "
-    "WHEN provider = 'anthropic' THEN 'claude-opus-4-5-20251101' ELSE 'gpt-5.2' END"
-)
-
-
 @query("resolve_model", f"{SETTINGS} SELECT o_orderkey, {MODEL} AS model FROM s")
 def resolve_model(spark: SparkSession, folder: str) -> DataFrame:
     model = lookups.resolve_model(F.col("provider"), F.col("model"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blattwerk.session import prepare
+from blattwerk.session import prepare, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ SQL: dict[str, str] = {}
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(function: Query) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship("catalog")
             return function(prepare(spark), folder)
 
         QUERIES[name] = run

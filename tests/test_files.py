@@ -161,7 +161,8 @@ def test_page_images(images):
 
 
 def test_folder_run(images):
-    rows = runs.folder_run(images, READ, "vision-x/y", QUOTE).orderBy("slide_number").collect()
+    rows = runs.folder_run(images, READ, QUOTE, provider="x", model="y").orderBy("slide_number").collect()
+    assert {r.method for r in rows} == {"vision-x/y"}
     assert [(r.slide_number, r.title, r.content, r.vector_ready_text, r.notes) for r in rows] == [
         (1, "a.jpg / Seite 1", "# Kopf", "> # Kopf", "source_file=a.jpg"),
         (2, "b / Seite 1", "b1", "> b1", "source_file=b"),
@@ -201,7 +202,7 @@ def test_unknown_method_is_an_error():
 
 
 def test_benchmark(images):
-    pages = runs.run_pages(images, READ, "glm", "structured", "glm-ocr/glm-ocr/structured")
+    pages = runs.run_pages(images, READ, "glm", "structured")
     summary, report = runs.benchmark(pages)
     assert {(r.method, r.total_slides) for r in summary.collect()} == {
         ("glm-ocr/glm-ocr/structured", 4), ("deepseek-ocr2", 0),
