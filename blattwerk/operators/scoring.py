@@ -41,14 +41,22 @@ def truth_lookup(items: DataFrame, truth: DataFrame, name: Column, path: Column)
     )
 
 
+def _scored() -> Column:
+    return F.col("truth").isNotNull() & F.col("properties").isNotNull()
+
+
 def _compared() -> Column:
-    """Array of (key, pred, truth, exact_match) for the keys that the truth gives."""
+    """Array of (key, pred, truth, exact_match) for the keys that the truth gives.
+
+    Null without a truth or for a failed reply. There is no filter on the reply
+    here: pushed below the parsing, it would parse every reply twice.
+    """
     keys = F.array(*[F.lit(key) for key in PROPERTY_KEYS])
     truths = F.expr(f"array({', '.join(f'truth.`{key}`' for key in PROPERTY_KEYS)})")
     zipped = F.arrays_zip(
         keys.alias("key"), property_texts().alias("pred"), truths.alias("truth")
     )
-    return F.transform(
+    compared = F.transform(
         F.filter(zipped, lambda pair: pair["truth"].isNotNull()),
         lambda pair: F.struct(
             pair["key"].alias("key"),
@@ -57,24 +65,26 @@ def _compared() -> Column:
             ((pair["pred"] != "") & (F.lower(pair["pred"]) == F.lower(pair["truth"]))).alias("exact_match"),
         ),
     )
+    return F.when(_scored(), compared)
 
 
 def match_by_key(items: DataFrame) -> DataFrame:
     """One row per property that the truth of an item gives."""
     others = [name for name in items.columns if name not in ("properties", "truth")]
-    return items.where(F.col("truth").isNotNull()).select(*others, F.inline(_compared()))
+    return items.select(*others, F.inline(_compared()))
 
 
 def match_rate(items: DataFrame) -> DataFrame:
-    """Adds fields compared, exact matches and their rate; null without a truth.
+    """Adds fields compared, exact matches and their rate; null without a truth
+    or for a failed reply.
 
     The rate is null as well where the truth names none of the known keys.
     """
-    scored = items.withColumn("__pairs", F.when(F.col("truth").isNotNull(), _compared()))
     hits = F.size(F.filter("__pairs", lambda pair: pair["exact_match"]))
-    known = F.col("truth").isNotNull()
+    known = F.col("__pairs").isNotNull()
     return (
-        scored.withColumn("evaluated_fields", F.when(known, F.size("__pairs")))
+        items.withColumn("__pairs", _compared())
+        .withColumn("evaluated_fields", F.when(known, F.size("__pairs")))
         .withColumn("exact_matches", F.when(known, hits))
         .withColumn(
             "exact_match_rate",

@@ -126,28 +126,27 @@ def invoice_properties(
     engine: Engine,
     provider: str = "openai",
     model: str | None = None,
-    stage_replies: bool = True,
 ) -> DataFrame:
     """One row per (method, document): text, properties, fill ratio, error.
 
     Page texts are joined, asked for properties, and the replies parsed. A
-    document without text is not asked and has empty properties.
+    document without text is not asked and has empty properties. The result is
+    written once, so later filters and joins neither ask nor parse again.
     """
     resolved = lookups.resolve_model(F.lit(provider), F.lit(model).cast("string"))
     texts = requests.whole_texts(page_ops.document_text(pages))
     documents = texts.withColumnsRenamed({"error": "text_error", "seconds": "page_seconds"})
     answered = apply_engine(requests.property_requests(documents, resolved), engine)
-    if stage_replies:
-        answered = stage(answered, "property-replies")
     parsed = invoices.parse_replies(answered.withColumn("reply", F.coalesce("reply", F.lit(""))))
     error = F.coalesce("text_error", "reply_error", "error")
-    return invoices.invoice_fill(
+    items = invoices.invoice_fill(
         parsed.withColumn("error", error)
         .withColumn("properties", F.when(error.isNull(), F.col("properties")))
         .withColumnRenamed("text", "ocr_text")
         .withColumn("seconds", F.col("page_seconds") + F.col("reply_seconds"))
         .drop("text_error", "reply_error", "reply_seconds", "reply", "page_seconds")
     )
+    return stage(items, "invoice-items")
 
 
 class LocalBenchmark(NamedTuple):
@@ -192,7 +191,7 @@ def local_benchmark(
     rewritten = stage(
         vector_ready_pages(by_method(handwriting, "free"), rewriter, "handwriting"), "handwriting"
     )
-    items = stage(invoice_properties(by_method(invoice_pages, "structured"), property_engine), "items")
+    items = invoice_properties(by_method(invoice_pages, "structured"), property_engine)
     if truth is not None:
         items = scoring.match_rate(
             scoring.truth_lookup(items, truth, paths.base_name(F.col("document")), F.col("document"))

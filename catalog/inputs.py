@@ -13,8 +13,10 @@ from blattwerk.session import spread
 SQL: dict[str, str] = {}
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
+def table(spark: SparkSession, folder: str, name: str, heavy: bool = False) -> DataFrame:
+    """A given table; for ``heavy`` work per row, spread where it has few splits."""
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows) if heavy else rows
 
 
 def _sql(frame: DataFrame, text: str) -> DataFrame:
@@ -69,7 +71,7 @@ SQL["pages"] = _PAGES.format(
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return _sql(_each(table(spark, folder, "conversations"), "method", METHODS), _PAGES)
+    return _sql(_each(table(spark, folder, "conversations", heavy=True), "method", METHODS), _PAGES)
 
 
 # Full page records: title, stored tokens on every second page, rewritten text on
@@ -131,7 +133,7 @@ SQL["replies"] = _REPLIES.format(
 
 
 def replies(spark: SparkSession, folder: str) -> DataFrame:
-    orders = _each(table(spark, folder, "orders"), "method", ["deepseek", "glm"])
+    orders = _each(table(spark, folder, "orders", heavy=True), "method", ["deepseek", "glm"])
     return spark.sql(_REPLIES, orders=orders, lineitem=table(spark, folder, "lineitem"))
 
 

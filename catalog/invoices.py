@@ -221,27 +221,30 @@ def write_invoice_run(spark: SparkSession, folder: str) -> DataFrame:
 # --- Scores ---------------------------------------------------------------------------------
 
 def known(spark: SparkSession, folder: str) -> DataFrame:
-    """Items with their path and truth; every fourth order is scored with what its reply gave."""
-    scored = items(spark, folder).where(F.col("error").isNull())
+    """Items with their truth, by file name or path."""
     path = F.concat(F.lit("in/"), F.col("document"))
     return scoring.truth_lookup(
-        scored.select("document", "method", "properties"), inputs.truth(spark, folder), F.col("document"), path
+        items(spark, folder).select("document", "method", "properties"),
+        inputs.truth(spark, folder),
+        F.col("document"),
+        path,
     )
 
 
 TRUTH_KEYS = ["Belegnummer", "Lieferant", "Währung"]
-SCORED = ITEMS + f""", {inputs.with_tables('truth')[5:]}, good AS (SELECT * FROM items WHERE error IS NULL),
-  pairs AS (SELECT g.document, g.method, t.key, trim(t.value) AS truth,
+SCORED = ITEMS + f""", {inputs.with_tables('truth')[5:]}, 
+  pairs AS (SELECT g.document, g.method, g.error, t.key, trim(t.value) AS truth,
     CASE t.key {' '.join(f"WHEN {literal(k)} THEN p{PROPERTY_KEYS.index(k)}" for k in TRUTH_KEYS)} END AS pred
-    FROM good g JOIN v_truth t ON t.file IN (g.document, 'in/' || g.document) WHERE t.key <> 'Unbekannt'),
-  scores AS (SELECT *, pred <> '' AND lower(pred) = lower(truth) AS exact_match FROM pairs)"""
+    FROM items g JOIN v_truth t ON t.file IN (g.document, 'in/' || g.document) WHERE t.key <> 'Unbekannt'),
+  scores AS (SELECT *, pred <> '' AND lower(pred) = lower(truth) AS exact_match
+    FROM pairs WHERE error IS NULL)"""
 
 
 @query(
     "truth_lookup",
     f"""{SCORED} SELECT g.document, g.method, count(s.key) > 0 AS found, count(s.key) AS keys,
       max(CASE WHEN s.key = 'Lieferant' THEN truth END) AS lieferant
-    FROM good g LEFT JOIN scores s USING (document, method) GROUP BY g.document, g.method""",
+    FROM items g LEFT JOIN pairs s USING (document, method) GROUP BY g.document, g.method""",
 )
 def truth_lookup(spark: SparkSession, folder: str) -> DataFrame:
     given = [F.col("truth")[key].isNotNull().cast("bigint") for key in PROPERTY_KEYS]
@@ -270,7 +273,7 @@ def match_by_key(spark: SparkSession, folder: str) -> DataFrame:
       CASE WHEN count(s.key) > 0 THEN count(s.key) END AS evaluated_fields,
       CASE WHEN count(s.key) > 0 THEN count(*) FILTER (WHERE exact_match) END AS exact_matches,
       round(count(*) FILTER (WHERE exact_match) / CAST(nullif(count(s.key), 0) AS DOUBLE), 4) AS exact_match_rate
-    FROM good g LEFT JOIN scores s USING (document, method) GROUP BY g.document, g.method""",
+    FROM items g LEFT JOIN scores s USING (document, method) GROUP BY g.document, g.method""",
 )
 def match_rate(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.match_rate(known(spark, folder)).select(

@@ -33,7 +33,7 @@ SPEC = (
       )), ',') AS numbers FROM lineitem""",
 )
 def parse_page_range(spark: SparkSession, folder: str) -> DataFrame:
-    lines = inputs.table(spark, folder, "lineitem").select(
+    lines = inputs.table(spark, folder, "lineitem", heavy=True).select(
         "l_orderkey", "l_partkey", "l_linenumber", F.expr(SPEC).alias("spec")
     )
     return lines.withColumn("numbers", F.array_join(text.page_range(F.col("spec")), ","))
@@ -142,7 +142,7 @@ def page_label(spark: SparkSession, folder: str) -> DataFrame:
 )
 def join_text_parts(spark: SparkSession, folder: str) -> DataFrame:
     joined = text.join_parts(F.split("text", r"\."))
-    return inputs.table(spark, folder, "conversations").select("conv_id", "turn", joined.alias("text"))
+    return inputs.table(spark, folder, "conversations", heavy=True).select("conv_id", "turn", joined.alias("text"))
 
 
 # --- Records and numbers ------------------------------------------------------------------
@@ -360,7 +360,7 @@ def strip_text(spark: SparkSession, folder: str) -> DataFrame:
 )
 def norm_space(spark: SparkSession, folder: str) -> DataFrame:
     padded = F.concat(F.lit("\xa0"), F.col("text"), F.lit("\x0b"))
-    return inputs.table(spark, folder, "documents").select("doc_id", text.norm_space(padded).alias("text"))
+    return inputs.table(spark, folder, "documents", heavy=True).select("doc_id", text.norm_space(padded).alias("text"))
 
 
 @query("estimate_tokens", "SELECT doc_id, greatest(1, length(text) // 4) AS tokens FROM documents")
@@ -376,7 +376,7 @@ def estimate_tokens(spark: SparkSession, folder: str) -> DataFrame:
       lambda x: x <> ''), ' | ') AS listed, {norm('text')} AS single FROM documents""",
 )
 def normalize_value(spark: SparkSession, folder: str) -> DataFrame:
-    return inputs.table(spark, folder, "documents").select(
+    return inputs.table(spark, folder, "documents", heavy=True).select(
         "doc_id",
         text.normalize_value(F.split("text", r"\."), is_list=True).alias("listed"),
         text.normalize_value(F.col("text")).alias("single"),
@@ -391,7 +391,7 @@ def _text_tables(spark: SparkSession, folder: str) -> DataFrame:
     rows = F.transform(F.split("text", "\n"), lambda row: F.split(row, ","))
     nothing = F.array().cast("array<string>")
     with_header = F.expr("doc_id % 2 = 0")
-    return inputs.table(spark, folder, "documents").select(
+    return inputs.table(spark, folder, "documents", heavy=True).select(
         "doc_id",
         F.struct(
             F.when(with_header, F.get(rows, F.lit(0))).otherwise(nothing).alias("headers"),

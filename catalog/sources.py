@@ -137,7 +137,7 @@ DECK = "'in/deck' || CAST(conv_id AS STRING) || '_' || CAST(turn AS STRING) || '
     SELECT {DECK}, 2, '', 'Ende', '', 2, 1 FROM conversations""",
 )
 def read_deck_slides(spark: SparkSession, folder: str) -> DataFrame:
-    archives = conversation_decks(inputs.table(spark, folder, "conversations"))
+    archives = conversation_decks(inputs.table(spark, folder, "conversations", heavy=True))
     return decks.deck_pages(archives, include_notes=True).select(
         "document", "page", "title", "content", "notes", F.size("tables").alias("table_count"), "tokens"
     )
@@ -149,7 +149,7 @@ def read_deck_slides(spark: SparkSession, folder: str) -> DataFrame:
     UNION ALL SELECT {DECK}, 2, 'Ende' FROM conversations""",
 )
 def read_deck_shapes(spark: SparkSession, folder: str) -> DataFrame:
-    archives = conversation_decks(inputs.table(spark, folder, "conversations"))
+    archives = conversation_decks(inputs.table(spark, folder, "conversations", heavy=True))
     return decks.raw_slides(archives).select(
         "document", "page", decks.shape_text(F.col("texts")).alias("content")
     )
@@ -164,7 +164,7 @@ def read_deck_shapes(spark: SparkSession, folder: str) -> DataFrame:
     SELECT {DECK}, 2, 2, '{{"headers":[],"rows":[["allein"]]}}' FROM conversations""",
 )
 def read_deck_tables(spark: SparkSession, folder: str) -> DataFrame:
-    archives = conversation_decks(inputs.table(spark, folder, "conversations"))
+    archives = conversation_decks(inputs.table(spark, folder, "conversations", heavy=True))
     tables = decks.table_structs(F.col("tables"))
     return (
         decks.raw_slides(archives)
