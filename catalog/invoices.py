@@ -100,7 +100,7 @@ def reject_non_object(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "coerce_list",
-    f"""{REPLIES} SELECT document, method, len({TAGS}) AS count, array_to_string({TAGS}, ';') AS tags
+    f"""{REPLIES} SELECT document, method, CAST(len({TAGS}) AS INT) AS count, array_to_string({TAGS}, ';') AS tags
     FROM parsed WHERE error IS NULL""",
 )
 def coerce_list(spark: SparkSession, folder: str) -> DataFrame:
@@ -213,7 +213,7 @@ def write_invoice_run(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{path}/items").select(
         "document", "method", "filled_properties",
         F.lit(header.task).alias("task"),
-        F.lit(header.total_files).alias("total_files"),
+        F.lit(header.total_files).cast("bigint").alias("total_files"),
         F.lit(header.avg_property_fill_ratio).alias("avg_property_fill_ratio"),
     )
 
@@ -270,8 +270,8 @@ def match_by_key(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "match_rate",
     f"""{SCORED} SELECT g.document, g.method,
-      CASE WHEN count(s.key) > 0 THEN count(s.key) END AS evaluated_fields,
-      CASE WHEN count(s.key) > 0 THEN count(*) FILTER (WHERE exact_match) END AS exact_matches,
+      CAST(CASE WHEN count(s.key) > 0 THEN count(s.key) END AS INT) AS evaluated_fields,
+      CAST(CASE WHEN count(s.key) > 0 THEN count(*) FILTER (WHERE exact_match) END AS INT) AS exact_matches,
       round(count(*) FILTER (WHERE exact_match) / CAST(nullif(count(s.key), 0) AS DOUBLE), 4) AS exact_match_rate
     FROM items g LEFT JOIN scores s USING (document, method) GROUP BY g.document, g.method""",
 )

@@ -77,7 +77,7 @@ NOTES = (
 )
 SETTINGS = {"input_kind": "deck", "mode": "markdown", "quantize_4bit": True, "costs": COSTS}
 SUMMARY = f"""SELECT method, total_slides, round(seconds, 2) AS total_time_seconds,
-  round(seconds / total_slides, 3) AS avg_time_per_slide, total_chars,
+  round(seconds / total_slides, 3) AS avg_time_per_slide, CAST(total_chars AS BIGINT) AS total_chars,
   CAST(total_tokens_estimate AS BIGINT) AS total_tokens_estimate, round(cost, 4) AS estimated_cost_usd,
   true AS gpu_required, {NOTES} AS notes FROM totals"""
 
@@ -101,8 +101,8 @@ def round_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return comparing.round_metrics(pages)
 
 
-PREVIEW = f"""placed AS (SELECT *, length(content) AS chars, replace(substr(content, 1, 200), chr(10), ' ') AS preview,
-    row_number() OVER (PARTITION BY method ORDER BY string_split(document, '/'), page) AS place,
+PREVIEW = f"""placed AS (SELECT *, CAST(length(content) AS INT) AS chars, replace(substr(content, 1, 200), chr(10), ' ') AS preview,
+    CAST(row_number() OVER (PARTITION BY method ORDER BY string_split(document, '/'), page) AS INT) AS place,
     greatest(count(*) OVER (PARTITION BY method) - 3, 0) AS more FROM v_records)"""
 
 
@@ -136,9 +136,9 @@ REPORT = f"""{TOTALS}, {PREVIEW}
   UNION ALL SELECT 3, {ORDER}, method, 1, '- **Notizen**: ' || {NOTES} FROM totals
   UNION ALL SELECT 3, {ORDER}, method, 2, '- **Gesamtzeit**: ' || {decimals('seconds', 2)} || 's' FROM totals
   UNION ALL SELECT 3, {ORDER}, method, 3, '- **Durchsatz**: ' || {decimals(MEAN, 3)} || 's/Slide' || chr(10) FROM totals
-  UNION ALL SELECT 3, {ORDER}, method, 2 * place + 2, '**Slide ' || page || '** (' || chars || ' Zeichen):'
+  UNION ALL SELECT 3, {ORDER}, method, CAST(2 * place + 2 AS INT), '**Slide ' || page || '** (' || chars || ' Zeichen):'
     FROM placed WHERE place <= 3
-  UNION ALL SELECT 3, {ORDER}, method, 2 * place + 3, '> ' || preview || '...' || chr(10) FROM placed WHERE place <= 3
+  UNION ALL SELECT 3, {ORDER}, method, CAST(2 * place + 3 AS INT), '> ' || preview || '...' || chr(10) FROM placed WHERE place <= 3
   UNION ALL SELECT DISTINCT 3, {ORDER}, method, 100, '*... und ' || more || ' weitere Slides*' || chr(10)
     FROM placed WHERE more > 0"""
 
@@ -180,7 +180,7 @@ def _handwriting(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "handwriting_items",
-    f"""{RECORDS} SELECT method, document, page, content AS text, vector_ready_text, length(content) AS chars,
+    f"""{RECORDS} SELECT method, document, page, content AS text, vector_ready_text, CAST(length(content) AS INT) AS chars,
       tokens AS tokens_estimate FROM v_records""",
 )
 def handwriting_items(spark: SparkSession, folder: str) -> DataFrame:

@@ -148,7 +148,7 @@ def join_text_parts(spark: SparkSession, folder: str) -> DataFrame:
 # --- Records and numbers ------------------------------------------------------------------
 
 FULL = f"""{PAGES}, full_pages AS (SELECT * FROM v_pages WHERE {strip('content')} <> ''),
-  numbered AS (SELECT *, row_number() OVER (PARTITION BY method, document ORDER BY page) AS n,
+  numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY method, document ORDER BY page) AS INT) AS n,
     row_number() OVER (PARTITION BY method ORDER BY string_split(document, '/'), page) AS g FROM full_pages)"""
 
 
