@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from catalog import registry
 from tests.check import database, difference
 
 FOLDER = "/root/testdata/sf0.001"
@@ -14,7 +15,9 @@ def connection():
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.SQL)
+    assert set(registry.QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
@@ -23,7 +26,7 @@ def test_entry(spark):
     assert frame.count() == 3000
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, connection, name):
     frame = entry.queries()[name](spark, FOLDER)
     assert difference(name, frame, connection, entry.oracle_sql()[name]) is None
