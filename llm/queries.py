@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination
+from . import decontamination, mixing
 
 QUERIES = {
     "op3_benchmark_decontamination": decontamination.query,
+    "op10_source_mixing": mixing.query,
 }
 
 SQL = {
     "op3_benchmark_decontamination": decontamination.SQL,
+    "op10_source_mixing": mixing.SQL,
 }
