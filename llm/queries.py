@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing
+from . import decontamination, language, mixing
 
 QUERIES = {
     "op3_benchmark_decontamination": decontamination.query,
+    "op8_language_id": language.query,
     "op10_source_mixing": mixing.query,
 }
 
