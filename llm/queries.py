@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, mixing
+from . import decontamination, language, mixing, toxicity
 
 QUERIES = {
     "op3_benchmark_decontamination": decontamination.query,
+    "op4_toxicity": toxicity.query,
     "op8_language_id": language.query,
     "op10_source_mixing": mixing.query,
 }
