@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, mixing, toxicity
+from . import decontamination, language, lz_fingerprint, mixing, toxicity
 
 QUERIES = {
     "op3_benchmark_decontamination": decontamination.query,
     "op4_toxicity": toxicity.query,
     "op8_language_id": language.query,
+    "op9_lz_fingerprint": lz_fingerprint.query,
     "op10_source_mixing": mixing.query,
 }
 
