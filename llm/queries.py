@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, lz_fingerprint, mixing, toxicity
+from . import decontamination, language, lz_fingerprint, mixing, personal_data, toxicity
 
 QUERIES = {
     "op3_benchmark_decontamination": decontamination.query,
     "op4_toxicity": toxicity.query,
+    "op7_personal_data": personal_data.query,
     "op8_language_id": language.query,
     "op9_lz_fingerprint": lz_fingerprint.query,
     "op10_source_mixing": mixing.query,
