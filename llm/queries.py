@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, lz_fingerprint, mixing, personal_data, toxicity
+from . import decontamination, language, lz_fingerprint, mixing, personal_data, substring_dedup, toxicity
 
 QUERIES = {
     "op3_benchmark_decontamination": decontamination.query,
     "op4_toxicity": toxicity.query,
+    "op6_substring_dedup": substring_dedup.query,
     "op7_personal_data": personal_data.query,
     "op8_language_id": language.query,
     "op9_lz_fingerprint": lz_fingerprint.query,
@@ -15,5 +16,6 @@ QUERIES = {
 
 SQL = {
     "op3_benchmark_decontamination": decontamination.SQL,
+    "op6_substring_dedup": substring_dedup.SQL,
     "op10_source_mixing": mixing.SQL,
 }
