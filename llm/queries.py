@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, lz_fingerprint, mixing, personal_data, substring_dedup, toxicity
+from . import decontamination, language, lz_fingerprint, mixing, ngram_join, personal_data, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.query,
     "op3_benchmark_decontamination": decontamination.query,
     "op4_toxicity": toxicity.query,
     "op6_substring_dedup": substring_dedup.query,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_ngram_jaccard_join": ngram_join.SQL,
     "op3_benchmark_decontamination": decontamination.SQL,
     "op6_substring_dedup": substring_dedup.SQL,
     "op10_source_mixing": mixing.SQL,
