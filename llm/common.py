@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from blattwerk.session import new_table_path, ship
+from blattwerk.session import new_table_path
 
 #: ASCII letters to lower case; every other byte stays.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -20,9 +20,7 @@ BATCH_ROWS = 2000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table; the package's functions then travel to the workers by value."""
-    ship("llm")
-    ship("blattwerk")
+    """A given table."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -46,6 +44,23 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def text_hash(text: str | Column = "text") -> Column:
+    """Hash of a text, null as empty; with the id it names a row of ``documents``."""
+    return F.xxhash64(F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit("")))
+
+
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The documents that are not among ``rejected`` (doc_id, text_hash).
+
+    Rejected rows are written first, so that Spark knows their size and sends
+    them to the documents only where they are few.
+    """
+    gone = stage(rejected.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "rejected")
+    return docs.join(
+        gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_hash() == F.col("_hash")), "left_anti"
+    )
+
+
 def binary(column: str | Column) -> Column:
     """UTF-8 bytes of a text column."""
     return (F.col(column) if isinstance(column, str) else column).cast("string").cast("binary")

@@ -162,13 +162,13 @@ def _joined(parts: list[DataFrame]) -> DataFrame:
                 spans.append([[s, e] for _, _, s, e in merged])
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(batch.schema.get_field_index(n)) for n in ("doc_id", "n_words")),
+                    *(batch.column(batch.schema.get_field_index(n)) for n in ("doc_id", "text_hash", "n_words")),
                     pa.array(n_hit, pa.int64()),
                     batch.column(batch.schema.get_field_index("items")),
                     pa.array(spans, pa.list_(pa.list_(pa.int32()))),
                     batch.column(batch.schema.get_field_index("copies")),
                 ],
-                names=["doc_id", "n_words", "n_hit", "items", "spans", "copies"],
+                names=["doc_id", "text_hash", "n_words", "n_hit", "items", "spans", "copies"],
             )
 
     rows = parts[0]
@@ -181,9 +181,9 @@ def _joined(parts: list[DataFrame]) -> DataFrame:
         (F.count("*") / len(parts)).cast("int").alias("copies"),
     )
     return (
-        grouped.select("doc_id", "n_words", "items", F.col("hits.words").alias("places"),
+        grouped.select("doc_id", "text_hash", "n_words", "items", F.col("hits.words").alias("places"),
                        F.col("hits.spans").alias("all_spans"), "copies")
-        .mapInArrow(join, "doc_id long, n_words long, n_hit long, items array<string>, "
+        .mapInArrow(join, "doc_id long, text_hash long, n_words long, n_hit long, items array<string>, "
                           "spans array<array<int>>, copies int")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
         .drop("copy", "copies")
@@ -191,7 +191,7 @@ def _joined(parts: list[DataFrame]) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
-    """One row per document: words, hit words, items found, spans (code points) of hit words.
+    """One row per document (doc_id, text_hash): words, hit words, items found, spans (code points) of hit words.
 
     The windows of the benchmark are measured first. Up to ``automaton_bytes``
     they make one automaton and documents are read once, without a shuffle.
@@ -203,7 +203,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, automaton_bytes: int = A
     n_blocks = -(-total // automaton_bytes) or 1
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
+        common.text_hash().alias("text_hash"),
         common.binary("text").alias("text"),
     )
     parts = []
@@ -211,7 +211,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, automaton_bytes: int = A
         own = windows.where(F.pmod(F.xxhash64("window"), F.lit(n_blocks)) == block)
         parts.append(_scan(rows, _Block(spark, own.collect())))
     found = parts[0] if n_blocks == 1 else _joined(parts)
-    return found.select("doc_id", "n_words", "n_hit", "items", "spans")
+    return found.select("doc_id", "text_hash", "n_words", "n_hit", "items", "spans")
 
 
 def digest(found: DataFrame) -> DataFrame:

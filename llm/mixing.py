@@ -128,7 +128,7 @@ def mix(
     ``docs`` has ``doc_id``, ``text`` and the array column ``members``. Only
     pattern totals reach the driver: one row per distinct pattern. The order of a
     pattern's documents is summed range by range, so no task holds a whole source.
-    Returns doc_id, members, size, tie (hash of the text), routes (per member source:
+    Returns doc_id, members, text_hash, size, routes (per member source:
     its size, its target, and the words of this pattern routed to it), times.
     """
     sized = common.stage(
@@ -137,7 +137,7 @@ def mix(
             F.array_sort(F.array_distinct(F.coalesce(F.col(members), F.array().cast("array<string>")))).alias("members"),
             n_words("text").alias("size"),
             common.seeded(seed).alias("key"),
-            F.xxhash64(F.col("text").cast("string")).alias("tie"),
+            common.text_hash().alias("text_hash"),
         ),
         "mix-sizes",
     )
@@ -167,7 +167,7 @@ def mix(
         .withColumn("before", F.sum("words").over(W.partitionBy("members").orderBy("span")) - F.col("words"))
         .drop("words")
     )
-    own = W.partitionBy("members", "span").orderBy("key", "size", "tie").rowsBetween(W.unboundedPreceding, 0)
+    own = W.partitionBy("members", "span").orderBy("key", "size", "text_hash").rowsBetween(W.unboundedPreceding, 0)
     ordered = common.stage(
         sized.withColumn("span", span)
         .join(ranges, ["members", "span"])
@@ -183,18 +183,18 @@ def mix(
     )
     closing = (
         ordered.where(~F.col("first") & (F.col("size") > 0))
-        .select("members", "size", "key", "tie", "upto")
+        .select("members", "size", "key", "text_hash", "upto")
         .join(small(taken.where(gap > 0)), "members")
         .where(F.abs(gap - F.col("size")) < gap)
         .groupBy("members")
-        .agg(F.min(F.struct(F.abs(gap - F.col("size")).alias("off"), "key", "size", "tie", "upto")).alias("closing"))
+        .agg(F.min(F.struct(F.abs(gap - F.col("size")).alias("off"), "key", "size", "text_hash", "upto")).alias("closing"))
     )
     is_closing = (F.col("closing.key") == F.col("key")) & (F.col("closing.upto") == F.col("upto"))
     times = F.col("all_times") + F.when(F.col("first") | F.coalesce(~F.col("first") & is_closing, F.lit(False)), 1).otherwise(0)
     return (
         ordered.join(small(closing), "members", "left")
         .join(small(plan.select("members", "routes")), "members")
-        .select("doc_id", "members", "size", "tie", "routes", times.alias("times"))
+        .select("doc_id", "text_hash", "members", "size", "routes", times.alias("times"))
     )
 
 
@@ -250,3 +250,24 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", own["source_size"].alias("source_size"), own["target"].alias("target"),
         (F.col("size") * F.col("times")).alias("taken"),
     )
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The documents that the mix takes, once per ``copy`` (1 to ``USES``).
+
+    Rows equal in id and text share their copies out among them.
+    """
+    times = mix(by_source(docs)).groupBy("doc_id", "text_hash").agg(
+        F.sum("times").alias("_times"), F.count("*").alias("_rows")
+    )
+    taken = common.stage(times.where("_times > 0").withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}), "mix-times")
+    own = docs.withColumn("_text_hash", common.text_hash())
+    met = own.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
+    place = F.row_number().over(W.partitionBy("_id", "_hash").orderBy("_hash"))
+    rest = F.when(place <= F.col("_times") % F.col("_rows"), 1).otherwise(0)
+    copies = (F.floor(F.col("_times") / F.col("_rows")) + rest).cast("int")
+    return (
+        met.withColumn("_copies", copies).where("_copies > 0")
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), "_copies")))
+        .select(*docs.columns, "copy")
+    )

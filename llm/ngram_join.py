@@ -207,7 +207,8 @@ def class_links(sets: DataFrame) -> DataFrame:
 
 
 def joined_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (least id among all that a document can reach by links)."""
+    """doc_id, text_hash, n_shingles, component_id (least id among all that a document can reach
+    by links) and component (names the group; null for an empty set, which is alone)."""
     sets = shingle_sets(docs)
     links = class_links(sets)
     least = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
@@ -216,12 +217,36 @@ def joined_sets(docs: DataFrame) -> DataFrame:
     )
     named = common.stage(named, "class-names")
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = named.join(ids, "component").select("cls", "component_id")
+    of_class = named.join(ids, "component").select("cls", "component", "component_id")
     return sets.join(of_class, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"),
+        F.coalesce("component_id", "doc_id").alias("component_id"), "component",
     )
 
 
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """One document of each group: the one of least id (then hash); rows equal in both once.
+
+    Documents with empty sets are no copies of each other and all stay.
+    """
+    rows = common.stage(joined_sets(docs), "near-copies")
+    grouped = rows.where(F.col("component").isNotNull())
+    first = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"))
+    stays = (F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.text_hash") == F.col("text_hash"))
+    left = common.without(docs, grouped.join(first, "component").where(~stays))
+    # What is left twice is equal in id and text.
+    twice = grouped.groupBy("doc_id", "text_hash").count().where("count > 1")
+    twice = common.stage(twice, "equal-rows")
+    if twice.isEmpty():
+        return left
+    key = ["doc_id", "_hash"]
+    again = left.withColumn("_hash", common.text_hash()).join(
+        twice.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_twice")),
+        F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_twice")),
+    ).dropDuplicates(key).select(*docs.columns)
+    return common.without(left, twice).unionByName(again)
+
+
 SQL = f"""
 WITH RECURSIVE d AS MATERIALIZED (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -241,4 +266,4 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
-    return joined_sets(common.table(spark, folder, "documents"))
+    return joined_sets(common.table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -252,7 +252,7 @@ def spans(docs: DataFrame) -> DataFrame:
 
 def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_hash().alias("text_hash"), text.alias("text"))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -276,7 +276,7 @@ def masked(docs: DataFrame) -> DataFrame:
     found = spans(keyed(docs)).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans")
     signs = F.coalesce(text.rlike(r"[0-9@]|[\[({](?:at|AT)[\])}]"), F.lit(False))
     met = docs.where(signs).join(
-        found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left"
+        found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (common.text_hash() == F.col("_hash")), "left"
     )
     # Spans in order; each piece is the text since the one before and a mark.
     spans_ = F.col("spans")

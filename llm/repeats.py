@@ -49,7 +49,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, hash of the text (orders equal ids) and the text's bytes."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"),
+        common.text_hash().alias("text_hash"),
         common.binary("text").alias("data"),
     )
 

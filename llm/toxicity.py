@@ -165,7 +165,7 @@ def features_of(text: bytes | None, codes: _Words) -> list[float]:
 
 
 def features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """doc_id and one column per feature for every document; no shuffle."""
+    """doc_id, text_hash and one column per feature for every document; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def measure(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,9 +177,11 @@ def features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
                 names=[*batch.schema.names[:-1], *FEATURES],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.binary("text").alias("text"))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), common.text_hash().alias("text_hash"), common.binary("text").alias("text")
+    )
     schema = T.StructType(
-        [T.StructField("doc_id", T.LongType()), *(T.StructField(name, T.DoubleType()) for name in FEATURES)]
+        [T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), *(T.StructField(name, T.DoubleType()) for name in FEATURES)]
     )
     return rows.mapInArrow(measure, schema)
 
@@ -203,7 +205,7 @@ def training_rows(labels: DataFrame, most: int = TRAINING, seed: str = SEED) ->
 
 
 def score(docs: DataFrame, labels: DataFrame, training: int = TRAINING, seed: str = SEED) -> DataFrame:
-    """doc_id, score and predicted for every document, learned from ``labels`` (doc_id, toxic)."""
+    """doc_id, text_hash, score and predicted for every document, learned from ``labels`` (doc_id, toxic)."""
     known = common.stage(training_rows(labels, training, seed), "toxicity-labels")
     # ``training`` ids and labels at most: less than a megabyte.
     texts = docs.join(F.broadcast(known.where("part = 'words'")), "doc_id").select("text", "toxic")
@@ -214,7 +216,7 @@ def score(docs: DataFrame, labels: DataFrame, training: int = TRAINING, seed: st
     classes = {r.toxic: r.n for r in rows.where("part = 'trees'").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(classes) < 2:
         share = known.agg(F.avg("toxic")).head()[0] or 0.0
-        scored = measured.select("doc_id", F.lit(float(share)).alias("score"))
+        scored = measured.select("doc_id", "text_hash", F.lit(float(share)).alias("score"))
     else:
         trees = GBTClassifier(
             featuresCol="features", labelCol="toxic", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=1
@@ -225,9 +227,9 @@ def score(docs: DataFrame, labels: DataFrame, training: int = TRAINING, seed: st
         scale = chance(rows.where("part = 'scale'")).select("chance", F.col("toxic").cast("double").alias("label"))
         if scale.agg(F.countDistinct("label")).head()[0] == 2:
             steps = IsotonicRegression(featuresCol="chance", labelCol="label", predictionCol="score").fit(scale)
-            scored = steps.transform(chance(measured)).select("doc_id", "score")
+            scored = steps.transform(chance(measured)).select("doc_id", "text_hash", "score")
         else:
-            scored = chance(measured).select("doc_id", F.col("chance").alias("score"))
+            scored = chance(measured).select("doc_id", "text_hash", F.col("chance").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
