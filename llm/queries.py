@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, lz_fingerprint, mixing, ngram_join, personal_data, substring_dedup, toxicity
+from . import decontamination, language, lz_fingerprint, mixing, ngram_join, personal_data, quality, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
+    "op2_quality_classifier": quality.query,
     "op3_benchmark_decontamination": decontamination.query,
     "op4_toxicity": toxicity.query,
+    "op5_token_counts": token_counts.query,
     "op6_substring_dedup": substring_dedup.query,
     "op7_personal_data": personal_data.query,
     "op8_language_id": language.query,
