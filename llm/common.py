@@ -49,16 +49,29 @@ def text_hash(text: str | Column = "text") -> Column:
     return F.xxhash64(F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit("")))
 
 
+def rows_by_key(docs: DataFrame) -> DataFrame:
+    """(id, hash, row): each document whole in ``row``, so that no column of it can clash."""
+    whole = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
+    return docs.select(F.col("doc_id").cast("long").alias("id"), text_hash().alias("hash"), whole.alias("row"))
+
+
+def same_key(left: str, right: str) -> Column:
+    """Whether two aliased frames' ``id`` (null equals null) and ``hash`` agree."""
+    return F.col(f"{left}.id").eqNullSafe(F.col(f"{right}.id")) & (F.col(f"{left}.hash") == F.col(f"{right}.hash"))
+
+
+def keys(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
+
+
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """The documents that are not among ``rejected`` (doc_id, text_hash).
 
     Rejected rows are written first, so that Spark knows their size and sends
     them to the documents only where they are few.
     """
-    gone = stage(rejected.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "rejected")
-    return docs.join(
-        gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_hash() == F.col("_hash")), "left_anti"
-    )
+    gone = stage(keys(rejected), "rejected")
+    return rows_by_key(docs).alias("d").join(gone.alias("g"), same_key("d", "g"), "left_anti").select("row.*")
 
 
 def binary(column: str | Column) -> Column:

@@ -253,21 +253,20 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes, once per ``copy`` (1 to ``USES``).
+    """The documents that the mix takes, once per ``copy`` (1 to ``USES``; replaces a column of that name).
 
     Rows equal in id and text share their copies out among them.
     """
-    times = mix(by_source(docs)).groupBy("doc_id", "text_hash").agg(
-        F.sum("times").alias("_times"), F.count("*").alias("_rows")
+    times = mix(by_source(docs)).groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(
+        F.sum("times").alias("times"), F.count("*").alias("rows")
     )
-    taken = common.stage(times.where("_times > 0").withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}), "mix-times")
-    own = docs.withColumn("_text_hash", common.text_hash())
-    met = own.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
-    place = F.row_number().over(W.partitionBy("_id", "_hash").orderBy("_hash"))
-    rest = F.when(place <= F.col("_times") % F.col("_rows"), 1).otherwise(0)
-    copies = (F.floor(F.col("_times") / F.col("_rows")) + rest).cast("int")
+    taken = common.stage(times.where("times > 0"), "mix-times")
+    met = common.rows_by_key(docs).alias("d").join(taken.alias("t"), common.same_key("d", "t"))
+    place = F.row_number().over(W.partitionBy("t.id", "t.hash").orderBy("t.hash"))
+    rest = F.when(place <= F.col("times") % F.col("rows"), 1).otherwise(0)
+    copies = (F.floor(F.col("times") / F.col("rows")) + rest).cast("int")
+    names = [F.col(f"row.`{name}`") for name in docs.columns if name != "copy"]
     return (
-        met.withColumn("_copies", copies).where("_copies > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), "_copies")))
-        .select(*docs.columns, "copy")
+        met.select("row", copies.alias("copies")).where("copies > 0")
+        .select(*names, F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
     )

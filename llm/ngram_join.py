@@ -239,11 +239,10 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     twice = common.stage(twice, "equal-rows")
     if twice.isEmpty():
         return left
-    key = ["doc_id", "_hash"]
-    again = left.withColumn("_hash", common.text_hash()).join(
-        twice.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_twice")),
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_twice")),
-    ).dropDuplicates(key).select(*docs.columns)
+    again = (
+        common.rows_by_key(left).alias("d").join(common.keys(twice).alias("t"), common.same_key("d", "t"), "left_semi")
+        .dropDuplicates(["id", "hash"]).select("row.*")
+    )
     return common.without(left, twice).unionByName(again)
 
 

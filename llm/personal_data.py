@@ -273,25 +273,26 @@ def masked(docs: DataFrame) -> DataFrame:
     hash. Overlapping spans are cut where the one before ended.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = spans(keyed(docs)).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans")
+    found = spans(keyed(docs)).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "spans")
     signs = F.coalesce(text.rlike(r"[0-9@]|[\[({](?:at|AT)[\])}]"), F.lit(False))
-    met = docs.where(signs).join(
-        found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (common.text_hash() == F.col("_hash")), "left"
-    )
+    met = common.rows_by_key(docs.where(signs)).alias("d").join(found.alias("f"), common.same_key("d", "f"), "left")
     # Spans in order; each piece is the text since the one before and a mark.
-    spans_ = F.col("spans")
+    spans_, own = F.col("f.spans"), F.col("row.text").cast("string")
     ends = lambda at: F.when(at == 0, 0).otherwise(F.get(spans_, at - 1)["end"])
     piece = lambda s, at: F.concat(
-        F.when(s["start"] > ends(at), F.substring(F.col("text"), ends(at) + 1, s["start"] - ends(at))).otherwise(F.lit("")),
+        F.when(s["start"] > ends(at), F.substring(own, ends(at) + 1, s["start"] - ends(at))).otherwise(F.lit("")),
         F.lit("["), F.upper(s["kind"]), F.lit("]"),
     )
-    rest = F.substring(F.col("text"), F.element_at(spans_, -1)["end"] + 1, F.lit(2**31 - 1))
-    new = F.when(F.size(spans_) > 0, F.concat(F.array_join(F.transform(spans_, piece), ""), rest)).otherwise(F.col("text"))
-    done = met.withColumn("text", new).drop("_id", "_hash", "spans")
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        done = done.withColumn("n_chars", F.length("text").cast(kind))
-    return docs.where(~signs).unionByName(done.select(*docs.columns))
+    rest = F.substring(own, F.element_at(spans_, -1)["end"] + 1, F.lit(2**31 - 1))
+    new = F.when(F.size(spans_) > 0, F.concat(F.array_join(F.transform(spans_, piece), ""), rest)).otherwise(own)
+    done = met.select("row", new.alias("new"))
+    kinds = dict(docs.dtypes)
+    columns = [
+        F.col("new").alias(name) if name == "text"
+        else F.length("new").cast(kinds[name]).alias(name) if name == "n_chars"
+        else F.col(f"row.`{name}`") for name in docs.columns
+    ]
+    return docs.where(~signs).unionByName(done.select(*columns))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -208,7 +208,7 @@ def score(docs: DataFrame, labels: DataFrame, training: int = TRAINING, seed: st
     """doc_id, text_hash, score and predicted for every document, learned from ``labels`` (doc_id, toxic)."""
     known = common.stage(training_rows(labels, training, seed), "toxicity-labels")
     # ``training`` ids and labels at most: less than a megabyte.
-    texts = docs.join(F.broadcast(known.where("part = 'words'")), "doc_id").select("text", "toxic")
+    texts = docs.select("doc_id", "text").join(F.broadcast(known.where("part = 'words'")), "doc_id").select("text", "toxic")
     measured = common.stage(features(docs, learn_lexicon(texts)), "toxicity-features")
     rows = measured.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id", *FEATURES])
     rows = common.stage(rows, "toxicity-training").coalesce(4)
