@@ -59,8 +59,9 @@ FOR = {
     "card": r"(?i)\b(?:card|karte|carte|tarjeta|visa|mastercard|amex|credit|payment)\b",
     "phone": r"(?i)\b(?:tel|phone|call|fax|mobile|handy|telefon|téléphone|teléfono|whatsapp|sms)\b",
 }
-AGAINST = r"(?i)(?:version|release|v\.?|licen[sc]e|isbn|order|invoice|serial|section|§|id|no|nr)[\x20.:#-]*$"
+AGAINST = r"(?i)\b(?:version|release|v\.?|licen[sc]e|isbn|order|invoice|serial|section|§|id|no|nr)[\x20.:#-]*$"
 
+LOOSELY = "loosely "
 LABELERS = ["pattern", "gazetteer", "context", "shape"]
 #: Votes as pseudo-observations: a labeler starts right in 8 of 10 cases.
 _PRIOR, _ROUNDS = 10.0, 60
@@ -88,7 +89,8 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     ``docs`` has doc_id, text_hash and text. Text never leaves its row: only
     matches, lengths of what lies between and some context do. Offsets are
-    running sums within a document; the one shuffle is by document.
+    running sums within a document; the one shuffle is by document. Loose matches
+    that touch a base one are left out.
     """
     text = F.col("text")
     patterns = [(kind, True, BASE[kind]) for kind in KINDS] + [(kind, False, LOOSE[kind]) for kind in KINDS]
@@ -137,10 +139,15 @@ def candidates(docs: DataFrame) -> DataFrame:
         .when(F.col("kind") == "card", _luhn(digits))
         .otherwise(F.length(digits).between(9, 15))
     )
-    return (
+    found = (
         rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("size")).withColumn("digits", digits)
         .where(valid).drop("place", "gap")
     )
+    own = W.partitionBy("doc_id", "text_hash").orderBy("start", F.desc("base"), "end")
+    before = F.max(F.when(F.col("base"), F.col("end"))).over(own.rowsBetween(W.unboundedPreceding, -1))
+    after = F.min(F.when(F.col("base"), F.col("start"))).over(own.rowsBetween(1, W.unboundedFollowing))
+    apart = (F.coalesce(before, F.lit(0)) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end"))
+    return found.withColumn("apart", F.col("base") | apart).where("apart").drop("apart")
 
 
 def votes(found: DataFrame) -> DataFrame:
@@ -151,7 +158,8 @@ def votes(found: DataFrame) -> DataFrame:
         F.when(kind == "email", F.when(domain.isin(TOP_DOMAINS.split()), 1).otherwise(-1))
         .when(kind == "ip", F.when(text.rlike(RESERVED_IP), -1).otherwise(1))
         .when(kind == "card", F.when(digits.rlike(CARD_BEGINNINGS), 1).otherwise(-1))
-        .otherwise(F.when(text.rlike(CALLING_CODES) | ~F.col("base"), F.when(F.col("base"), 1).otherwise(0)).otherwise(-1))
+        .when(F.col("base"), F.when(text.rlike(CALLING_CODES), 1).otherwise(-1))
+        .otherwise(0)
     )
     cue = reduce(lambda a, k: a.when(kind == k, F.col("before").rlike(FOR[k])), KINDS[1:], F.when(kind == KINDS[0], F.col("before").rlike(FOR[KINDS[0]])))
     context = F.when(F.col("before").rlike(AGAINST), -1).when(cue, 1).otherwise(0)
@@ -169,40 +177,38 @@ def votes(found: DataFrame) -> DataFrame:
     )
 
 
-def reliabilities(counts: list[tuple[str, tuple[int, ...], int]]) -> tuple[dict, list[dict], dict]:
-    """EM over (kind, votes, n): share of true spans per kind, each labeler's chance of each
-    vote for true and false spans, and the posterior of every (kind, votes)."""
-    share = dict.fromkeys(KINDS, 0.5)
-    chance = [
-        {y: {v: 0.2 if v == 0 else 0.64 if v == (1 if y else -1) else 0.16 for v in (-1, 0, 1)} for y in (0, 1)}
-        for _ in LABELERS
-    ]
-    start = [{y: dict(c[y]) for y in c} for c in chance]
+def reliabilities(counts: list[tuple[str, tuple[int, ...], int]]) -> tuple[dict, list[dict[int, float]], dict]:
+    """EM over (kind, votes, n), base and loose kinds apart: share of true spans per kind, each labeler's chance
+    of a vote for, and the posterior of every (kind, votes)."""
+    names = sorted({kind for kind, _, _ in counts})
+    share = dict.fromkeys(names, 0.5)
+    # Chance of a vote for, given a true (1) or a false (0) span; no vote tells nothing.
+    chance = [{1: 0.8, 0: 0.2} for _ in LABELERS]
     posterior: dict = {}
     for _ in range(_ROUNDS):
         for kind, vote, _n in counts:
-            odds = math.log(share[kind] / (1 - share[kind])) + sum(
-                math.log(chance[k][1][v] / chance[k][0][v]) for k, v in enumerate(vote)
-            )
+            odds = math.log(share[kind] / (1 - share[kind]))
+            for c, v in zip(chance, vote, strict=True):
+                if v:
+                    odds += math.log(c[1] / c[0]) if v > 0 else math.log((1 - c[1]) / (1 - c[0]))
             posterior[kind, vote] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-        for kind in KINDS:
+        for kind in names:
             own = [(posterior[k, v], n) for k, v, n in counts if k == kind]
             share[kind] = (sum(p * n for p, n in own) + _PRIOR / 2) / (sum(n for _, n in own) + _PRIOR)
-        for at in range(len(LABELERS)):
+        for at, c in enumerate(chance):
             for y in (0, 1):
-                weight = {v: _PRIOR * start[at][y][v] for v in (-1, 0, 1)}
-                for kind, vote, n in counts:
-                    p = posterior[kind, vote]
-                    weight[vote[at]] += n * (p if y else 1 - p)
-                total = sum(weight.values())
-                chance[at][y] = {v: w / total for v, w in weight.items()}
+                given = [(vote[at], n * (posterior[k, vote] if y else 1 - posterior[k, vote])) for k, vote, n in counts]
+                up = sum(n for v, n in given if v > 0) + _PRIOR * (0.8 if y else 0.2)
+                c[y] = up / (sum(n for v, n in given if v) + _PRIOR)
     return share, chance, posterior
 
 
 def span_classifier(counts: list[tuple[str, tuple[int, ...], int]], posterior: dict) -> list[float]:
     """Weights of a logistic model (offset, votes, kinds) fitted to the posteriors."""
-    inputs = lambda kind, vote: [1.0, *map(float, vote), *(float(kind == k) for k in KINDS)]
-    start = [0.0, *[1.0] * len(LABELERS), *[0.0] * len(KINDS)]
+    inputs = lambda kind, vote: [1.0, *map(float, vote), *(float(kind.removeprefix(LOOSELY) == k) for k in KINDS)]
+    # A span needs more votes for than against; kinds and offset are held to that more strongly.
+    start = [-0.5, *[1.0] * len(LABELERS), *[0.0] * len(KINDS)]
+    hold = [0.2, *[0.01] * len(LABELERS), *[0.2] * len(KINDS)]
     total = sum(n for _, _, n in counts)
     weights = list(start)
     for _ in range(400 if total else 0):
@@ -212,7 +218,7 @@ def span_classifier(counts: list[tuple[str, tuple[int, ...], int]], posterior: d
             guess = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w * v for w, v in zip(weights, x, strict=True))))))
             for at, value in enumerate(x):
                 slope[at] += n / total * (posterior[kind, vote] - guess) * value
-        weights = [w + 0.5 * (s - 0.01 * (w - o)) for w, s, o in zip(weights, slope, start, strict=True)]
+        weights = [w + 0.5 * (s - h * (w - o)) for w, s, h, o in zip(weights, slope, hold, start, strict=True)]
     return weights
 
 
@@ -227,24 +233,14 @@ def spans(docs: DataFrame) -> DataFrame:
     counted = found.groupBy("kind", "base", *LABELERS).agg(F.count("*").alias("n"))
     counts: dict[tuple, int] = {}
     for r in counted.collect():
-        at = (r.kind, tuple(r[name] for name in LABELERS))
+        at = (r.kind if r.base else LOOSELY + r.kind, tuple(r[name] for name in LABELERS))
         counts[at] = counts.get(at, 0) + r.n
     table = [(kind, vote, n) for (kind, vote), n in sorted(counts.items())]
     weights = span_classifier(table, reliabilities(table)[2])
     inputs = [F.lit(1.0), *[F.col(n).cast("double") for n in LABELERS], *[(F.col("kind") == k).cast("double") for k in KINDS]]
     chance = 1 / (1 + F.exp(-reduce(lambda a, b: a + b, [F.lit(w) * x for w, x in zip(weights, inputs, strict=True)])))
-    own = W.partitionBy("doc_id", "text_hash").orderBy("start", F.desc("base"), "end")
-    before = F.max(F.when(F.col("base"), F.col("end"))).over(own.rowsBetween(W.unboundedPreceding, -1))
-    after = F.min(F.when(F.col("base"), F.col("start"))).over(own.rowsBetween(1, W.unboundedFollowing))
     return (
-        found.repartition("doc_id", "text_hash")
-        .withColumn("chance", chance).withColumn("base_before", before).withColumn("base_after", after)
-        .where(
-            F.col("base")
-            | (F.col("chance") >= 0.5)
-            & (F.coalesce(F.col("base_before"), F.lit(0)) <= F.col("start"))
-            & (F.coalesce(F.col("base_after"), F.col("end")) >= F.col("end"))
-        )
+        found.withColumn("chance", chance).where(F.col("base") | (F.col("chance") >= 0.5))
         .groupBy("doc_id", "text_hash")
         .agg(F.array_sort(F.collect_list(_span())).alias("spans"))
     )
