@@ -17,11 +17,14 @@ def lookup(key: Column, table: Mapping[str, object], default: object) -> Column:
 
 
 def engine_prompt(engine: Column, mode: Column) -> Column:
-    """Prompt of a local engine; an unknown mode gets the structured one."""
+    """Prompt of a local engine; an unknown mode gets the structured one.
+
+    ``easyocr`` reads an image without one: its prompt is the empty text.
+    """
     deepseek, glm = fixed.DEEPSEEK_PROMPTS, fixed.GLM_PROMPTS
     return F.when(engine == "deepseek", lookup(mode, deepseek, deepseek["structured"])).when(
         engine == "glm", lookup(mode, glm, glm["structured"])
-    )
+    ).when(engine == "easyocr", F.lit(""))
 
 
 def vision_prompt(mode: Column) -> Column:
@@ -52,12 +55,13 @@ def method_label(engine: Column, provider: Column, model: Column, mode: Column)
     """Label under which a run's records and results stand.
 
     ``model`` is the model of ``vision`` and ``glm`` (null or empty for the
-    default) and the backend of ``deepseek``. Other engines are their own label.
+    default) and the backend of ``deepseek`` (likewise). Other engines are their own label.
     """
+    backend = F.coalesce(F.nullif(model, F.lit("")), F.lit(fixed.DEEPSEEK_BACKEND))
     served = F.coalesce(F.nullif(model, F.lit("")), F.lit(fixed.GLM_MODEL))
     return (
         F.when(engine == "vision", F.concat(F.lit("vision-"), provider, F.lit("/"), resolve_model(provider, model)))
-        .when(engine == "deepseek", F.concat_ws("/", F.lit("deepseek-ocr2"), model, mode))
+        .when(engine == "deepseek", F.concat_ws("/", F.lit("deepseek-ocr2"), backend, mode))
         .when(engine == "glm", F.concat_ws("/", F.lit("glm-ocr"), served, mode))
         .when(engine == "easyocr", F.lit("easyocr-local"))
         .otherwise(engine)

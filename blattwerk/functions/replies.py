@@ -74,17 +74,25 @@ def scalar_text(value: Column) -> Column:
 
     Objects and lists give their JSON text.
     """
-    kind = F.schema_of_variant(value)
-    text = F.try_variant_get(value, "$", "string")
+    # Kind and text are worked out once per value, in an array of one struct;
+    # texts and plain whole numbers, nearly all values, end at the first test.
     # Whole numbers up to 18 digits are BIGINT, so a short DECIMAL without
     # decimals was written with a decimal point.
-    whole = kind.rlike(r"^DECIMAL\((?:[1-9]|1[0-8]),0\)")
-    return (
-        F.when(kind.isin("STRING", "BIGINT"), text)
-        .when(kind == "BOOLEAN", F.initcap(text))
-        .when(whole, F.concat(text, F.lit(".0")))
-        .when(kind == "DOUBLE", _float_text(text))
-        .otherwise(text)
+    seen = F.array(
+        F.struct(
+            F.schema_of_variant(value).alias("kind"), F.try_variant_get(value, "$", "string").alias("text")
+        )
+    )
+    return F.get(
+        F.transform(
+            seen,
+            lambda v: F.when((v["kind"] == "STRING") | (v["kind"] == "BIGINT"), v["text"])
+            .when(v["kind"] == "BOOLEAN", F.initcap(v["text"]))
+            .when(v["kind"].rlike(r"^DECIMAL\((?:[1-9]|1[0-8]),0\)"), F.concat(v["text"], F.lit(".0")))
+            .when(v["kind"] == "DOUBLE", _float_text(v["text"]))
+            .otherwise(v["text"]),
+        ),
+        F.lit(0),
     )
 
 
@@ -155,12 +163,3 @@ def empty_property_template() -> str:
     return json.dumps(
         {key: [] if key in LIST_KEYS else "" for key in PROPERTY_KEYS}, ensure_ascii=False, indent=2
     )
-
-
-def empty_properties() -> Column:
-    return F.struct(
-        *[
-            (F.array().cast("array<string>") if key in LIST_KEYS else F.lit("")).alias(key)
-            for key in PROPERTY_KEYS
-        ]
-    )

@@ -116,18 +116,25 @@ def fixed_decimals(number: Column, places: int) -> Column:
 def page_range(spec: Column) -> Column:
     """Page numbers in a list such as ``1,3,5-10``, ascending, each once.
 
-    A range that runs downwards holds no page.
+    A range that runs downwards holds no page, nor does a part that is no number;
+    ``page_range_error`` names those.
     """
     parts = F.transform(F.split(spec, ","), strip)
     bounds = F.transform(
         parts,
         lambda part: F.struct(
-            strip(F.split_part(part, F.lit("-"), F.lit(1))).cast("int").alias("first"),
+            strip(F.split_part(part, F.lit("-"), F.lit(1))).try_cast("int").alias("first"),
             strip(
                 F.when(part.contains("-"), F.regexp_replace(part, r"^[^-]*-", "")).otherwise(part)
-            ).cast("int").alias("last"),
+            ).try_cast("int").alias("last"),
         ),
     )
     upward = F.filter(bounds, lambda b: b["first"] <= b["last"])
     numbers = F.flatten(F.transform(upward, lambda b: F.sequence(b["first"], b["last"])))
     return F.array_sort(F.array_distinct(numbers))
+
+
+def page_range_error(spec: Column) -> Column:
+    """The first part of a page list that is neither a number nor a range, or null."""
+    parts = F.filter(F.transform(F.split(spec, ","), strip), lambda part: ~part.rlike(r"^\d+\s*(-\s*\d+)?$"))
+    return F.get(parts, F.lit(0))

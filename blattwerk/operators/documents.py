@@ -7,27 +7,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from blattwerk import fixed
 from blattwerk.functions import paths, text
 from blattwerk.functions.records import page_text
-from blattwerk.operators.pages import group_pages_by_source, part_of, sources
+from blattwerk.operators.pages import group_pages_by_source, texts_in_order
 
 
 def pages_text(pages: DataFrame, include_notes: bool = False) -> DataFrame:
-    """Text form of each document, page blocks set apart by a rule.
-
-    ``part`` orders the rows of documents that are too long for one; parts are
-    joined by the same rule.
-    """
-    return (
-        pages.withColumn("__block", page_text(include_notes))
-        .groupBy("method", "document", part_of(F.col("page")).alias("part"))
-        .agg(
-            F.concat(
-                F.expr(
-                    r"listagg(__block, '\n\n---\n\n') WITHIN GROUP (ORDER BY page, __block)"
-                ),
-                F.lit("\n"),
-            ).alias("text")
-        )
-    )
+    """Text form of each document, page blocks set apart by a rule."""
+    found = texts_in_order(pages, page_text(include_notes), r"\n\n---\n\n")
+    return found.select("method", "document", F.concat("text", F.lit("\n")).alias("text"))
 
 
 def markdown_block(page: Column, content: Column) -> Column:
@@ -37,35 +23,19 @@ def markdown_block(page: Column, content: Column) -> Column:
 
 
 def pages_markdown(pages: DataFrame, engine_name: str) -> DataFrame:
-    """Markdown form of each document: a title and its pages in order.
-
-    Later ``part`` rows of very long documents go on without a title.
-    """
+    """Markdown form of each document: a title and its pages in order."""
     title = F.concat(
         F.lit("# "), paths.base_name(F.col("document")), F.lit(f" ({engine_name})"), F.lit("\n")
     )
-    return (
-        pages.withColumn("__block", markdown_block(F.col("page"), F.col("content")))
-        .groupBy("method", "document", part_of(F.col("page")).alias("part"))
-        .agg(
-            F.expr(r"listagg(__block, '\n') WITHIN GROUP (ORDER BY page, __block)").alias("__body")
-        )
-        .select(
-            "method",
-            "document",
-            "part",
-            F.concat(
-                F.when(F.col("part") == 0, title).otherwise(""), F.col("__body"), F.lit("\n")
-            ).alias("markdown"),
-        )
-    )
+    found = texts_in_order(pages, markdown_block(F.col("page"), F.col("content")), r"\n")
+    return found.select("method", "document", F.concat(title, F.col("text"), F.lit("\n")).alias("markdown"))
 
 
-VECTOR_READY_ORDER = ["first_page", "source", "page"]
+VECTOR_READY_ORDER = ["method", "first_page", "source", "page"]
 
 
 def vector_ready_blocks(pages: DataFrame, number: str = "page") -> DataFrame:
-    """Markdown of all rewritten texts of a run, as ordered blocks.
+    """Markdown of all rewritten texts of a run, as ordered blocks per method.
 
     One block per page and one per source. The whole is one text for the whole
     run, so it is never put together in one place: sorted by
@@ -73,18 +43,14 @@ def vector_ready_blocks(pages: DataFrame, number: str = "page") -> DataFrame:
     """
     grouped = group_pages_by_source(pages, number)
     shown = text.fallback_text(F.col("vector_ready_text"), F.col("content"), fixed.NO_TEXT)
-    page_blocks = grouped.select(
-        "first_page",
-        "source",
-        F.col(number).alias("page"),
-        F.concat(
-            F.lit("\n### "), text.page_label(F.col("title"), F.col(number)), F.lit("\n\n"), shown
-        ).alias("block"),
-    )
-    headings = sources(pages, number).select(
-        "first_page",
-        "source",
-        F.lit(None).cast(pages.schema[number].dataType).alias("page"),
-        F.concat(F.lit("\n## Dokument: "), F.col("name")).alias("block"),
+    page_block = F.concat(
+        F.lit("\n### "), text.page_label(F.col("title"), F.col(number)), F.lit("\n\n"), shown
     )
-    return headings.unionByName(page_blocks)
+    heading = F.concat(F.lit("\n## Dokument: "), F.col("name"))
+    nothing = F.lit(None).cast(pages.schema[number].dataType)
+    # The first page of a group brings its heading along.
+    blocks = F.when(
+        F.col(number) == F.col("first_page"),
+        F.array(F.struct(nothing.alias("page"), heading.alias("block")), F.struct(F.col(number).alias("page"), page_block.alias("block"))),
+    ).otherwise(F.array(F.struct(F.col(number).alias("page"), page_block.alias("block"))))
+    return grouped.select("method", "first_page", "source", F.inline(blocks))

@@ -6,14 +6,18 @@ the JVM and are put back beside the reply, so there is no join afterwards.
 
 from __future__ import annotations
 
+import hashlib
+import queue
 import sys
+import threading
 import time
 import types
+from collections import deque
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from blattwerk import fixed, schemas
@@ -29,44 +33,71 @@ class Engine(NamedTuple):
     load: Callable[[], Model]
 
 
-def _model(engine: Engine) -> Model:
-    """The worker's loaded model; it outlives the task."""
-    held = sys.modules.setdefault("blattwerk_models", types.ModuleType("blattwerk_models")).__dict__
-    if engine.name not in held:
-        held[engine.name] = engine.load()
-    return held[engine.name]
+def _held() -> dict[str, Model]:
+    """Loaded models of this worker, by name and loader; they outlive the task."""
+    return sys.modules.setdefault("blattwerk_models", types.ModuleType("blattwerk_models")).__dict__
 
 
-def _attempt(model: Model, requests: list[dict], retries: int, timeout: float) -> list[str]:
-    """One batch call with retries; a call beyond the time limit is an error."""
+def _call(model: Model, requests: list[dict], timeout: float) -> list[str]:
+    """The model's texts; a call beyond the time limit is left behind and an error.
+
+    The thread is a daemon, so a call that never ends does not keep the worker.
+    """
+    answer: queue.Queue = queue.Queue(1)
+
+    def work() -> None:
+        try:
+            answer.put((model(requests), None))
+        except BaseException as fault:
+            answer.put((None, fault))
+
+    threading.Thread(target=work, daemon=True).start()
+    try:
+        texts, fault = answer.get(timeout=timeout)
+    except queue.Empty:
+        raise TimeoutError(f"keine Antwort nach {timeout:g} s") from None
+    if fault is not None:
+        raise fault
+    if len(texts) != len(requests):
+        raise ValueError(f"{len(requests)} Anfragen, {len(texts)} Antworten")
+    return texts
+
+
+def _attempt(key: str, engine: Engine, requests: list[dict], retries: int, timeout: float) -> list[str]:
+    """One batch call with retries. The time limit is for each request of the batch.
+
+    A model that is still busy after its limit is never asked again: the next
+    attempt loads another one.
+    """
+    held = _held()
     for left in range(retries, -1, -1):
-        pool = ThreadPoolExecutor(1)
         try:
-            texts = pool.submit(model, requests).result(timeout)
-            if len(texts) != len(requests):
-                raise ValueError(f"{len(requests)} Anfragen, {len(texts)} Antworten")
-            return texts
-        except Exception:
+            if key not in held:
+                held[key] = engine.load()
+            return _call(held[key], requests, timeout * len(requests))
+        except Exception as fault:
+            if isinstance(fault, TimeoutError):
+                held.pop(key, None)
             if not left:
                 raise
-        finally:
-            pool.shutdown(wait=False)
     return []
 
 
-def _answer(model: Model, requests: list[dict], retries: int, timeout: float) -> list[tuple]:
+def _answer(
+    key: str, engine: Engine, requests: list[dict], retries: int, timeout: float, strip: bool
+) -> list[tuple]:
     """``(text, seconds, error)`` per request. A failed batch is asked again
     request by request, so that one bad page does not cost the others."""
     start = time.perf_counter()
     try:
-        texts = _attempt(model, requests, retries, timeout)
+        texts = _attempt(key, engine, requests, retries, timeout)
     except Exception as fault:
         if len(requests) > 1:
-            return [_answer(model, [one], retries, timeout)[0] for one in requests]
+            return [_answer(key, engine, [one], retries, timeout, strip)[0] for one in requests]
         error = f"{type(fault).__name__}: {fault}"
         return [(None, time.perf_counter() - start, error)]
     share = (time.perf_counter() - start) / len(requests)
-    return [(str(text or "").strip(), share, None) for text in texts]
+    return [(str(t or "").strip() if strip else str(t or ""), share, None) for t in texts]
 
 
 def apply_engine(
@@ -77,30 +108,51 @@ def apply_engine(
     timeout: float = fixed.CALL_TIMEOUT_SECONDS,
     spread_by: tuple[str, ...] = (),
     partitions: int | None = None,
+    strip: bool = True,
 ) -> DataFrame:
     """Replaces ``request`` by ``reply``, ``reply_seconds`` and ``reply_error``.
 
     A request without prompt gives the empty reply and no call. ``spread_by``
     (a key that differs from row to row, such as document and page) evens out
     the rows over tasks first; use it after a step that leaves many rows of one
-    document together. Write the result with ``stage`` before using it twice.
+    document together. Write the result with ``stage`` before using it twice. A
+    call gets ``batch_size`` requests, gathered across Arrow batches; only the last
+    call of a task gets fewer. ``strip`` takes white space off the ends of replies.
     """
     retries, timeout = max(0, retries), max(1.0, timeout)
+    key = f"{engine.name}-{hashlib.sha256(cloudpickle.dumps(engine.load)).hexdigest()}"
 
     @F.pandas_udf(schemas.REPLY)
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: deque[tuple[pd.DataFrame, list[int]]] = deque()
+        asked: deque[tuple[pd.DataFrame, list[int], int, dict]] = deque()
+
+        def ask(count: int) -> None:
+            batch = [asked.popleft() for _ in range(count)]
+            answers = _answer(key, engine, [record for *_, record in batch], retries, timeout, strip)
+            for (out, left, at, _), answer in zip(batch, answers):
+                out.iloc[at] = answer
+                left[0] -= 1
+
+        def done() -> Iterator[pd.DataFrame]:
+            while waiting and not waiting[0][1][0]:
+                yield waiting.popleft()[0].astype({"seconds": float})
+
         for frame in batches:
             out = pd.DataFrame(
                 {"text": "", "seconds": 0.0, "error": None}, index=range(len(frame)), dtype=object
             )
-            asked = [at for at, prompt in enumerate(frame["prompt"]) if prompt is not None]
-            records = frame.iloc[asked].to_dict("records")
-            for first in range(0, len(asked), batch_size):
-                batch = records[first : first + batch_size]
-                answers = _answer(_model(engine), batch, retries, timeout)
-                for at, answer in zip(asked[first : first + batch_size], answers):
-                    out.iloc[at] = answer
-            yield out.astype({"seconds": float})
+            places = [at for at, prompt in enumerate(frame["prompt"]) if prompt is not None]
+            left = [len(places)]
+            waiting.append((out, left))
+            records = frame.iloc[places].to_dict("records")
+            asked.extend((out, left, at, record) for at, record in zip(places, records))
+            while len(asked) >= batch_size:
+                ask(batch_size)
+            yield from done()
+        if asked:
+            ask(len(asked))
+        yield from done()
 
     if spread_by:
         count = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from blattwerk.fixed import LIST_KEYS, PROPERTY_KEYS
 from blattwerk.functions import replies
-from blattwerk.functions.text import is_blank, normalize_value, strip
+from blattwerk.functions.text import normalize_value, strip
 
 
 def property_values(separator: str, name: str = "properties") -> Column:
@@ -49,11 +49,15 @@ def parse_replies(rows: DataFrame, reply: str = "reply") -> DataFrame:
 def invoice_fill(rows: DataFrame) -> DataFrame:
     """Adds how many of the 17 properties are filled, and their share.
 
-    Works on the columns of one row: no shuffle. Both are null for a reply
-    that gave no properties, so that means leave it out.
+    Works on the columns of one row: no shuffle, and no stripping, as parsed
+    values are normalised and lists hold no blank texts. Both are null for a
+    reply that gave no properties, so that means leave it out.
     """
-    filled = F.size(F.filter(property_values(""), lambda value: ~is_blank(value)))
-    filled = F.when(F.col("properties").isNotNull(), filled)
+    tests = [
+        f"int(size(properties.`{key}`) > 0)" if key in LIST_KEYS else f"int(properties.`{key}` <> '')"
+        for key in PROPERTY_KEYS
+    ]
+    filled = F.when(F.col("properties").isNotNull(), F.expr(" + ".join(tests)))
     return rows.withColumn("filled_properties", filled).withColumn(
         "filled_ratio", F.round(F.col("filled_properties") / F.lit(len(PROPERTY_KEYS)), 4)
     )

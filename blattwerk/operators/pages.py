@@ -11,14 +11,36 @@ from blattwerk.functions import paths, text
 from blattwerk.functions.lookups import method_order
 from blattwerk.operators.ordering import number_rows, running_total
 
-# Pages that may be put together or numbered in one task. Longer documents are
-# handled in parts of this many page numbers, so that a document which holds
-# much of the table never lands in one task.
-PAGES_PER_PART = 8192
+# Page numbers that are put together or numbered in one group first; the blocks of a
+# document are then joined. Nothing in a result depends on it.
+PAGES_PER_BLOCK = 1024
 
 
-def part_of(page: Column) -> Column:
-    return F.floor((page - 1) / PAGES_PER_PART).cast("int")
+def block_of(page: Column) -> Column:
+    return F.floor((page - 1) / PAGES_PER_BLOCK).cast("int")
+
+
+def texts_in_order(
+    pages: DataFrame, shown: Column, separator: str, keys: tuple[str, ...] = ("method", "document")
+) -> DataFrame:
+    """One row per document: ``text`` joins what its pages show, in page order (null where none shows any).
+
+    Also counts the ``pages`` and, where there are any, sums their ``seconds``.
+    Every document takes the same two levels, page blocks first and then their
+    texts, so that no task sorts more pages than a block has.
+    """
+    seconds = ["seconds"] if "seconds" in pages.columns else []
+    joined = lambda text, order: F.expr(
+        f"listagg({text}, '{separator}') WITHIN GROUP (ORDER BY {order}, {text})"
+    )
+    blocks = (
+        pages.withColumn("__shown", shown)
+        .groupBy(*keys, block_of(F.col("page")).alias("__block"))
+        .agg(F.count("*").alias("pages"), *[F.sum(n).alias(n) for n in seconds], joined("__shown", "page").alias("__text"))
+    )
+    return blocks.groupBy(*keys).agg(
+        F.sum("pages").alias("pages"), *[F.sum(n).alias(n) for n in seconds], joined("__text", "__block").alias("text")
+    )
 
 
 def select_pages(pages: DataFrame, numbers: list[int] | Column | None) -> DataFrame:
@@ -44,20 +66,10 @@ def sort_pages(pages: DataFrame) -> DataFrame:
 def document_text(pages: DataFrame, keys: tuple[str, ...] = ("method", "document")) -> DataFrame:
     """Text of each document: its non-blank pages in order, a blank line between.
 
-    Also counts the pages and, where there are any, sums their ``seconds``. One
-    shuffle. Documents beyond ``PAGES_PER_PART`` page numbers come in several
-    rows; ``part`` orders them, and a blank line joins them.
+    Also counts the pages and, where there are any, sums their ``seconds``.
     """
-    measures = [F.count("*").alias("pages")]
-    if "seconds" in pages.columns:
-        measures.append(F.sum("seconds").alias("seconds"))
     kept = F.when(~text.is_blank(F.col("content")), F.col("content"))
-    joined = F.expr(r"listagg(__kept, '\n\n') WITHIN GROUP (ORDER BY page, __kept)")
-    return (
-        pages.withColumn("__kept", kept)
-        .groupBy(*keys, part_of(F.col("page")).alias("part"))
-        .agg(*measures, F.coalesce(joined, F.lit("")).alias("text"))
-    )
+    return texts_in_order(pages, kept, r"\n\n", keys).withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def number_pages_in_document(
@@ -65,22 +77,20 @@ def number_pages_in_document(
 ) -> DataFrame:
     """Adds the place of a page in its document, from 1.
 
-    Long documents are numbered part by part; only then are the sizes of the
-    earlier parts counted and added.
+    Pages are counted within blocks; a block's pages get the sizes of the blocks
+    before theirs. The same plan for every size.
     """
-    parts = [*keys, "__part"]
-    rows = pages.withColumn("__part", part_of(F.col("page")))
-    numbered = rows.withColumn(name, F.row_number().over(Window.partitionBy(*parts).orderBy("page")))
-    later = pages.where(F.col("page") > PAGES_PER_PART).select(*keys).distinct()
-    if later.isEmpty():
-        return numbered.drop("__part")
-    sizes = rows.join(later, list(keys), "left_semi").groupBy(*parts).count()
-    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*parts, F.sum("count").over(before).alias("__before"))
+    blocks = [*keys, "__block"]
+    narrow = pages.select(*keys, "page").withColumn("__block", block_of(F.col("page")))
+    upto = Window.partitionBy(*keys).orderBy("__block")
+    sizes = narrow.groupBy(*blocks).agg(F.count("*").alias("__pages"))
+    offsets = sizes.select(*blocks, (F.sum("__pages").over(upto) - F.col("__pages")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy(*blocks).orderBy("page"))
     return (
-        numbered.join(offsets, parts, "left")
-        .withColumn(name, (F.col(name) + F.coalesce("__before", F.lit(0))).cast("int"))
-        .drop("__part", "__before")
+        pages.withColumn("__block", block_of(F.col("page")))
+        .join(offsets, blocks)
+        .withColumn(name, (place + F.col("__before")).cast("int"))
+        .drop("__block", "__before")
     )
 
 
@@ -129,9 +139,14 @@ def pdf_records(pages: DataFrame) -> DataFrame:
 
 
 def folder_records(pages: DataFrame) -> DataFrame:
-    """Pages of a folder run: running number, title ``<name> / Seite <n>``, source in the notes."""
+    """Pages of a folder run: running number, title ``<name> / Seite <n>``, source in the notes.
+
+    Numbers are made on the keys alone; the other columns are joined once.
+    """
+    key = ["method", "document", "page"]
+    numbers = number_pages_global(number_pages_in_document(pages.select(*key)), number="number")
     return (
-        number_pages_global(number_pages_in_document(pages), number="number")
+        pages.join(numbers, key)
         .withColumn(
             "title",
             F.concat(
@@ -150,10 +165,10 @@ def with_source(pages: DataFrame) -> DataFrame:
 
 
 def sources(pages: DataFrame, number: str = "page") -> DataFrame:
-    """One row per source, with its first page number, which orders the groups."""
+    """One row per method and source, with its first page number, which orders the groups."""
     return (
         with_source(pages)
-        .groupBy("source")
+        .groupBy("method", "source")
         .agg(F.min(number).alias("first_page"), F.count("*").alias("pages"))
         .withColumn("name", paths.base_name(F.col("source")))
     )
@@ -161,7 +176,7 @@ def sources(pages: DataFrame, number: str = "page") -> DataFrame:
 
 def group_pages_by_source(pages: DataFrame, number: str = "page") -> DataFrame:
     """Pages with ``source``, ``name`` and the ``first_page`` of their group."""
-    return with_source(pages).join(sources(pages, number).drop("pages"), "source")
+    return with_source(pages).join(sources(pages, number).drop("pages"), ["method", "source"])
 
 
 def batch_time_share(pages: DataFrame, batch: str = "batch", seconds: str = "batch_seconds") -> DataFrame:
@@ -171,8 +186,12 @@ def batch_time_share(pages: DataFrame, batch: str = "batch", seconds: str = "bat
 
 
 def zip_pages_texts(pages: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pages with the texts of the same (document, page); unpaired rows of either side drop out."""
-    return pages.join(texts, ["document", "page"])
+    """Pages with the texts of the same page; unpaired rows of either side drop out.
+
+    The key is (method, document, page) where texts have a method, else (document, page).
+    """
+    key = [name for name in ("method", "document", "page") if name in texts.columns]
+    return pages.join(texts, key)
 
 
 def pages_by_method(pages: DataFrame, methods: list[str]) -> DataFrame:
@@ -193,21 +212,18 @@ def union_method_results(results: list[DataFrame]) -> DataFrame:
 def preview_pages(pages: DataFrame, length: int = 200, count: int = 3) -> DataFrame:
     """First pages of each method: beginning of the text on one line, and full length.
 
-    Only ``count`` rows per method and task reach the shuffle.
+    Only ``count`` rows per method and task reach the shuffle, with the beginning
+    of their text alone.
     """
     first = Window.partitionBy("method").orderBy(paths.path_order(F.col("document")), "page")
+    shown = pages.select(
+        "method", "document", "page", F.length("content").alias("chars"),
+        F.replace(F.substring("content", 1, length), F.lit("\n"), F.lit(" ")).alias("preview"),
+    )
     return (
-        pages.select("method", "document", "page", "content")
-        .withColumn("place", F.row_number().over(first))
+        shown.withColumn("place", F.row_number().over(first))
         .where(F.col("place") <= count)
-        .select(
-            "method",
-            "place",
-            "document",
-            "page",
-            F.length("content").alias("chars"),
-            F.replace(F.substring("content", 1, length), F.lit("\n"), F.lit(" ")).alias("preview"),
-        )
+        .select("method", "place", "document", "page", "chars", "preview")
     )
 
 

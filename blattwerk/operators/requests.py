@@ -6,10 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from blattwerk import fixed, schemas
 from blattwerk.functions import lookups, replies, text
-from blattwerk.session import stage
-
-# Characters one request may hold; a Spark value ends at 2 GiB.
-MAX_REQUEST_CHARS = 256 * 1024 * 1024
 
 
 def request(
@@ -34,8 +30,12 @@ def request(
 
 
 def image_payload(content: Column) -> Column:
-    """Image bytes as a data URI."""
-    return F.concat(F.lit("data:image/png;base64,"), F.base64(content))
+    """Image bytes as a data URI; the leading bytes tell the kind, PNG where they do not."""
+    start = F.hex(F.substring(content, 1, 12))
+    kind = F.lit("png")
+    for name, signature in fixed.IMAGE_SIGNATURES.items():
+        kind = F.when(start.rlike(f"^{signature}"), name).otherwise(kind)
+    return F.concat(F.lit("data:image/"), kind, F.lit(";base64,"), F.base64(content))
 
 
 def page_requests(
@@ -84,38 +84,6 @@ def rewrite_requests(pages: DataFrame, source_type: Column, model: Column | None
     )
 
 
-def whole_texts(texts: DataFrame, keys: tuple[str, ...] = ("method", "document")) -> DataFrame:
-    """One row per document out of ``document_text``, with an ``error`` column.
-
-    Nearly always every document has one part and nothing is moved. Else the
-    texts are written once, and the parts of the longer ones are joined; a document too long for any request keeps its
-    parts in the text table and gets an error here instead of a cut text.
-    """
-    later = texts.where(F.col("part") > 0).select(*keys).distinct()
-    none = F.lit(None).cast("string")
-    if later.isEmpty():
-        return texts.drop("part").withColumn("error", none)
-    texts = stage(texts, "texts")
-    short = texts.join(later, list(keys), "left_anti").drop("part").withColumn("error", none)
-    parts = texts.join(later, list(keys), "left_semi").withColumn("chars", F.length("text"))
-    measures = [F.sum(name).alias(name) for name in ("pages", "seconds", "chars") if name in parts.columns]
-    sizes = parts.groupBy(*keys).agg(*measures)
-    fits = sizes.where(F.col("chars") <= MAX_REQUEST_CHARS)
-    joined = (
-        parts.withColumn("__kept", F.nullif("text", F.lit("")))
-        .join(fits.select(*keys), list(keys), "left_semi")
-        .groupBy(*keys)
-        .agg(F.expr(r"listagg(__kept, '\n\n') WITHIN GROUP (ORDER BY part, __kept)").alias("text"))
-    )
-    whole = fits.join(joined, list(keys)).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("error", none)
-    too_long = (
-        sizes.where(F.col("chars") > MAX_REQUEST_CHARS)
-        .withColumn("text", none)
-        .withColumn("error", F.concat(F.lit("Text zu lang: "), F.col("chars").cast("string"), F.lit(" Zeichen")))
-    )
-    return short.unionByName(whole.drop("chars")).unionByName(too_long.drop("chars"))
-
-
 def property_requests(texts: DataFrame, model: Column | None = None) -> DataFrame:
     """Adds ``request`` for the invoice properties of a document's ``text``."""
     body = text.strip(F.coalesce("text", F.lit("")))

@@ -27,18 +27,26 @@ def truth_by_file(truth: DataFrame) -> DataFrame:
 
 
 def truth_lookup(items: DataFrame, truth: DataFrame, name: Column, path: Column) -> DataFrame:
-    """Adds ``truth``: that of the file name, or else of the path, or else null."""
-    by_file = truth_by_file(truth)
-    by_name = by_file.select(F.col("file").alias("__name"), F.col("truth").alias("__by_name"))
-    by_path = by_file.select(F.col("file").alias("__path"), F.col("truth").alias("__by_path"))
-    return (
-        items.withColumn("__name_key", name)
-        .withColumn("__path_key", path)
-        .join(by_name, F.col("__name_key") == F.col("__name"), "left")
-        .join(by_path, F.col("__path_key") == F.col("__path"), "left")
-        .withColumn("truth", F.coalesce("__by_name", "__by_path"))
-        .drop("__name_key", "__path_key", "__name", "__path", "__by_name", "__by_path")
+    """Adds ``truth``: that of the file name, or else of the path, or else null.
+
+    Truth is aggregated once and meets narrow candidate rows: each distinct (name,
+    path) of the items looks up both, the name first, and items get the outcome in
+    one join back.
+    """
+    keyed = items.withColumn("__name", name).withColumn("__path", path)
+    asked = keyed.select("__name", "__path").distinct()
+    candidates = asked.select(
+        "__name", "__path",
+        F.posexplode(F.array("__name", "__path")).alias("__order", "file"),
+    )
+    first = (
+        candidates.join(truth_by_file(truth), "file")
+        .groupBy("__name", "__path")
+        .agg(F.min_by("truth", "__order").alias("truth"))
     )
+    own = first.select(F.col("__name").alias("__n"), F.col("__path").alias("__p"), "truth")
+    met = F.col("__name").eqNullSafe(F.col("__n")) & F.col("__path").eqNullSafe(F.col("__p"))
+    return keyed.join(own, met, "left").drop("__name", "__path", "__n", "__p")
 
 
 def _scored() -> Column:

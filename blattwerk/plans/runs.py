@@ -29,7 +29,7 @@ def direct(
 ) -> DataFrame:
     """Page table of the decks in a folder, read from their XML."""
     prepare(spark)
-    return page_ops.select_pages(decks.read_decks(spark, folder, include_notes), numbers)
+    return decks.read_decks(spark, folder, include_notes, numbers=numbers)
 
 
 def run_pages(
@@ -45,10 +45,12 @@ def run_pages(
 ) -> DataFrame:
     """Page table from page images ``(document, page, content)``.
 
-    ``engine_kind`` is ``vision``, ``deepseek`` or ``glm``; ``label`` replaces the
+    ``engine_kind`` is one of ``fixed.ENGINE_KINDS``; ``label`` replaces the
     usual method label of the records. Only the chosen pages reach the engine. Replies are
     written once; a failed page keeps its error.
     """
+    if engine_kind not in fixed.ENGINE_KINDS:
+        raise ValueError(f"Unbekannte Engine: {engine_kind}")
     prepare(images.sparkSession)
     chosen = page_ops.select_pages(images, numbers)
     settings = [F.lit(value).cast("string") for value in (engine_kind, provider, model, mode)]
@@ -61,7 +63,7 @@ def run_pages(
         F.lit(provider),
         F.lit(model).cast("string"),
     ).select(method.alias("method"), "document", "page", "request")
-    replies = stage(apply_engine(asked, engine), "page-replies")
+    replies = stage(apply_engine(asked, engine, strip=engine_kind == "glm"), "page-replies")
     content = F.coalesce("reply", F.lit(""))
     return replies.select(
         *PAGE_KEY,
@@ -134,17 +136,16 @@ def invoice_properties(
     written once, so later filters and joins neither ask nor parse again.
     """
     resolved = lookups.resolve_model(F.lit(provider), F.lit(model).cast("string"))
-    texts = requests.whole_texts(page_ops.document_text(pages))
-    documents = texts.withColumnsRenamed({"error": "text_error", "seconds": "page_seconds"})
+    documents = page_ops.document_text(pages).withColumnRenamed("seconds", "page_seconds")
     answered = apply_engine(requests.property_requests(documents, resolved), engine)
     parsed = invoices.parse_replies(answered.withColumn("reply", F.coalesce("reply", F.lit(""))))
-    error = F.coalesce("text_error", "reply_error", "error")
+    error = F.coalesce("reply_error", "error")
     items = invoices.invoice_fill(
         parsed.withColumn("error", error)
         .withColumn("properties", F.when(error.isNull(), F.col("properties")))
         .withColumnRenamed("text", "ocr_text")
         .withColumn("seconds", F.col("page_seconds") + F.col("reply_seconds"))
-        .drop("text_error", "reply_error", "reply_seconds", "reply", "page_seconds")
+        .drop("reply_error", "reply_seconds", "reply", "page_seconds")
     )
     return stage(items, "invoice-items")
 

@@ -108,7 +108,7 @@ PROPERTY_HEAD = literal(
       CASE WHEN {strip('text')} <> '' THEN {PROPERTY_HEAD} || {strip('text')} END AS prompt FROM texts""",
 )
 def build_property_requests(spark: SparkSession, folder: str) -> DataFrame:
-    texts = requests.whole_texts(page_ops.document_text(inputs.pages(spark, folder)))
+    texts = page_ops.document_text(inputs.pages(spark, folder))
     asked = requests.property_requests(texts)
     return asked.select("method", "document", "pages", "request.system", "request.prompt")
 

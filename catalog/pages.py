@@ -187,25 +187,25 @@ def page_record_folder(spark: SparkSession, folder: str) -> DataFrame:
 NOTES = "CASE WHEN page % 5 = 0 THEN 'ohne' WHEN page % 2 = 0 THEN notes || '/x.pdf' ELSE notes END"
 SOURCE = f"CASE WHEN page % 5 = 0 THEN '{fixed.UNKNOWN_SOURCE}' ELSE substr({NOTES}, 13) END"
 GROUPED = f"""{RECORDS}, numbered AS (
-    SELECT *, {SOURCE} AS source, row_number() OVER (ORDER BY string_split(document, '/'), page) AS slide_number
-    FROM v_records WHERE method = 'glm-ocr/glm-ocr/structured'),
-  grouped AS (SELECT *, min(slide_number) OVER (PARTITION BY source) AS first_page FROM numbered)"""
+    SELECT *, {SOURCE} AS source,
+      row_number() OVER (PARTITION BY method ORDER BY string_split(document, '/'), page) AS slide_number FROM v_records),
+  grouped AS (SELECT *, min(slide_number) OVER (PARTITION BY method, source) AS first_page FROM numbered)"""
 
 
 def _run_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages of one method as a folder run leaves them, from several sources."""
-    pages = inputs.records(spark, folder).where("method = 'glm-ocr/glm-ocr/structured'")
+    """Pages as folder runs leave them, from several sources, each method a run."""
+    pages = inputs.records(spark, folder)
     numbered = ops.number_pages_global(pages)
     return stage(numbered.withColumn("notes", F.expr(NOTES)), "run-pages")
 
 
 @query(
     "group_pages_by_source",
-    f"{GROUPED} SELECT slide_number, source, {base('source')} AS name, first_page FROM grouped",
+    f"{GROUPED} SELECT method, slide_number, source, {base('source')} AS name, first_page FROM grouped",
 )
 def group_pages_by_source(spark: SparkSession, folder: str) -> DataFrame:
     grouped = ops.group_pages_by_source(_run_pages(spark, folder), "slide_number")
-    return grouped.select("slide_number", "source", "name", "first_page")
+    return grouped.select("method", "slide_number", "source", "name", "first_page")
 
 
 @query(
@@ -241,12 +241,9 @@ def zip_pages_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- Whole documents ----------------------------------------------------------------------
 
-PART = "(page - 1) // 8192"
-
-
 @query(
     "document_text",
-    f"""{PAGES} SELECT method, document, {PART} AS part, count(*) AS pages, sum(seconds) AS seconds,
+    f"""{PAGES} SELECT method, document, count(*) AS pages, sum(seconds) AS seconds,
       coalesce(string_agg(content, chr(10) || chr(10) ORDER BY page)
         FILTER (WHERE {strip('content')} <> ''), '') AS text
     FROM v_pages GROUP BY ALL""",
@@ -290,9 +287,9 @@ MD_BLOCK = f"""chr(10) || '## Page ' || CAST(page AS STRING) || chr(10) || chr(1
 
 @query(
     "write_pages_markdown",
-    f"""{PAGES} SELECT method, document, {PART} AS part,
+    f"""{PAGES} SELECT method, document,
       '# ' || document || ' (OCR)' || chr(10) || string_agg({MD_BLOCK}, chr(10) ORDER BY page) || chr(10) AS markdown
-    FROM v_pages GROUP BY method, document, {PART}""",
+    FROM v_pages GROUP BY method, document""",
 )
 def write_pages_markdown(spark: SparkSession, folder: str) -> DataFrame:
     path = new_table_path(spark, "markdown")
@@ -317,14 +314,14 @@ def write_pages_text(spark: SparkSession, folder: str) -> DataFrame:
 
 VECTOR_TEXT = strip("CASE WHEN vector_ready_text <> '' THEN vector_ready_text ELSE content END")
 VECTOR_BLOCKS = f"""{GROUPED}, blocks AS (
-    SELECT first_page, source, slide_number AS page, chr(10) || '### ' ||
+    SELECT method, first_page, source, slide_number AS page, chr(10) || '### ' ||
       CASE WHEN title = '' THEN 'Slide ' || CAST(slide_number AS STRING) ELSE title END || chr(10) || chr(10) ||
       CASE WHEN {VECTOR_TEXT} = '' THEN {literal(fixed.NO_TEXT)} ELSE {VECTOR_TEXT} END AS block FROM grouped
     UNION ALL
-    SELECT DISTINCT first_page, source, NULL, chr(10) || '## Dokument: ' || {base('source')} FROM grouped)"""
+    SELECT DISTINCT method, first_page, source, NULL, chr(10) || '## Dokument: ' || {base('source')} FROM grouped)"""
 
 
-@query("vector_ready_blocks", f"{VECTOR_BLOCKS} SELECT first_page, source, page, block FROM blocks")
+@query("vector_ready_blocks", f"{VECTOR_BLOCKS} SELECT method, first_page, source, page, block FROM blocks")
 def vector_ready_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return documents.vector_ready_blocks(_run_pages(spark, folder), "slide_number")
 

@@ -23,32 +23,25 @@ def by_document(rows):
     return {r.document: r for r in rows}
 
 
-def test_whole_text_of_a_long_document(skewed, monkeypatch):
-    whole = {r.document: (r.pages, r.seconds, r.text) for r in requests.whole_texts(ops.document_text(skewed)).collect()}
-    monkeypatch.setattr(ops, "PAGES_PER_PART", 7)
-    parts = ops.document_text(skewed)
-    assert parts.where("document = 'a/long.pdf'").count() == 6
-    joined = {r.document: (r.pages, r.seconds, r.text) for r in requests.whole_texts(parts).collect()}
-    assert joined == whole
-    assert whole["a/long.pdf"][2] == "\n\n".join(f"L{n}" for n in range(1, 41))
-    assert whole["a-b/3.pdf"] == (2, 0.5, "3.1")
-
-
-def test_text_beyond_every_request_is_an_error(skewed, monkeypatch):
-    monkeypatch.setattr(ops, "PAGES_PER_PART", 7)
-    monkeypatch.setattr(requests, "MAX_REQUEST_CHARS", 50)
-    texts = requests.whole_texts(ops.document_text(skewed))
-    rows = by_document(texts.collect())
-    assert len(rows) == 41
-    assert rows["a/long.pdf"].text is None and rows["a/long.pdf"].error.startswith("Text zu lang")
-    assert rows["a-b/0.pdf"].error is None
-    asked = by_document(requests.property_requests(texts).collect())
-    assert asked["a/long.pdf"].request.prompt is None
-
-
-@pytest.mark.parametrize("per_part", [8192, 7])
-def test_numbers_in_document_do_not_depend_on_parts(skewed, monkeypatch, per_part):
-    monkeypatch.setattr(ops, "PAGES_PER_PART", per_part)
+@pytest.mark.parametrize("per_block", [1024, 7, 1])
+def test_one_text_per_document_whatever_its_length(skewed, monkeypatch, per_block):
+    monkeypatch.setattr(ops, "PAGES_PER_BLOCK", per_block)
+    texts = {r.document: (r.pages, r.seconds, r.text) for r in ops.document_text(skewed).collect()}
+    assert len(texts) == 41
+    assert texts["a/long.pdf"] == (40, 20.0, "\n\n".join(f"L{n}" for n in range(1, 41)))
+    assert texts["a-b/3.pdf"] == (2, 0.5, "3.1")
+
+
+def test_very_long_text_is_asked_whole(spark):
+    pages = spark.range(1, 3001).selectExpr("'m' AS method", "'d' AS document", "int(id) AS page", "repeat(char(97 + id % 26), 3000) AS content")
+    (row,) = requests.property_requests(ops.document_text(pages)).collect()
+    assert row.text == "\n\n".join(chr(97 + n % 26) * 3000 for n in range(1, 3001))
+    assert row.request.prompt.endswith(row.text)
+
+
+@pytest.mark.parametrize("per_block", [1024, 7])
+def test_numbers_in_document_do_not_depend_on_blocks(skewed, monkeypatch, per_block):
+    monkeypatch.setattr(ops, "PAGES_PER_BLOCK", per_block)
     gaps = skewed.where("page % 3 <> 0")
     numbered = ops.number_pages_in_document(gaps).where("document = 'a/long.pdf'").orderBy("page").collect()
     assert [r.number for r in numbered] == list(range(1, 28))
