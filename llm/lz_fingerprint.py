@@ -2,8 +2,9 @@
 
 A text's UTF-8 bytes are parsed into dictionary phrases (each the longest known
 phrase and one byte more). The set of phrases is hashed and kept as ``HASHES``
-minima of 16 bits each. The share of equal minima estimates how many phrases two
-texts have in common, as a shared dictionary would compress them.
+minima of 8 bits each. The share of equal minima, less what is equal by chance,
+estimates how many phrases two texts have in common, as a shared dictionary would
+compress them.
 
 ``fingerprints`` needs no shuffle. ``neighbours`` also compares every document
 with an edited text and with the next document (descending id): documents are
@@ -31,37 +32,44 @@ from . import common
 
 HASHES = 128
 _BASE = 0x9E3779B97F4A7C15
-#: Phrases hashed by all functions together: bounds the matrix to 8 MB.
-_TOGETHER = 8192
+_PARTS = np.arange(HASHES)
+_EDGES = _PARTS.astype(np.uint64) << np.uint64(64 - (HASHES - 1).bit_length())
 
 
 class Parse:
-    """State of a parse: the dictionary as (phrase, byte) -> phrase, and phrase ends."""
+    """State of a parse: the dictionary as a tree by bytes, and where phrases end."""
 
     def __init__(self) -> None:
-        self.nodes: dict[int, int] = {}
-        self.at, self.size = 0, 0
+        self.root: dict[int, dict] = {}
+        self.at, self.size = self.root, 0
         self.ends: list[int] = []
 
-    def copy(self) -> Parse:
-        other = Parse()
-        other.nodes, other.at, other.size, other.ends = self.nodes.copy(), self.at, self.size, self.ends.copy()
-        return other
+    def _read(self, data: bytes) -> tuple[dict, list[int], list[tuple[dict, int]]]:
+        root, node, ends, added = self.root, self.at, [], []
+        note, grown = ends.append, added.append
+        for place, byte in enumerate(data, self.size + 1):
+            if byte in node:
+                node = node[byte]
+            else:
+                node[byte] = {}
+                note(place)
+                grown((node, byte))
+                node = root
+        return node, ends, added
 
     def read(self, data: bytes) -> Parse:
-        nodes, get, at, add = self.nodes, self.nodes.get, self.at, self.ends.append
-        place = self.size
-        for byte in data:
-            place += 1
-            key = at << 8 | byte
-            at = get(key, -1)
-            if at < 0:
-                nodes[key] = len(nodes) + 1
-                add(place)
-                at = 0
-        self.at, self.size = at, place
+        self.at, ends, _ = self._read(data)
+        self.ends += ends
+        self.size += len(data)
         return self
 
+    def ends_with(self, data: bytes) -> list[int]:
+        """Phrase ends if ``data`` came next; the state stays as it is."""
+        _, ends, added = self._read(data)
+        for node, byte in added:
+            del node[byte]
+        return self.ends + ends
+
 
 @lru_cache(maxsize=2)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,14 +83,8 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-@lru_cache(maxsize=1)
-def _functions() -> tuple[np.ndarray, np.ndarray]:
-    seeds = common.mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
-    return seeds[:HASHES] | np.uint64(1), seeds[HASHES:]
-
-
 def signature(data: bytes, ends: list[int]) -> np.ndarray | None:
-    """Minima (16 bits each) over the hashes of the phrases that end at ``ends``."""
+    """Minima (8 bits each) over the hashes of the phrases that end at ``ends``; one hash per phrase."""
     if not ends:
         return None
     size = 1 << max(12, len(data).bit_length())
@@ -91,12 +93,15 @@ def signature(data: bytes, ends: list[int]) -> np.ndarray | None:
     np.cumsum((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=sums[1:])
     stop = np.array(ends, np.int64)
     start = np.concatenate((np.zeros(1, np.int64), stop[:-1]))
-    phrases = common.mix((sums[stop] - sums[start]) * inverses[start])
-    factors, shifts = _functions()
-    least = np.full(HASHES, ~np.uint64(0))
-    for at in range(0, len(phrases), _TOGETHER):
-        least = np.minimum(least, (phrases[at : at + _TOGETHER, None] * factors + shifts).min(0))
-    return (common.mix(least) & np.uint64(0xFFFF)).astype(">u2")
+    phrases = np.sort(common.mix((sums[stop] - sums[start]) * inverses[start]))
+    # The hash range is cut into HASHES parts; each part's least phrase is a minimum.
+    at = np.searchsorted(phrases, _EDGES)
+    least = phrases[np.minimum(at, len(phrases) - 1)]
+    full = np.flatnonzero(np.diff(np.append(at, len(phrases))) > 0)
+    # An empty part takes the minimum of the next full one, stirred with the distance.
+    next_full = full[np.searchsorted(full, _PARTS) % len(full)]
+    distance = ((next_full - _PARTS) % HASHES).astype(np.uint64)
+    return (common.mix(least[next_full] + distance * np.uint64(_BASE)) & np.uint64(0xFF)).astype(np.uint8)
 
 
 def as_text(minima: np.ndarray | None) -> str:
@@ -106,7 +111,7 @@ def as_text(minima: np.ndarray | None) -> str:
 def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:
     if a is None or b is None:
         return float(a is b)
-    return float((a == b).mean())
+    return max(0.0, (float((a == b).mean()) - 1 / 256) / (1 - 1 / 256))
 
 
 def fingerprint(text: str | None) -> str:
@@ -136,11 +141,11 @@ class _Doc:
         self.head = self.text[: self.n - self.changed].encode()
         tail = self.text[self.n - self.changed :].encode()
         self.half = Parse().read(self.head)
-        self.minima = signature(self.head + tail, self.half.copy().read(tail).ends)
+        self.minima = signature(self.head + tail, self.half.ends_with(tail))
 
     def against(self, following: _Doc) -> tuple:
         new = following.text[: self.changed].encode()
-        edited = signature(self.head + new, self.half.read(new).ends)
+        edited = signature(self.head + new, self.half.ends_with(new))
         return (
             self.doc_id, self.n, hashlib.sha256(self.head + new).hexdigest(), as_text(self.minima), as_text(edited),
             likeness(self.minima, edited), likeness(self.minima, following.minima),
