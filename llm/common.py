@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Rows whose texts go to a Python worker together.
 BATCH_ROWS = 2000
+#: Keys of 16 bytes that are broadcast at most: 8 MB, tens of MB as a hash table.
+BROADCAST_KEYS = 500_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,24 +27,30 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
-    Cuts the lineage, so that a lost executor costs a re-read. Shuffle files of
-    the steps before are given back once nothing refers to them.
+    Cuts the lineage, so that a lost executor costs a re-read. ``free`` gives the
+    shuffle files of the steps before back at once, where they are large.
     """
     spark, schema = df.sparkSession, df.schema
     path = new_table_path(spark, name)
     df.write.parquet(path)
-    del df
-    release(spark)
+    if free:
+        del df
+        release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of frames that no longer exist."""
+    """Let Spark drop the shuffle files of finished steps, which it does when the JVM collects them.
+
+    A second collection takes what the first has only marked.
+    """
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(0.3)
+    spark._jvm.System.gc()
 
 
 def text_hash(text: str | Column = "text") -> Column:
@@ -67,10 +76,12 @@ def keys(rows: DataFrame) -> DataFrame:
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """The documents that are not among ``rejected`` (doc_id, text_hash).
 
-    Rejected rows are written first, so that Spark knows their size and sends
-    them to the documents only where they are few.
+    Rejected keys are written and counted first. Up to ``BROADCAST_KEYS`` they are
+    sent to the documents; beyond, both sides are shuffled.
     """
     gone = stage(keys(rejected), "rejected")
+    if gone.count() <= BROADCAST_KEYS:
+        gone = F.broadcast(gone)
     return rows_by_key(docs).alias("d").join(gone.alias("g"), same_key("d", "g"), "left_anti").select("row.*")
 
 
@@ -118,25 +129,39 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def windows(hashes: np.ndarray, width: int) -> np.ndarray:
-    """A hash of every run of ``width`` consecutive words, by doubling.
+_BASE = 0x9E3779B97F4A7C15
 
-    Runs of 1, 2, 4, ... words are joined to the width; each join stirs the
-    bits, so a run's hash depends on its words and their order only.
-    """
+
+class _Powers:
+    """Powers of an odd number and of its inverse modulo 2^64, as many as were needed yet."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def of(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < size:
+            steps = 1 << size.bit_length()
+            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+                column = np.full(steps, base, np.uint64)
+                column[0] = 1
+                setattr(self, name, np.multiply.accumulate(column))
+        return self.up[:size], self.down[:size]
+
+
+POWERS = _Powers()
+
+
+def windows(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every run of ``width`` consecutive values, by differences of one running sum."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out, done, power, size = None, 0, hashes, 1
-    while True:
-        if width & size:
-            part = power[done : done + n]
-            out = part if out is None else mix(out * np.uint64(0x9E3779B97F4A7C15) + part)
-            done += size
-        if done == width:
-            return out.copy() if width == 1 else out
-        power = mix(power[:-size] * np.uint64(0xD6E8FEB86659FD93) + power[size:])
-        size *= 2
+    up, down = POWERS.of(len(hashes))
+    sums = np.cumsum(hashes * up)
+    runs = sums[width - 1 :].copy()
+    runs[1:] -= sums[: n - 1]
+    runs *= down[:n]
+    return mix(runs + np.uint64(width))
 
 
 def held_out(modulus: int, rest: int) -> Column:

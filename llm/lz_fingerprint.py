@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from . import common
 
 HASHES = 128
-_BASE = 0x9E3779B97F4A7C15
+_STEP = 0x9E3779B97F4A7C15
 _PARTS = np.arange(HASHES)
 _EDGES = _PARTS.astype(np.uint64) << np.uint64(64 - (HASHES - 1).bit_length())
 
@@ -71,26 +70,13 @@ class Parse:
         return self.ends + ends
 
 
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2^64."""
-    inverse = pow(_BASE, -1, 1 << 64)
-    out = []
-    for base in (_BASE, inverse):
-        steps = np.full(size, base, np.uint64)
-        steps[0] = 1
-        out.append(np.multiply.accumulate(steps))
-    return out[0], out[1]
-
-
 def signature(data: bytes, ends: list[int]) -> np.ndarray | None:
     """Minima (8 bits each) over the hashes of the phrases that end at ``ends``; one hash per phrase."""
     if not ends:
         return None
-    size = 1 << max(12, len(data).bit_length())
-    powers, inverses = _powers(size)
+    powers, inverses = common.POWERS.of(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=sums[1:])
+    np.cumsum((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * powers, out=sums[1:])
     stop = np.array(ends, np.int64)
     start = np.concatenate((np.zeros(1, np.int64), stop[:-1]))
     phrases = np.sort(common.mix((sums[stop] - sums[start]) * inverses[start]))
@@ -101,11 +87,11 @@ def signature(data: bytes, ends: list[int]) -> np.ndarray | None:
     # An empty part takes the minimum of the next full one, stirred with the distance.
     next_full = full[np.searchsorted(full, _PARTS) % len(full)]
     distance = ((next_full - _PARTS) % HASHES).astype(np.uint64)
-    return (common.mix(least[next_full] + distance * np.uint64(_BASE)) & np.uint64(0xFF)).astype(np.uint8)
+    return (common.mix(least[next_full] + distance * np.uint64(_STEP)) & np.uint64(0xFF)).astype(np.uint8)
 
 
-def as_text(minima: np.ndarray | None) -> str:
-    return "" if minima is None else minima.tobytes().hex()
+def as_bytes(minima: np.ndarray | None) -> bytes:
+    return b"" if minima is None else minima.tobytes()
 
 
 def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:
@@ -116,7 +102,7 @@ def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:
 
 def fingerprint(text: str | None) -> str:
     data = (text or "").encode()
-    return as_text(signature(data, Parse().read(data).ends))
+    return as_bytes(signature(data, Parse().read(data).ends)).hex()
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -147,16 +133,17 @@ class _Doc:
         new = following.text[: self.changed].encode()
         edited = signature(self.head + new, self.half.ends_with(new))
         return (
-            self.doc_id, self.n, hashlib.sha256(self.head + new).hexdigest(), as_text(self.minima), as_text(edited),
+            self.doc_id, self.n, hashlib.sha256(self.head + new).digest(), as_bytes(self.minima), as_bytes(edited),
             likeness(self.minima, edited), likeness(self.minima, following.minima),
         )
 
 
+#: Hashes stay bytes in written tables, half of what their text would take.
 _COLUMNS = (
-    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+    "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, "
     "near_edited double, near_next double"
 )
-_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
 
 
 def _arrays(rows: list[tuple]) -> list[pa.Array]:
@@ -222,7 +209,10 @@ def neighbours(docs: DataFrame) -> DataFrame:
         .select("doc_id", "text", "next_text")
         .mapInArrow(close, _COLUMNS)
     )
-    return done.where("kind = 'row'").select(*names).unionByName(edges)
+    whole = done.where("kind = 'row'").select(*names).unionByName(edges)
+    return whole.withColumns(
+        {n: F.lower(F.hex(n)) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")}
+    )
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
