@@ -76,14 +76,18 @@ def supported_suffixes(listing: DataFrame) -> DataFrame:
     return supported_documents(listing).select("suffix", "kind").distinct()
 
 
-def page_images(files: DataFrame) -> DataFrame:
-    """Rendered page images ``<stem>_page_<n>.<suffix>`` as ``(document, page, content)``.
+def page_images(files: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Rendered page images ``<name>_page_<n>.<suffix>`` as ``(document, page, content)``.
 
     An image without a page number in its name is a document of one page.
+    ``documents``, a listing with ``path``, gives pages the path of the file that
+    they were rendered from: the one in their folder called ``<name>``, or else the
+    only one with that stem. An image that is listed itself is no page of another.
     """
     name = paths.stem(F.col("path"))
     number = F.regexp_extract(name, r"_page_([0-9]+)$", 1)
-    return files.select(
+    rows = files.select(
+        "path",
         F.when(
             number != "",
             F.concat_ws(
@@ -95,3 +99,21 @@ def page_images(files: DataFrame) -> DataFrame:
         F.coalesce(F.nullif(number, F.lit("")).cast("int"), F.lit(1)).alias("page"),
         "content",
     )
+    if documents is None:
+        return rows.drop("path")
+    listed = documents.select("path").distinct()
+    stem = F.concat_ws("/", F.nullif(paths.folder(F.col("path")), F.lit("")), paths.stem(F.col("path")))
+    by_stem = listed.groupBy(stem.alias("key")).agg(F.min("path").alias("source"), F.count("*").alias("n")).where("n = 1")
+    named = listed.select(F.col("path").alias("key"), F.col("path").alias("source"), F.lit(0).alias("rank")).unionByName(
+        by_stem.select("key", "source", F.lit(1).alias("rank"))
+    ).groupBy("key").agg(F.min_by("source", "rank").alias("source"))
+    own = listed.select(F.col("path").alias("own"))
+    return (
+        rows.join(own, F.col("path") == F.col("own"), "left")
+        .join(named, F.col("document") == F.col("key"), "left")
+        .select(
+            F.coalesce("own", "source", "document").alias("document"),
+            F.when(F.col("own").isNotNull(), 1).otherwise(F.col("page")).alias("page"),
+            "content",
+        )
+    )

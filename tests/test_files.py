@@ -160,6 +160,24 @@ def test_page_images(images):
     assert sorted((r.document, r.page) for r in images.collect()) == [("a.jpg", 1), ("b", 1), ("b", 2), ("b", 3)]
 
 
+def test_page_images_know_their_source(spark):
+    names = ["in/a.v2_page_1.png", "in/b_page_2.png", "in/b.pdf_page_1.png", "in/b.pptx_page_1.png", "in/scan_page_7.jpg", "x_page_1.png"]
+    found = files.page_images(
+        spark.createDataFrame([(n, n.encode()) for n in names], "path string, content binary"),
+        spark.createDataFrame([("in/a.v2.pdf",), ("in/b.pdf",), ("in/b.pptx",), ("in/scan_page_7.jpg",), ("y/x.pdf",)], "path string"),
+    )
+    assert {bytes(r.content).decode(): (r.document, r.page) for r in found.collect()} == {
+        "in/a.v2_page_1.png": ("in/a.v2.pdf", 1), "in/b_page_2.png": ("in/b", 2), "in/b.pdf_page_1.png": ("in/b.pdf", 1),
+        "in/b.pptx_page_1.png": ("in/b.pptx", 1), "in/scan_page_7.jpg": ("in/scan_page_7.jpg", 1), "x_page_1.png": ("x", 1),
+    }
+
+
+def test_unknown_engine_kind_is_an_error(images):
+    with pytest.raises(ValueError, match="abc"):
+        runs.run_pages(images, READ, "abc", "slide")
+    assert {r.method for r in runs.run_pages(images, READ, "easyocr", "free").collect()} == {"easyocr-local"}
+
+
 def test_folder_run(images):
     rows = runs.folder_run(images, READ, QUOTE, provider="x", model="y").orderBy("slide_number").collect()
     assert {r.method for r in rows} == {"vision-x/y"}
@@ -177,15 +195,22 @@ def test_run_with_titles_and_chosen_pages(images):
 
 
 def test_local_benchmark(spark, images):
-    truth = spark.createDataFrame([("b", "Belegnummer", "B3"), ("b", "Währung", "x")], "file string, key string, value string")
+    truth = spark.createDataFrame(
+        [("b.pdf", "Belegnummer", "B3"), ("b.pdf", "Währung", "x")], "file string, key string, value string"
+    )
+    images = files.page_images(
+        images.select(F.when(F.col("document") == "b", F.concat(F.lit("in/b_page_00"), F.col("page"), F.lit(".png")))
+                      .otherwise(F.concat(F.lit("in/"), F.col("document"))).alias("path"), "content"),
+        spark.createDataFrame([("in/b.pdf",), ("in/a.jpg",)], "path string"),
+    )
     result = runs.local_benchmark(
         images, images, {"deepseek": READ, "glm": READ}, QUOTE, INVOICE, truth, handwriting_dir="h", invoices_dir="r"
     )
     items = {(r.method, r.document): r for r in result.invoice_items.collect()}
     assert len(items) == 4
-    assert items["glm", "b"].ocr_text == "b1\n\nb3" and items["glm", "b"].pages == 3
-    assert (items["glm", "b"].evaluated_fields, items["glm", "b"].exact_matches) == (2, 1)
-    assert items["deepseek", "a.jpg"].evaluated_fields is None
+    assert items["glm", "in/b.pdf"].ocr_text == "b1\n\nb3" and items["glm", "in/b.pdf"].pages == 3
+    assert (items["glm", "in/b.pdf"].evaluated_fields, items["glm", "in/b.pdf"].exact_matches) == (2, 1)
+    assert items["deepseek", "in/a.jpg"].evaluated_fields is None
     assert {(r.method, r.total_items) for r in result.handwriting_summary.collect()} == {("deepseek", 4), ("glm", 4)}
     assert {(r.method, r.avg_property_fill_ratio) for r in result.invoice_summary.collect()} == {
         ("deepseek", 0.0588), ("glm", 0.0588),
