@@ -16,6 +16,7 @@ from blattwerk.functions.text import estimate_tokens, markdown_title
 from blattwerk.operators import comparing, invoices, pages as page_ops, requests, scoring
 from blattwerk.operators.engine import Engine, apply_engine
 from blattwerk.session import prepare, stage
+from blattwerk.sinks import writers
 from blattwerk.sources import decks, files
 
 PAGE_KEY = ("method", "document", "page")
@@ -150,6 +151,38 @@ def invoice_properties(
     return stage(items, "invoice-items")
 
 
+def invoice_run(
+    images: DataFrame,
+    engine: Engine,
+    property_engine: Engine,
+    path: str,
+    engine_kind: str = "deepseek",
+    mode: str = "structured",
+    backend: str | None = None,
+    provider: str = "openai",
+    model: str | None = None,
+    settings: dict[str, object] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Invoices from page images to a written run: ``(items, summary)``.
+
+    Pages are read, their texts joined and asked for properties; the items are
+    written to ``path`` and the summary is taken from what was written. The
+    header names the method, the task, both models and ``settings``.
+    """
+    pages = run_pages(images, engine, engine_kind, mode, model=backend)
+    items = invoice_properties(pages, property_engine, provider, model)
+    summary = invoices.invoice_run_summary(items)
+    header = {
+        "method": engine_kind,
+        "task": "invoice_property_extraction",
+        "llm": {"provider": provider, "model": model or "(default)"},
+        "ocr": {"backend": backend or fixed.DEEPSEEK_BACKEND, "prompt_mode": mode},
+        **(settings or {}),
+    }
+    writers.write_invoice_run(items, summary, path, header)
+    return items, summary
+
+
 class LocalBenchmark(NamedTuple):
     """Tables of a two-task comparison of local engines."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from blattwerk.fixed import LIST_KEYS, PROPERTY_KEYS
 from blattwerk.functions import replies
 from blattwerk.operators import invoices, pages as page_ops, requests, scoring
-from blattwerk.session import new_table_path
+from blattwerk.session import new_table_path, stage
 from blattwerk.sinks import writers
 from catalog import inputs
 from catalog.registry import literal, norm, query, strip
@@ -48,6 +48,7 @@ FIELDS = ", ".join(
     f"CASE WHEN error IS NULL THEN {VALUES.get(key, literal(''))} END AS p{n}" for n, key in enumerate(PROPERTY_KEYS)
 )
 FILLED = " + ".join(f"CAST(p{n} <> '' AS INT)" for n in range(len(PROPERTY_KEYS)))
+ALL_VALUES = " || ' ¦ ' || ".join(f"p{n}" for n in range(len(PROPERTY_KEYS)))
 ITEMS = f"""{REPLIES}, props AS (SELECT *, {FIELDS} FROM parsed),
   items AS (SELECT *, {FILLED} AS filled_properties, round(({FILLED}) / CAST(17 AS DOUBLE), 4) AS filled_ratio,
     length(reply) / CAST(8 AS DOUBLE) AS seconds FROM props)"""
@@ -195,15 +196,17 @@ def invoice_method_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "write_invoice_run",
-    f"""{ITEMS}, run AS (SELECT count(*) AS total_files,
+    f"""{ITEMS.replace("items AS (", "items AS MATERIALIZED (")}, run AS (SELECT count(*) AS total_files,
       coalesce(round(avg(filled_ratio), 4), 0) AS avg_property_fill_ratio FROM items)
-    SELECT document, items.method, filled_properties, 'invoice_property_extraction' AS task, total_files,
-      avg_property_fill_ratio FROM items, run""",
+    SELECT document, items.method, filled_properties, filled_ratio, {ALL_VALUES} AS found,
+      'invoice_property_extraction' AS task, total_files, avg_property_fill_ratio FROM items, run""",
 )
 def write_invoice_run(spark: SparkSession, folder: str) -> DataFrame:
     """Items and header of a run, written and read back."""
     path = new_table_path(spark, "invoice-run")
-    rows = items(spark, folder).select("document", "method", "properties", "filled_properties", "filled_ratio")
+    rows = stage(
+        items(spark, folder).select("document", "method", "properties", "filled_properties", "filled_ratio"), "items"
+    )
     summary = invoices.invoice_run_summary(rows)
     settings = {"task": "invoice_property_extraction", "llm": {"provider": "openai", "model": "(default)"}}
     writers.write_invoice_run(rows, summary, path, settings)
@@ -211,7 +214,8 @@ def write_invoice_run(spark: SparkSession, folder: str) -> DataFrame:
         "total_files bigint, avg_property_fill_ratio double, task string, llm struct<provider:string, model:string>"
     ).json(f"{path}/run").head()
     return spark.read.parquet(f"{path}/items").select(
-        "document", "method", "filled_properties",
+        "document", "method", "filled_properties", "filled_ratio",
+        F.when(F.col("properties").isNotNull(), F.array_join(invoices.property_values(" | "), " ¦ ")).alias("found"),
         F.lit(header.task).alias("task"),
         F.lit(header.total_files).cast("bigint").alias("total_files"),
         F.lit(header.avg_property_fill_ratio).alias("avg_property_fill_ratio"),

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from blattwerk import fixed
 from blattwerk.functions import lookups, records, text
 from blattwerk.operators import documents, pages as ops
+from blattwerk.operators.ordering import number_rows
 from blattwerk.session import new_table_path, stage
 from blattwerk.sinks import writers
 from catalog import inputs
@@ -59,9 +60,18 @@ def drop_blank_pages(spark: SparkSession, folder: str) -> DataFrame:
     return ops.drop_blank_pages(inputs.pages(spark, folder)).select(*KEYS, "content")
 
 
-@query("sort_pages", f"{PAGES} SELECT {KEY} FROM v_pages")
+@query("sort_pages", f"{PAGES} SELECT {KEY}, row_number() OVER (ORDER BY document, page, method) AS place FROM v_pages")
 def sort_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return ops.sort_pages(inputs.pages(spark, folder)).select(*KEYS)
+    """Keys with the place at which the sorted table holds them."""
+    held = ops.sort_pages(inputs.pages(spark, folder).select(*KEYS)).withColumn("at", F.monotonically_increasing_id())
+    return number_rows(held, F.col("at"), "place").drop("at")
+
+
+def written_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files below ``path`` with their place, files in name order."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    return number_rows(lines.select(F.col("value").alias("line"), at.alias("at")), F.col("at"), "place").drop("at")
 
 
 # --- Titles, sources, labels --------------------------------------------------------
@@ -300,16 +310,17 @@ def write_pages_markdown(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "write_pages_text",
     f"""{RECORDS}, blocks AS (SELECT {BLOCK} AS block,
-        row_number() OVER (ORDER BY document, page, method) AS place FROM v_records)
-    SELECT line, count(*) AS times FROM (
-      SELECT unnest(string_split(CASE WHEN place = 1 THEN '' ELSE chr(10) || '---' || chr(10) || chr(10) END
-        || block, chr(10))) AS line FROM blocks) t GROUP BY line""",
+        row_number() OVER (ORDER BY document, page, method) AS place FROM v_records),
+      split AS (SELECT place, string_split(CASE WHEN place = 1 THEN '' ELSE chr(10) || '---' || chr(10) || chr(10) END
+        || block, chr(10)) AS lines FROM blocks)
+    SELECT line, row_number() OVER (ORDER BY place, i) AS place FROM (
+      SELECT place, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM split) t""",
 )
 def write_pages_text(spark: SparkSession, folder: str) -> DataFrame:
-    """The written text, as the number of times each line occurs in it."""
+    """The written text, line by line."""
     path = new_table_path(spark, "pages-text")
     writers.write_pages_text(inputs.records(spark, folder), path, include_notes=True)
-    return spark.read.option("lineSep", "\n").text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("times"))
+    return written_lines(spark, path)
 
 
 VECTOR_TEXT = strip("CASE WHEN vector_ready_text <> '' THEN vector_ready_text ELSE content END")
@@ -328,16 +339,18 @@ def vector_ready_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "write_vector_ready",
-    f"""{VECTOR_BLOCKS} SELECT line, count(*) AS times FROM (
-      SELECT unnest(string_split(block, chr(10))) AS line FROM blocks
-      UNION ALL SELECT '{fixed.VECTOR_READY_HEADING}') t GROUP BY line""",
+    f"""{VECTOR_BLOCKS}, split AS (
+      SELECT row_number() OVER (ORDER BY method, first_page, source, page NULLS FIRST) AS n,
+        string_split(block, chr(10)) AS lines FROM blocks
+      UNION ALL SELECT 0, ['{fixed.VECTOR_READY_HEADING}'])
+    SELECT line, row_number() OVER (ORDER BY n, i) AS place FROM (
+      SELECT n, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM split) t""",
 )
 def write_vector_ready(spark: SparkSession, folder: str) -> DataFrame:
-    """The written Markdown, as the number of times each line occurs in it."""
+    """The written Markdown, line by line."""
     path = new_table_path(spark, "vector-ready")
     writers.write_vector_ready(_run_pages(spark, folder), path, "slide_number")
-    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
-    return lines.groupBy(F.col("value").alias("line")).agg(F.count("*").alias("times"))
+    return written_lines(spark, path)
 
 
 # --- Scalar functions ----------------------------------------------------------------------

@@ -67,10 +67,27 @@ def test_decks(spark, tmp_path):
     assert (good[1].notes, good[2].notes) == ("", "Notiz\nzwei")
     bad = pages.where("error IS NOT NULL").head()
     assert bad.document.endswith("kaputt.PPTX") and bad.error.startswith("BadZipFile")
-    assert runs.direct(spark, str(tmp_path), [2, 3]).count() == 2
+    assert runs.direct(spark, str(tmp_path), [2, 3]).where("error IS NULL").count() == 2
     assert runs.direct(spark, str(tmp_path)).where("page = 2").head().notes == ""
 
 
+def test_a_broken_slide_keeps_the_others(spark, tmp_path):
+    import io
+    import zipfile
+
+    whole = made.deck([[made.shape([f"Text {n}"])] for n in range(1, 5)])
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(whole)) as old, zipfile.ZipFile(out, "w") as new:
+        for name in old.namelist():
+            # Files are listed in the opposite order, so the third file is the second slide.
+            new.writestr(name, "<kaputt" if name.endswith("slides/slide3.xml") else old.read(name))
+    (tmp_path / "a.pptx").write_bytes(out.getvalue())
+    rows = {r.page: r for r in runs.direct(spark, str(tmp_path)).collect()}
+    assert sorted(rows) == [1, 2, 3, 4]
+    assert rows[2].error.startswith("ParseError") and [rows[n].content for n in (1, 3, 4)] == ["Text 1", "Text 3", "Text 4"]
+    assert [r.page for r in runs.direct(spark, str(tmp_path), [3]).collect()] == [3]
+
+
 def test_deck_reader_needs_no_shuffle(spark, tmp_path):
     (tmp_path / "a.pptx").write_bytes(made.deck([[]]))
     plan = decks.read_decks(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
@@ -184,7 +201,7 @@ def test_folder_run(images):
     assert [(r.slide_number, r.title, r.content, r.vector_ready_text, r.notes) for r in rows] == [
         (1, "a.jpg / Seite 1", "# Kopf", "> # Kopf", "source_file=a.jpg"),
         (2, "b / Seite 1", "b1", "> b1", "source_file=b"),
-        (3, "b / Seite 2", "", "", "source_file=b"),
+        (3, "b / Seite 2", " ", "", "source_file=b"),
         (4, "b / Seite 3", "b3", "> b3", "source_file=b"),
     ]
 
@@ -194,6 +211,16 @@ def test_run_with_titles_and_chosen_pages(images):
     assert sorted((r.document, r.title) for r in rows) == [("a.jpg", "Kopf"), ("b", "")]
 
 
+def test_invoice_run(spark, images, tmp_path):
+    out = str(tmp_path / "run")
+    items, summary = runs.invoice_run(images, READ, INVOICE, out, settings={"input_dir": "r"})
+    written = {r.document: r for r in spark.read.parquet(f"{out}/items").collect()}
+    assert written["b"].properties.Belegnummer == "b3" and written["b"].filled_properties == 1 and len(written) == 2
+    header = spark.read.json(f"{out}/run").head()
+    assert (header.total_files, header.avg_property_fill_ratio, header.task) == (2, 0.0588, "invoice_property_extraction")
+    assert header.ocr.backend == "transformers" and header.input_dir == "r" and summary.head().total_files == 2
+
+
 def test_local_benchmark(spark, images):
     truth = spark.createDataFrame(
         [("b.pdf", "Belegnummer", "B3"), ("b.pdf", "Währung", "x")], "file string, key string, value string"
