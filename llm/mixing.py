@@ -39,6 +39,9 @@ RANGE_DIGITS = 3
 BROADCAST_PATTERNS = 100_000
 
 
+_NOWHERE = object()
+
+
 def n_words(text: str | Column) -> Column:
     column = F.col(text) if isinstance(text, str) else text
     return F.coalesce(F.regexp_count(column.cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -79,8 +82,8 @@ def route(patterns: dict[tuple, int], quotas: dict, uses: int = USES) -> dict[tu
         for start in patterns:
             while left[start] > 0:
                 came: dict = {("p", start): None}
-                queue, end = deque([("p", start)]), None
-                while queue and end is None:
+                queue, end = deque([("p", start)]), _NOWHERE
+                while queue and end is _NOWHERE:
                     kind, node = queue.popleft()
                     if kind == "p":
                         for s in node:
@@ -95,7 +98,7 @@ def route(patterns: dict[tuple, int], quotas: dict, uses: int = USES) -> dict[tu
                             if flow[p, node] > 0 and ("p", p) not in came:
                                 came["p", p] = ("s", node)
                                 queue.append(("p", p))
-                if end is None:
+                if end is _NOWHERE:
                     break
                 path, at = [], ("s", end)
                 while at is not None:
