@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from blattwerk import fixed
 from blattwerk.functions import lookups
 from blattwerk.functions.text import fixed_decimals, stored_or_estimated_tokens
-from blattwerk.operators.pages import more_pages, preview_pages, union_all
+from blattwerk.operators.pages import preview_pages, union_all
+from blattwerk.session import stage
 
 
 def reject_methods(requests: DataFrame, asked: str = "asked") -> DataFrame:
@@ -154,8 +155,10 @@ REPORT_ORDER = ["section", "method_order", "method", "line_no"]
 def benchmark_report(totals: DataFrame, pages: DataFrame) -> DataFrame:
     """Markdown report as lines; ``REPORT_ORDER`` puts them in order.
 
-    A handful of lines per method, however many pages there are.
+    A handful of lines per method, however many pages there are. The totals, one
+    row per method, are written once; pages are read for them and for the preview.
     """
+    totals = stage(totals, "method-totals")
 
     def join(*parts: object) -> Column:
         return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
@@ -181,15 +184,17 @@ def benchmark_report(totals: DataFrame, pages: DataFrame) -> DataFrame:
         (c("place") * 2 + 2, join("**Slide ", c("page"), "** (", c("chars"), " Zeichen):")),
         (c("place") * 2 + 3, join("> ", c("preview"), "...\n")),
     ]
-    rest = [(100, join("*... und ", c("more"), " weitere Slides*\n"))]
+    shown = 3
+    more = c("total_slides") - F.lit(shown)
+    rest = [(100, join("*... und ", more, " weitere Slides*\n"))]
     return union_all(
         [
             _fixed_lines(totals, 0, fixed.BENCHMARK_HEAD),
             _method_lines(totals, 1, [(0, row)]),
             _fixed_lines(totals, 2, [fixed.BENCHMARK_DETAILS]),
             _method_lines(totals, 3, details),
-            _method_lines(preview_pages(pages), 3, preview),
-            _method_lines(more_pages(pages).where(c("more") > 0), 3, rest),
+            _method_lines(preview_pages(pages, count=shown), 3, preview),
+            _method_lines(totals.where(more > 0), 3, rest),
         ]
     )
 

@@ -112,7 +112,7 @@ PREVIEW = f"""placed AS (SELECT *, CAST(length(content) AS INT) AS chars, replac
 )
 def preview_pages(spark: SparkSession, folder: str) -> DataFrame:
     pages = inputs.records(spark, folder)
-    return ops.preview_pages(pages).join(F.broadcast(ops.more_pages(pages)), "method")
+    return ops.preview_pages(pages).join(ops.more_pages(pages), "method")
 
 
 def _lines_sql(section: int, lines: list[str]) -> str:
@@ -165,7 +165,7 @@ def write_benchmark_data(spark: SparkSession, folder: str) -> DataFrame:
         "document string, slide_number int, content string, by_method string"
     ).json(f"{path}/slides")
     totals = results.select("method", "total_slides", "total_chars", "estimated_cost_usd")
-    return slides.withColumnRenamed("by_method", "method").join(F.broadcast(totals), "method")
+    return slides.withColumnRenamed("by_method", "method").join(totals, "method")
 
 
 # --- Two-task comparison ------------------------------------------------------------------------
@@ -259,5 +259,5 @@ def write_local_benchmark(spark: SparkSession, folder: str) -> DataFrame:
     items = spark.read.schema("document string, page int, task string, method string").parquet(f"{path}/items")
     summary = spark.read.schema("method string, total_items bigint, task string").json(f"{path}/summary")
     return items.select("task", "method", "document", "page").join(
-        F.broadcast(summary.select("task", "method", "total_items")), ["task", "method"]
+        summary.select("task", "method", "total_items"), ["task", "method"]
     )
