@@ -111,7 +111,7 @@ def batch_of(columns: list[tuple[str, list, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, k) for _, v, k in columns], names=[n for n, _, _ in columns])
 
 
-def _sorted_groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sorted_groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of runs of equal values."""
     edges = np.flatnonzero(values[1:] != values[:-1]) + 1
     return np.concatenate(([0], edges)), np.concatenate((edges, [len(values)]))
@@ -136,7 +136,7 @@ def repeated(
             by_fragment: dict[int, list[tuple[int, bytes, int]]] = {}
             for key, arrays in held.items():
                 marked = np.sort(np.concatenate(arrays))
-                starts, ends = _sorted_groups(marked >> np.uint64(1))
+                starts, ends = sorted_groups(marked >> np.uint64(1))
                 short = marked[starts] >> np.uint64(1)
                 entries = (
                     ((short & np.uint64((1 << LOW) - 1)) << np.uint64(2))
@@ -144,7 +144,7 @@ def repeated(
                     | (ends - starts > 1).astype(np.uint64)
                 )
                 fragments = (short >> np.uint64(LOW)).astype(np.int64)
-                begin, stop = _sorted_groups(fragments)
+                begin, stop = sorted_groups(fragments)
                 for a, b in zip(begin.tolist(), stop.tolist(), strict=True):
                     by_fragment.setdefault(int(fragments[a]), []).append((key, _pack(entries[a:b], 5), b - a))
             held.clear()
@@ -173,7 +173,7 @@ def repeated(
             keys = np.repeat(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
             order = np.argsort(entries >> np.uint64(2), kind="stable")
             entries, keys = entries[order], keys[order]
-            starts, ends = _sorted_groups(entries >> np.uint64(2))
+            starts, ends = sorted_groups(entries >> np.uint64(2))
             aligned = np.bitwise_or.reduceat(entries, starts) & np.uint64(2) > 0
             several = (ends - starts > 1) | (np.bitwise_or.reduceat(entries, starts) & np.uint64(1) > 0)
             hit = np.repeat(aligned & several, ends - starts)
@@ -185,7 +185,7 @@ def repeated(
             if len(keys):
                 order = np.argsort(keys, kind="stable")
                 keys, values = keys[order], values[order]
-                begin, stop = _sorted_groups(keys)
+                begin, stop = sorted_groups(keys)
                 yield batch_of([
                     ("key", keys[begin].tolist(), pa.int64()),
                     ("data", [values[a:b].tobytes() for a, b in zip(begin, stop, strict=True)], pa.binary()),

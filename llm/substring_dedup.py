@@ -42,15 +42,26 @@ def _passages(hashes: np.ndarray) -> np.ndarray:
     a = common.windows(hashes, WIDTH)
     out = np.empty(len(a), _ENTRY)
     out["a"] = a
-    out["b"] = common.windows(common.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), WIDTH) >> np.uint64(32)
+    out["b"] = common.windows(_stirred(hashes), WIDTH) >> np.uint64(32)
     return out
 
 
 def _order(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stable order by value, and which ordered entries differ from the one before."""
-    order = np.lexsort((entries["b"], entries["a"]))
+    """Stable order that brings equal values together, and which ordered entries are first of theirs."""
+    first = np.ones(len(entries), bool)
+    order = np.argsort(entries["a"], kind="stable")
     ordered = entries[order]
-    return order, np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1]))
+    same = ordered["a"][1:] == ordered["a"][:-1]
+    if (same & (ordered["b"][1:] != ordered["b"][:-1])).any():
+        order = np.lexsort((entries["b"], entries["a"]))
+        ordered = entries[order]
+        same = ordered[1:] == ordered[:-1]
+    first[1:] = ~same
+    return order, first
+
+
+def _stirred(hashes: np.ndarray) -> np.ndarray:
+    return common.mix(hashes ^ np.uint64(0x5851F42D4C957F2D))
 
 
 def _candidates(docs: DataFrame, how: repeats.Plan, answers: DataFrame) -> DataFrame:
@@ -87,7 +98,7 @@ def _candidates(docs: DataFrame, how: repeats.Plan, answers: DataFrame) -> DataF
                 order, new = _order(entries)
                 entries = entries[order][new]
                 fragments = (entries["a"] >> np.uint64(64 - how.bits)).astype(np.int64)
-                begin, stop = repeats._sorted_groups(fragments)
+                begin, stop = repeats.sorted_groups(fragments)
                 for a, b in zip(begin.tolist(), stop.tolist(), strict=True):
                     held.setdefault(int(fragments[a]), []).append((key, entries[a:b].tobytes(), b - a))
                 size += len(entries)
@@ -115,7 +126,7 @@ def _later(candidates: DataFrame) -> DataFrame:
             if len(keys):
                 order = np.argsort(keys, kind="stable")
                 keys, entries = keys[order], entries[order]
-                begin, stop = repeats._sorted_groups(keys)
+                begin, stop = repeats.sorted_groups(keys)
                 yield repeats.batch_of([
                     ("key", keys[begin].tolist(), pa.int64()),
                     ("data", [entries[a:b].tobytes() for a, b in zip(begin, stop, strict=True)], pa.binary()),
@@ -124,9 +135,54 @@ def _later(candidates: DataFrame) -> DataFrame:
     return repeats.gathered(candidates).mapInArrow(compare, "key long, data binary")
 
 
-def _runs(marked: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], marked.view(np.int8), [0]))))
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+def _covered(starts: np.ndarray | None, n_words: int) -> list[tuple[int, int]]:
+    """Runs of words that the windows at ``starts`` (sorted) cover."""
+    if starts is None or not len(starts):
+        return []
+    apart = np.flatnonzero(np.diff(starts) > WIDTH)
+    begin = np.concatenate((starts[:1], starts[apart + 1]))
+    stop = np.concatenate((starts[apart], starts[-1:])) + WIDTH
+    return list(zip(begin.tolist(), np.minimum(stop, n_words).tolist(), strict=True))
+
+
+def _repeats_in(
+    windows: list[np.ndarray | None], hashes: list[np.ndarray | None], gone: np.ndarray
+) -> dict[int, np.ndarray]:
+    """By document of a range: starts of the windows that stand in ``gone`` or earlier in the range.
+
+    64 bits pick windows that may be repeats; only those are compared by 96.
+    """
+    places = [(at, w) for at, w in enumerate(windows) if w is not None and len(w)]
+    if not places:
+        return {}
+    values = np.concatenate([gone["a"], *(w for _, w in places)])
+    order = np.argsort(values, kind="stable")
+    equal = values[order][1:] == values[order][:-1]
+    twice = np.zeros(len(values), bool)
+    twice[order[1:][equal]] = True
+    twice[order[:-1][equal]] = True
+    chosen = np.flatnonzero(twice)
+    entries = np.empty(len(chosen), _ENTRY)
+    entries["a"] = values[chosen]
+    docs, starts, begin = np.full(len(chosen), -1), np.zeros(len(chosen), np.int64), len(gone)
+    old = chosen < begin
+    entries["b"][old] = gone["b"][chosen[old]]
+    for at, w in places:
+        low, high = np.searchsorted(chosen, (begin, begin + len(w)))
+        if high > low:
+            own = chosen[low:high] - begin
+            docs[low:high], starts[low:high] = at, own
+            entries["b"][low:high] = (common.windows(_stirred(hashes[at]), WIDTH) >> np.uint64(32))[own]
+        begin += len(w)
+    order, first = _order(entries)
+    repeat = np.zeros(len(chosen), bool)
+    repeat[order] = ~first
+    repeat &= docs >= 0
+    docs, starts = docs[repeat], starts[repeat]
+    if not len(docs):
+        return {}
+    low, high = repeats.sorted_groups(docs)
+    return {int(docs[a]): starts[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)}
 
 
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, repeats array<array<int>>, kept string"
@@ -139,29 +195,21 @@ def _removed(docs: DataFrame, how: repeats.Plan, later: DataFrame, texts: bool)
             own = list(documents)
             # Rows equal in id and hash are one document: their windows come once.
             same = [at and own[at][:2] == own[at - 1][:2] for at in range(len(own))]
-            passages = [_passages(_hashes(text, known)) if not s else None for s, (_, _, text) in zip(same, own, strict=True)]
-            sizes = [0 if p is None else len(p) for p in passages]
+            hashes = [_hashes(text, known) if not s else None for s, (_, _, text) in zip(same, own, strict=True)]
             gone = np.frombuffer(b"".join(given), _ENTRY)
-            # Windows of earlier ranges stand before all of this range's.
-            entries = np.concatenate([gone, *(p for p in passages if p is not None)])
-            order, first = _order(entries)
-            repeat = np.empty(len(entries), bool)
-            repeat[order] = ~first
-            ends = len(gone) + np.cumsum(sizes)
+            marks = _repeats_in([common.windows(h, WIDTH) if h is not None else None for h in hashes], hashes, gone)
             out: list[list] = [[] for _ in range(6)]
             for at, (doc_id, _, text) in enumerate(own):
                 words = (text or b"").split()
                 if not same[at]:
-                    mine = repeat[ends[at] - sizes[at] : ends[at]]
-                    edges = np.zeros(len(words) + 1, np.int64)
-                    starts = np.flatnonzero(mine)
-                    edges[starts] += 1
-                    np.subtract.at(edges, starts + WIDTH, 1)
-                    covered = np.cumsum(edges[:-1]) > 0
-                    runs = _runs(covered)
-                kept = b" ".join(w for w, c in zip(words, covered.tolist(), strict=True) if not c) if runs else b" ".join(words)
+                    runs = _covered(marks.get(at), len(words))
+                kept, place = [], 0
+                for start, stop in runs:
+                    kept += words[place:start]
+                    place = stop
+                kept = b" ".join(kept + words[place:] if runs else words)
                 value = (
-                    doc_id, len(words), int(covered.sum()), hashlib.sha256(kept).hexdigest(), [list(r) for r in runs],
+                    doc_id, len(words), sum(stop - start for start, stop in runs), hashlib.sha256(kept).hexdigest(), [list(r) for r in runs],
                     kept.decode("utf-8", "replace") if texts else None,
                 )
                 for column, v in zip(out, value, strict=True):
