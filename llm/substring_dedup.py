@@ -230,8 +230,8 @@ def without_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
         found = common.windows(_hashes(text, known), BLOCK)
         return found, np.arange(len(found)) % BLOCK == 0
 
-    answers = common.stage(repeats.repeated(rows, how, probes), "anchors")
-    later = common.stage(_later(_candidates(rows, how, answers)), "repeats")
+    answers = common.stage(repeats.repeated(rows, how, probes), "anchors", free=True)
+    later = common.stage(_later(_candidates(rows, how, answers)), "repeats", free=True)
     found = _removed(rows, how, later, texts)
     return found if texts else found.drop("kept")
 
