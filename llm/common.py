@@ -173,3 +173,16 @@ def held_out(modulus: int, rest: int) -> Column:
 def seeded(seed: str) -> Column:
     """32 hexadecimal digits by which documents are put in a seeded order."""
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+
+
+def at_most(rows: DataFrame, most: int, key: str, *ties: str) -> DataFrame:
+    """The first ``most`` rows by a seeded ``key`` (hexadecimal digits).
+
+    Rows are counted, and only keys in the range that holds half as many again go
+    on, so a task hands over its share of the sample and not ``most`` rows.
+    """
+    total = rows.count()
+    if total > 2 * most:
+        first = F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
+        rows = rows.where(first < int(1.5 * most / total * 2**32) + 1)
+    return rows.orderBy(key, *ties).limit(most)

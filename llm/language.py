@@ -63,14 +63,21 @@ def presence(plain: bytes, row: np.ndarray) -> None:
 def _sample(docs: DataFrame, most: int, seed: str) -> list:
     """(lang, presence bits) of a seeded sample with equal parts; texts stay in the tasks."""
     named = docs.where(F.col("lang").isNotNull())
-    langs = sorted(r[0] for r in named.select("lang").distinct().collect())
-    if not langs:
+    # One row per language; of each only keys in the range that holds half as many
+    # again as are wanted meet, so no task gathers more of one language than that.
+    sizes = {r.lang: r.n for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
         return []
+    each = max(1, most // len(sizes))
+    ends = [(lang, 2**32 if n <= 2 * each else int(1.5 * each / n * 2**32) + 1) for lang, n in sorted(sizes.items())]
+    limits = docs.sparkSession.createDataFrame(ends, "lang string, end long")
     first = W.partitionBy("lang").orderBy("key", "doc_id")
     chosen = (
         named.select("lang", "doc_id", common.seeded(seed).alias("key"))
+        .join(F.broadcast(limits), "lang")
+        .where(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") < F.col("end"))
         .withColumn("place", F.row_number().over(first))
-        .where(F.col("place") <= max(1, most // len(langs)))
+        .where(F.col("place") <= each)
         .select("lang", "doc_id")
         .distinct()
     )
@@ -95,7 +102,7 @@ def _sample(docs: DataFrame, most: int, seed: str) -> list:
     return (
         rows.mapInArrow(bits, "lang string, doc_id long, bits binary")
         .withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("doc_id", "bits")))
-        .where(F.col("place") <= max(1, most // len(langs)))
+        .where(F.col("place") <= each)
         .orderBy("place", "lang")
         .collect()
     )
