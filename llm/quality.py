@@ -208,21 +208,17 @@ def score(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, tr
         .agg(F.max(F.when(F.col("quality") > 0, 1).otherwise(0)).alias("quality"))
     )
     # Bounded samples by seeded order: ``training`` and ``pool`` rows reach the driver.
-    chosen = common.stage(
-        known.where(~common.held_out(5, 0)).withColumn("key", common.seeded(seed)).orderBy("key", "doc_id").limit(training),
-        "quality-labels",
-    )
-    fitted = rows.join(F.broadcast(chosen), "doc_id").orderBy("key", "text_hash").limit(training).collect()
+    learned = known.where(~common.held_out(5, 0)).withColumn("key", common.seeded(seed))
+    chosen = common.stage(common.at_most(learned, training, "key", "doc_id"), "quality-labels")
+    fitted = common.at_most(rows.join(F.broadcast(chosen), "doc_id"), training, "key", "text_hash").collect()
     part = np.array([int(r.key[-1], 16) < 12 for r in fitted], bool)
     y = np.array([float(r.quality) for r in fitted])
     good = known.agg(F.avg("quality")).head()[0]
     if len(set(y[part])) < 2 or len(set(y[~part])) < 2:
         share = F.lit(0.5 if good is None else float(good))
         return rows.select("doc_id", "text_hash", *[share.alias(n) for n in ("content_score", "page_score", "score")])
-    free = (
-        rows.join(known.select("doc_id"), "doc_id", "left_anti").withColumn("key", common.seeded(f"{seed}-pool"))
-        .orderBy("key", "text_hash").limit(pool).select("content", "page").collect()
-    )
+    spare_rows = rows.join(known.select("doc_id"), "doc_id", "left_anti").withColumn("key", common.seeded(f"{seed}-pool"))
+    free = common.at_most(spare_rows, pool, "key", "text_hash").select("content", "page").collect()
     both = [np.array([r[k] for r in fitted]) for k in ("content", "page")]
     spare = [np.array([r[k] for r in free]).reshape(-1, both[v].shape[1]) for v, k in enumerate(("content", "page"))]
     content, page = co_train(

@@ -193,14 +193,14 @@ def training_rows(labels: DataFrame, most: int = TRAINING, seed: str = SEED) ->
     """
     digit = F.conv(F.substring("key", 31, 2), 16, 10).cast("int")
     part = F.when(digit < 115, "words").when(digit < 205, "trees").otherwise("scale")
-    return (
+    known = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~common.held_out(5, 0))
         .groupBy("doc_id")
         .agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
         .withColumn("key", common.seeded(seed))
-        .orderBy("key", "doc_id")
-        .limit(most)
-        .select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", part.alias("part"))
+    )
+    return common.at_most(known, most, "key", "doc_id").select(
+        F.col("doc_id").cast("long").alias("doc_id"), "toxic", part.alias("part")
     )
 
 
