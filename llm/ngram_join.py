@@ -93,8 +93,8 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                     column.append(v)
             yield repeats.batch_of(list(zip(names, out, kinds, strict=True)))
 
-    answers = common.stage(repeats.repeated(rows, how, items), "shared-shingles")
-    return common.stage(repeats.met(rows, how, answers).mapInArrow(build, _SETS), "shingle-sets")
+    answers = common.stage(repeats.repeated(rows, how, items), "shared-shingles", free=True)
+    return common.stage(repeats.met(rows, how, answers).mapInArrow(build, _SETS), "shingle-sets", free=True)
 
 
 def _prefixes(classes: DataFrame) -> DataFrame:
@@ -168,6 +168,7 @@ def class_links(sets: DataFrame) -> DataFrame:
     classes = common.stage(
         sets.where(F.col("tokens").isNotNull()).select("cls", "n", "shared", "tokens", "levels").dropDuplicates(["cls"]),
         "classes",
+        free=True,
     )
     prefixes = common.stage(_prefixes(classes), "prefixes")
     # One member of each size range stands for those that share a shingle with it.
@@ -180,7 +181,7 @@ def class_links(sets: DataFrame) -> DataFrame:
         .where((F.col("x") != F.col("y")) & _near("nx", "ny"))
         .distinct()
     )
-    found = common.stage(_links(common.stage(stars, "pairs"), classes), "class-links")
+    found = common.stage(_links(common.stage(stars, "pairs", free=True), classes), "class-links", free=True)
     joined = common.stage(components(found), "star-components")
     # Pairs with a common shingle that are still apart.
     rows = prefixes.join(joined.withColumnRenamed("node", "cls"), "cls", "left").select(
