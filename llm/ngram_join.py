@@ -37,6 +37,7 @@ WORDS = 5
 PERCENT = 80
 #: The order is cut at every level of frequency and into so many hash ranges each.
 CUTS = 4
+STEP = 1.03
 
 _SETS = "doc_id long, text_hash long, n long, cls binary, shared long, tokens binary, levels binary"
 
@@ -163,6 +164,12 @@ def _near(a: str, b: str) -> F.Column:
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
+def _enough_left() -> F.Column:
+    """Whether the shingles from a common first one on (at px and py) suffice for a link."""
+    most = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    return (100 + PERCENT) * most >= PERCENT * (F.col("nx") + F.col("ny"))
+
+
 def class_links(sets: DataFrame) -> DataFrame:
     """(node, component) of all classes that link with another, components named by a class."""
     classes = common.stage(
@@ -171,33 +178,50 @@ def class_links(sets: DataFrame) -> DataFrame:
         free=True,
     )
     prefixes = common.stage(_prefixes(classes), "prefixes")
-    # One member of each size range stands for those that share a shingle with it.
+    # One member of each size range stands for those that share a shingle with it: the
+    # one with the fewest shingles before it, as copies differ least from an original.
     pivots = prefixes.groupBy("token", "size").agg(
-        F.min(F.struct("cls", "n")).alias("pivot"), F.count("*").alias("k")
+        F.min(F.struct("place", "cls", "n")).alias("pivot"), F.count("*").alias("k")
     ).where("k > 1")
     stars = (
         prefixes.join(pivots, ["token", "size"])
-        .select(F.col("pivot.cls").alias("x"), F.col("cls").alias("y"), F.col("pivot.n").alias("nx"), F.col("n").alias("ny"))
-        .where((F.col("x") != F.col("y")) & _near("nx", "ny"))
-        .distinct()
+        .select(
+            F.col("pivot.cls").alias("x"), F.col("cls").alias("y"), F.col("pivot.n").alias("nx"), F.col("n").alias("ny"),
+            F.col("pivot.place").alias("px"), F.col("place").alias("py"),
+        )
+        .where((F.col("x") != F.col("y")) & _near("nx", "ny") & _enough_left())
+        .select("x", "y", "nx", "ny").distinct()
     )
     found = common.stage(_links(common.stage(stars, "pairs", free=True), classes), "class-links", free=True)
     joined = common.stage(components(found), "star-components")
-    # Pairs with a common shingle that are still apart.
+    # Pairs with a common shingle that are still apart. If x is not larger than y, their
+    # first common shingle stands early enough in x for an overlap of 8/9 of x.
     rows = prefixes.join(joined.withColumnRenamed("node", "cls"), "cls", "left").select(
         "token", "place", "cls", "n", F.coalesce("component", "cls").alias("component")
     )
-    apart = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    rows = common.stage(rows.join(apart.select("token"), "token", "left_semi"), "apart")
-    ends = rows.select("token", "component").distinct()
-    meet = ends.withColumnRenamed("component", "cx").join(ends.withColumnRenamed("component", "cy"), "token").where("cx < cy")
-    side = lambda k: rows.select(
-        "token", F.col("component").alias(f"c{k}"), F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("place").alias(f"p{k}")
+    early = (100 + PERCENT) * (F.col("n") - F.col("place")) >= 2 * PERCENT * F.col("n")
+    rows = rows.withColumn("early", early)
+    apart = rows.groupBy("token").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("early").alias("any")
+    ).where("lo <> hi and any")
+    rows = common.stage(rows.join(apart.select("token"), "token", "left_semi"), "apart", free=True)
+    # A place bounds the sizes of possible partners; sizes meet in steps of STEP.
+    step = lambda n: F.floor(F.log(n) / math.log(STEP)).cast("int")
+    left = F.col("n") - F.col("place")
+    most = F.least(F.col("n").cast("double"), left * ((100 + PERCENT) / PERCENT) - F.col("n"))
+    xs = rows.where("early").select(
+        "token", F.col("component").alias("cx"), F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"),
+        step(F.col("n")).alias("size"),
     )
-    most = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    ys = rows.where(most >= F.col("n") * (PERCENT / 100) - 1).select(
+        "token", F.col("component").alias("cy"), F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"),
+        F.explode(F.sequence(step(F.greatest(F.lit(1.0), F.col("n") * (PERCENT / 100) - 1)), step(most + 1))).alias("size"),
+    )
+    # Components meet first, so members of one component never do.
+    meet = xs.select("token", "size", "cx").distinct().join(ys.select("token", "size", "cy").distinct(), ["token", "size"])
     pairs = (
-        meet.join(side("x"), ["token", "cx"]).join(side("y"), ["token", "cy"])
-        .where(_near("nx", "ny") & ((100 + PERCENT) * most >= PERCENT * (F.col("nx") + F.col("ny"))))
+        meet.where("cx <> cy").join(xs, ["token", "size", "cx"]).join(ys, ["token", "size", "cy"])
+        .where(((F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))) & _near("nx", "ny") & _enough_left())
         .select("x", "y", "nx", "ny").distinct()
     )
     more = common.stage(_links(common.stage(pairs, "pairs"), classes), "class-links")
