@@ -115,7 +115,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words; forgets all when it holds too many."""
 
-    MOST = 1_000_000
+    MOST = 250_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

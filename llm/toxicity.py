@@ -118,7 +118,7 @@ def learn_lexicon(docs: DataFrame, most: int = LEXICON) -> dict[str, float]:
 class _Words(dict):
     """Code of a word: second person, insult and learned weight, obfuscated, stretched; memorised."""
 
-    MOST = 500_000
+    MOST = 200_000
 
     def __init__(self, lexicon: dict[str, float]) -> None:
         self.lexicon = lexicon
