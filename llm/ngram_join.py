@@ -39,7 +39,7 @@ PERCENT = 80
 CUTS = 4
 STEP = 1.03
 
-_SETS = "doc_id long, text_hash long, n long, cls binary, shared long, tokens binary, levels binary"
+_SETS = "doc_id long, text_hash long, copies long, n long, cls binary, shared long, tokens binary, levels binary"
 
 
 def shingles(text: bytes | None, known: common.WordHashes) -> np.ndarray:
@@ -63,7 +63,7 @@ def _class(tokens: np.ndarray) -> bytes:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """Every document with its set's size and class; shared shingles, in the global order,
+    """Every document (equal rows once, with their copies), its set's size and class; shared shingles, in the global order,
     where enough of them are shared for any link at all."""
     how = repeats.plan(docs)
     rows = repeats.keyed(docs)
@@ -74,12 +74,12 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     def build(given_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = common.WordHashes()
         names = [c.split()[0] for c in _SETS.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
         for _, given, documents in repeats.ranges_of(given_rows):
             answers = np.sort(np.frombuffer(b"".join(given), np.uint64))
             shorts = answers >> np.uint64(4)
             out: list[list] = [[] for _ in names]
-            for doc_id, text_hash, text in documents:
+            for doc_id, text_hash, copies, text in documents:
                 own = shingles(text, known)
                 n = len(own)
                 at = repeats.among(how.short(own), shorts)
@@ -89,13 +89,13 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                     level = (answers[at[held]] & np.uint64(15)).astype(np.uint8)
                     order = np.lexsort((own[held], level))
                     tokens, levels = own[held][order].tobytes(), level[order].tobytes()
-                value = (doc_id, text_hash, n, _class(own) if n else None, shared, tokens, levels)
+                value = (doc_id, text_hash, copies, n, _class(own) if n else None, shared, tokens, levels)
                 for column, v in zip(out, value, strict=True):
                     column.append(v)
             yield repeats.batch_of(list(zip(names, out, kinds, strict=True)))
 
     answers = common.stage(repeats.repeated(rows, how, items), "shared-shingles", free=True)
-    return common.stage(repeats.met(rows, how, answers).mapInArrow(build, _SETS), "shingle-sets", free=True)
+    return common.stage(repeats.met(rows, answers).mapInArrow(build, _SETS), "shingle-sets", free=True)
 
 
 def _prefixes(classes: DataFrame) -> DataFrame:
@@ -243,10 +243,10 @@ def joined_sets(docs: DataFrame) -> DataFrame:
     named = common.stage(named, "class-names")
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_class = named.join(ids, "component").select("cls", "component", "component_id")
-    return sets.join(of_class, "cls", "left").select(
+    return repeats.copied(sets.join(of_class, "cls", "left").select(
         "doc_id", "text_hash", F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "doc_id").alias("component_id"), "component",
-    )
+        F.coalesce("component_id", "doc_id").alias("component_id"), "component", "copies",
+    ))
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Which hashed items of documents occur in more than one place.
 
-Documents are taken in ranges of ids (``key``). A map task sends, per range and
+Documents are taken in ranges (``key``): they are put in order of id and hash once,
+and every ``RANGE_DOCS`` neighbours are a range, however ids are spread; rows equal
+in both are one document with a number of copies. A map task sends, per range and
 item, one entry of five bytes: 38 bits of the item's hash and two marks (starts
 on a block boundary; several places within the range). Entries are dealt by the
 leading bits of the hash, the *fragment*; each fragment is sorted on its own and
@@ -24,7 +26,7 @@ from . import common
 LOW = 38
 #: Bytes of text that one fragment's entries come from, about; bounds a task's memory.
 FRAGMENT_BYTES = 12 << 20
-#: Documents of one range of ids, about.
+#: Documents of one range, at most.
 RANGE_DOCS = 128
 #: Items that a map task gathers before it sends them.
 GATHERED = 1_500_000
@@ -32,37 +34,55 @@ GATHERED = 1_500_000
 
 @dataclass(frozen=True)
 class Plan:
-    """Range of ids per key, its origin, and the number of leading bits that name a fragment."""
+    """The number of leading bits that name a fragment."""
 
-    first: int
-    step: int
     bits: int
 
-    def key(self) -> Column:
-        return F.coalesce(F.floor((F.col("doc_id") - F.lit(self.first)) / F.lit(self.step)), F.lit(-1)).cast("long")
-
     def short(self, hashes: np.ndarray) -> np.ndarray:
         return hashes >> np.uint64(64 - LOW - self.bits)
 
 
+def plan(docs: DataFrame) -> Plan:
+    """Fragments from the documents' bytes (one narrow row)."""
+    (size,) = docs.agg(F.sum(F.octet_length("text"))).head()
+    return Plan(min(24, max(6, ((size or 0) // FRAGMENT_BYTES).bit_length())))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, hash of the text (orders equal ids) and the text's bytes."""
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        common.text_hash().alias("text_hash"),
-        common.binary("text").alias("data"),
+    """key (range), doc_id, text_hash, copies and the text's bytes (``data``), staged in order.
+
+    Rows equal in id and hash are brought together first, map tasks combining their
+    own, so they cost one document. Then rows are range-partitioned by id (null
+    first) and hash. A range is numbered by partition and place within it: ranges
+    follow one another as their documents do, and no id is reckoned with.
+    """
+    doc_id = F.col("doc_id").cast("long")
+    by = ["has_id", "id", "text_hash"]
+    single = (
+        docs.select(
+            doc_id.isNotNull().alias("has_id"), F.coalesce(doc_id, F.lit(0)).alias("id"),
+            common.text_hash().alias("text_hash"), common.binary("text").alias("data"),
+        )
+        .groupBy(*by).agg(F.first("data").alias("data"), F.count("*").alias("copies"))
+    )
+    # Partition above, place in the lowest 33 bits.
+    number, low = F.monotonically_increasing_id(), 2**33
+    place = F.floor(number.bitwiseAND(F.lit(low - 1)) / RANGE_DOCS)
+    ordered = single.repartitionByRange(*by).sortWithinPartitions(*by).select(
+        (F.shiftright(number, 33) * low + place).cast("long").alias("key"),
+        F.when(F.col("has_id"), F.col("id")).alias("doc_id"), "text_hash", "copies", "data",
     )
+    return common.stage(ordered, "ranges", free=True)
 
 
-def plan(docs: DataFrame) -> Plan:
-    """Ranges and fragments from the number of documents, their ids and their bytes (one narrow row)."""
-    n, first, last, size = docs.agg(
-        F.count("*"), F.min("doc_id"), F.max("doc_id"), F.sum(F.octet_length("text"))
-    ).head()
-    first = first or 0
-    span = (last or 0) - first + 1
-    step = max(1, span * RANGE_DOCS // max(1, n))
-    return Plan(first, step, min(24, max(6, ((size or 0) // FRAGMENT_BYTES).bit_length())))
+def copied(rows: DataFrame) -> DataFrame:
+    """Every row as often as its ``copies`` say, which are dropped; no array of them all is made."""
+    step = 4096
+    return (
+        rows.withColumn("copies_", F.explode(F.sequence(F.lit(0), F.col("copies") - 1, F.lit(step))))
+        .withColumn("copies_", F.explode(F.sequence(F.col("copies_"), F.least(F.col("copies") - 1, F.col("copies_") + step - 1))))
+        .drop("copies", "copies_")
+    )
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
@@ -120,7 +140,7 @@ def sorted_groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def repeated(
     docs: DataFrame, how: Plan, items: Callable[[bytes | None], tuple[np.ndarray, np.ndarray | None]]
 ) -> DataFrame:
-    """(key, data): per range of ids and fragment, the items that occur elsewhere too.
+    """(key, data): per range and fragment, the items that occur elsewhere too.
 
     ``items`` gives a text's hashes and which of them start on a block boundary
     (None: all). An item counts as repeated if it occurs twice at least, once on
@@ -191,38 +211,41 @@ def repeated(
                     ("data", [values[a:b].tobytes() for a, b in zip(begin, stop, strict=True)], pa.binary()),
                 ])
 
-    sent = docs.withColumn("key", how.key()).select("key", "data").mapInArrow(send, "fragment long, data binary")
+    sent = docs.select("key", "data").mapInArrow(send, "fragment long, data binary")
     return gathered(sent).mapInArrow(answer, "key long, data binary")
 
 
-def met(docs: DataFrame, how: Plan, answers: DataFrame) -> DataFrame:
-    """Documents behind the answers to their range: rows (key, kind, doc_id, text_hash, data), sorted.
+def met(docs: DataFrame, answers: DataFrame) -> DataFrame:
+    """Documents behind the answers to their range: rows (key, kind, doc_id, text_hash, copies, data), sorted.
 
     ``kind`` is 0 for answers and 1 for documents; within a range documents come
     by id (null first) and hash.
     """
     nothing = F.lit(None).cast("long")
     return (
-        docs.select(how.key().alias("key"), F.lit(1).alias("kind"), "doc_id", "text_hash", "data")
-        .unionByName(answers.select("key", F.lit(0).alias("kind"), nothing.alias("doc_id"), nothing.alias("text_hash"), "data"))
+        docs.select("key", F.lit(1).alias("kind"), "doc_id", "text_hash", "copies", "data")
+        .unionByName(answers.select(
+            "key", F.lit(0).alias("kind"), *[nothing.alias(n) for n in ("doc_id", "text_hash", "copies")], "data"
+        ))
         .repartition("key")
         .sortWithinPartitions("key", "kind", F.col("doc_id").asc_nulls_first(), "text_hash")
     )
 
 
 def ranges_of(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], Iterator[tuple]]]:
-    """For each range: its answers, then its documents (doc_id, text_hash, text) as a stream."""
+    """For each range: its answers, then its documents (doc_id, text_hash, copies, text) as a stream."""
 
     def flat() -> Iterator[tuple]:
+        names = ("key", "kind", "doc_id", "text_hash", "copies", "data")
         for batch in common.batches(rows, 512):
-            yield from zip(*(common.blobs(batch, n) for n in ("key", "kind", "doc_id", "text_hash", "data")), strict=True)
+            yield from zip(*(common.blobs(batch, n) for n in names), strict=True)
 
     stream = flat()
     row = next(stream, None)
     while row is not None:
         key, answers = row[0], []
         while row is not None and row[0] == key and row[1] == 0:
-            answers.append(row[4])
+            answers.append(row[-1])
             row = next(stream, None)
 
         def documents() -> Iterator[tuple]:

@@ -9,8 +9,8 @@ extended to the windows of ``WIDTH`` words that hold it, equal windows meet, all
 but the first (by id, then place) are repeats, and neighbouring repeats join to
 maximal ones.
 
-Hits travel as answers to ranges of ids (see ``repeats``); ids order ranges, so
-the first range with a window keeps it, and within a range order decides.
+Hits travel as answers to ranges of documents (see ``repeats``), which follow the
+order of ids; so the first range with a window keeps it, and within a range order decides.
 
 Defined results: null and wordless texts have no words; texts below ``WIDTH``
 words lose none; null ids come first; equal ids are ordered by a hash of their
@@ -83,7 +83,7 @@ def _candidates(docs: DataFrame, how: repeats.Plan, answers: DataFrame) -> DataF
         for key, given, documents in repeats.ranges_of(rows):
             hits = np.sort(np.frombuffer(b"".join(given), np.uint64) >> np.uint64(4))
             found = []
-            for _, _, text in documents:
+            for _, _, _, text in documents:
                 hashes = _hashes(text, known)
                 if len(hits) and len(hashes) >= WIDTH:
                     hit = repeats.among(how.short(common.windows(hashes, BLOCK)), hits) >= 0
@@ -108,7 +108,7 @@ def _candidates(docs: DataFrame, how: repeats.Plan, answers: DataFrame) -> DataF
         if held:
             yield flush()
 
-    return repeats.met(docs, how, answers).mapInArrow(extend, "fragment long, data binary")
+    return repeats.met(docs, answers).mapInArrow(extend, "fragment long, data binary")
 
 
 def _later(candidates: DataFrame) -> DataFrame:
@@ -146,13 +146,13 @@ def _covered(starts: np.ndarray | None, n_words: int) -> list[tuple[int, int]]:
 
 
 def _repeats_in(
-    windows: list[np.ndarray | None], hashes: list[np.ndarray | None], gone: np.ndarray
+    windows: list[np.ndarray], hashes: list[np.ndarray], gone: np.ndarray
 ) -> dict[int, np.ndarray]:
     """By document of a range: starts of the windows that stand in ``gone`` or earlier in the range.
 
     64 bits pick windows that may be repeats; only those are compared by 96.
     """
-    places = [(at, w) for at, w in enumerate(windows) if w is not None and len(w)]
+    places = [(at, w) for at, w in enumerate(windows) if len(w)]
     if not places:
         return {}
     values = np.concatenate([gone["a"], *(w for _, w in places)])
@@ -185,24 +185,21 @@ def _repeats_in(
     return {int(docs[a]): starts[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)}
 
 
-_RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, repeats array<array<int>>, kept string"
+_RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, repeats array<array<int>>, kept string, copies long"
 
 
-def _removed(docs: DataFrame, how: repeats.Plan, later: DataFrame, texts: bool) -> DataFrame:
+def _removed(docs: DataFrame, later: DataFrame, texts: bool) -> DataFrame:
     def remove(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = common.WordHashes()
         for _, given, documents in repeats.ranges_of(rows):
             own = list(documents)
-            # Rows equal in id and hash are one document: their windows come once.
-            same = [at and own[at][:2] == own[at - 1][:2] for at in range(len(own))]
-            hashes = [_hashes(text, known) if not s else None for s, (_, _, text) in zip(same, own, strict=True)]
+            hashes = [_hashes(text, known) for *_, text in own]
             gone = np.frombuffer(b"".join(given), _ENTRY)
-            marks = _repeats_in([common.windows(h, WIDTH) if h is not None else None for h in hashes], hashes, gone)
-            out: list[list] = [[] for _ in range(6)]
-            for at, (doc_id, _, text) in enumerate(own):
+            marks = _repeats_in([common.windows(h, WIDTH) for h in hashes], hashes, gone)
+            out: list[list] = [[] for _ in range(7)]
+            for at, (doc_id, _, copies, text) in enumerate(own):
                 words = (text or b"").split()
-                if not same[at]:
-                    runs = _covered(marks.get(at), len(words))
+                runs = _covered(marks.get(at), len(words))
                 kept, place = [], 0
                 for start, stop in runs:
                     kept += words[place:start]
@@ -210,15 +207,15 @@ def _removed(docs: DataFrame, how: repeats.Plan, later: DataFrame, texts: bool)
                 kept = b" ".join(kept + words[place:] if runs else words)
                 value = (
                     doc_id, len(words), sum(stop - start for start, stop in runs), hashlib.sha256(kept).hexdigest(), [list(r) for r in runs],
-                    kept.decode("utf-8", "replace") if texts else None,
+                    kept.decode("utf-8", "replace") if texts else None, copies,
                 )
                 for column, v in zip(out, value, strict=True):
                     column.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32())), pa.string()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32())), pa.string(), pa.int64()]
             names = [c.split()[0] for c in _RESULT.split(", ")]
             yield repeats.batch_of(list(zip(names, out, kinds, strict=True)))
 
-    return repeats.met(docs, how, later).mapInArrow(remove, _RESULT)
+    return repeats.met(docs, later).mapInArrow(remove, _RESULT)
 
 
 def without_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
@@ -232,7 +229,7 @@ def without_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
 
     answers = common.stage(repeats.repeated(rows, how, probes), "anchors", free=True)
     later = common.stage(_later(_candidates(rows, how, answers)), "repeats", free=True)
-    found = _removed(rows, how, later, texts)
+    found = repeats.copied(_removed(rows, later, texts))
     return found if texts else found.drop("kept")
 
 
