@@ -266,21 +266,25 @@ def masked(docs: DataFrame) -> DataFrame:
     """The documents, each span's text replaced by its kind in brackets; ``n_chars`` follows.
 
     Texts without a candidate sign pass by; the others meet their spans by id and
-    hash. Overlapping spans are cut where the one before ended.
+    hash. A span starts no earlier than the furthest end before it, so of one that
+    lies within another only the mark is added.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = spans(keyed(docs)).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "spans")
     signs = F.coalesce(text.rlike(r"[0-9@]|[\[({](?:at|AT)[\])}]"), F.lit(False))
     met = common.rows_by_key(docs.where(signs)).alias("d").join(found.alias("f"), common.same_key("d", "f"), "left")
-    # Spans in order; each piece is the text since the one before and a mark.
+    # Spans in order; each piece is the text since the furthest end before and a mark.
     spans_, own = F.col("f.spans"), F.col("row.text").cast("string")
-    ends = lambda at: F.when(at == 0, 0).otherwise(F.get(spans_, at - 1)["end"])
-    piece = lambda s, at: F.concat(
-        F.when(s["start"] > ends(at), F.substring(own, ends(at) + 1, s["start"] - ends(at))).otherwise(F.lit("")),
+    reached = F.aggregate(
+        spans_, F.array(F.lit(0).cast("long")), lambda ends, s: F.concat(ends, F.array(F.greatest(F.element_at(ends, -1), s["end"])))
+    )
+    piece = lambda s, end: F.concat(
+        F.when(s["start"] > end, F.substring(own, end + 1, s["start"] - end)).otherwise(F.lit("")),
         F.lit("["), F.upper(s["kind"]), F.lit("]"),
     )
-    rest = F.substring(own, F.element_at(spans_, -1)["end"] + 1, F.lit(2**31 - 1))
-    new = F.when(F.size(spans_) > 0, F.concat(F.array_join(F.transform(spans_, piece), ""), rest)).otherwise(own)
+    pieces = F.zip_with(spans_, F.slice(reached, 1, F.size(spans_)), piece)
+    rest = F.substring(own, F.array_max(F.transform(spans_, lambda s: s["end"])) + 1, F.lit(2**31 - 1))
+    new = F.when(F.size(spans_) > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(own)
     done = met.select("row", new.alias("new"))
     kinds = dict(docs.dtypes)
     columns = [

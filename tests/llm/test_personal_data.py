@@ -77,3 +77,21 @@ def test_masked(spark):
 def test_nothing_to_find(spark, rows):
     assert [list(r.spans) for r in personal_data.personal_data(frame(spark, rows)).collect()] == [[]] * len(rows)
     assert personal_data.masked(frame(spark, rows)).count() == len(rows)
+
+
+def test_masked_nested_and_crossing_spans(spark):
+    texts = [
+        "to john.10.0.0.1.doe@corp.com now", "+4915112345679@mail.de", "4111111111111111@host.example.com!", "ß 4111 1111 1111 1111@x.de 😀",
+        "a 10.0.0.1.5.6@b.co, 4111-1111-1111-1111.z@c.de", *TEXTS,
+    ]
+    docs = frame(spark, list(enumerate(texts)))
+    found = {r.doc_id: r.spans for r in personal_data.personal_data(docs).collect()}
+    assert any(a.end > b.end for s in found.values() for a, b in zip(s[:-1], s[1:], strict=True))
+    assert any(b.start < a.end < b.end for s in found.values() for a, b in zip(s[:-1], s[1:], strict=True))
+    for r in personal_data.masked(docs).collect():
+        hidden = {at for s in found[r.doc_id] for at in range(s.start, s.end)}
+        want = ""
+        for at, sign in enumerate(texts[r.doc_id]):
+            want += "".join(f"[{s.kind.upper()}]" for s in found[r.doc_id] if s.start == at)
+            want += "" if at in hidden else sign
+        assert r.text == want and r.n_chars == len(want)
