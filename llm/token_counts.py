@@ -17,11 +17,13 @@ no documents; repeated documents each get their row.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -36,6 +38,9 @@ BLOCK = 1 << 16
 WIDTH = 2
 #: Blocks of a file that are summed together before the second level.
 GROUP = 1024
+#: Blocks of a token file that a task opens it for, and bytes of files per task.
+RUN = 64
+TASK_BYTES = 128 << 20
 _NONE = np.iinfo(np.int64).min
 
 
@@ -85,21 +90,45 @@ def flat_files(docs: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTE
     return rows.mapInArrow(write, "file long, kind string, block long, data binary")
 
 
-def read_files(spark: SparkSession, path: str, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
-    """Blocks (file path, block, data) of token files in a folder; files of up to 2 GB, as Spark reads them whole."""
+def _opened(path: str) -> pa.NativeFile:
+    """A file of a store that Arrow reads, for reads at any place."""
+    scheme, host, key = re.fullmatch(r"(?:([a-z0-9]+):)?(?://([^/]*))?(/.*)", path).groups()
+    if scheme in (None, "file"):
+        return fs.LocalFileSystem().open_input_file(key)
+    store, base = fs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}://{host or ''}/")
+    return store.open_input_file(base.rstrip("/") + key)
 
-    def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.batches(rows, 1):
-            name, data = batch.column(0)[0].as_py(), batch.column(1)[0].as_buffer()
-            for at in range(0, max(data.size, 1), width * block):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name]), pa.array([at // (width * block)], pa.int64()),
-                     pa.array([data[at : at + width * block].to_pybytes()], pa.binary())],
-                    names=["file", "block", "data"],
-                )
 
-    found = spark.read.format("binaryFile").load(path).select("path", "content")
-    return found.mapInArrow(cut, "file string, block long, data binary")
+def read_files(spark: SparkSession, path: str, width: int = WIDTH, block: int = BLOCK, run: int = RUN) -> DataFrame:
+    """Blocks (file path, block, data) of token files in a folder, of any length.
+
+    Files are listed without their content; runs of ``run`` blocks are dealt over
+    the cluster, and a task reads just its runs' bytes, a block at a time. This goes
+    through Arrow's file systems (local, S3, GCS, ABFS, HDFS), which workers have to
+    be able to open; files of other stores fail.
+    """
+    size = width * block
+
+    def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for name, length, first in zip(*(common.blobs(batch, k) for k in ("path", "length", "first")), strict=True):
+                with _opened(name) as file:
+                    for number in range(first, min(first + run, max(1, -(-length // size)))):
+                        wanted = min(size, length - number * size)
+                        data = file.read_at(wanted, number * size)
+                        if len(data) < wanted:
+                            raise OSError(f"{name} is shorter than when it was listed")
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([name]), pa.array([number], pa.int64()), pa.array([data], pa.binary())],
+                            names=["file", "block", "data"],
+                        )
+
+    found = spark.read.format("binaryFile").load(path).select("path", "length")
+    total = found.agg(F.sum("length")).head()[0] or 0
+    last = F.greatest(F.ceil(F.col("length") / size) - 1, F.lit(0))
+    runs = found.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(run).cast("long"))))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    return runs.repartition(tasks, "path", "first").mapInArrow(cut, "file string, block long, data binary")
 
 
 def scan(blocks: DataFrame, end: int = END, width: int = WIDTH) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 from llm import lz_fingerprint as lz, token_counts
+from pyspark.sql import functions as F
 from tests.llm.conftest import edge_texts, frame, words
 
 
@@ -83,3 +84,22 @@ def test_scan_stitches_over_blocks(spark, tmp_path):
         for r in token_counts.scan(blocks, end=99).orderBy("file", "ordinal").collect():
             got.setdefault(r.file[-1], []).append((r.ordinal, r.n_tokens, r.ended))
         assert got == {n: [(at, *v) for at, v in enumerate(vs)] for n, vs in files.items() if vs}
+
+
+def test_token_files_are_read_by_ranges(spark, tmp_path):
+    own = np.random.default_rng(5).integers(0, 50, 3001).astype("<u2")
+    for name in ("a b", "c%20d"):
+        own.tofile(tmp_path / name)
+    (tmp_path / "empty").touch()
+    limit = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(limit, "1000")  # Spark reads no file above this whole; 2 GB by default
+    try:
+        blocks = token_counts.read_files(spark, str(tmp_path), block=100, run=3)
+        rows = blocks.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset(limit)
+    for name in ("a b", "c%20d"):
+        mine = sorted((r for r in rows if r.file.endswith(name)), key=lambda r: r.block)
+        assert [r.block for r in mine] == list(range(31))
+        assert b"".join(r.data for r in mine) == own.tobytes() and len({r.task for r in mine}) > 1
+    assert not any(r.file.endswith("empty") for r in rows)
