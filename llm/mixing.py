@@ -193,7 +193,9 @@ def mix(
         .agg(F.min(F.struct(F.abs(gap - F.col("size")).alias("off"), "key", "size", "text_hash", "upto")).alias("closing"))
     )
     is_closing = (F.col("closing.key") == F.col("key")) & (F.col("closing.upto") == F.col("upto"))
-    times = F.col("all_times") + F.when(F.col("first") | F.coalesce(~F.col("first") & is_closing, F.lit(False)), 1).otherwise(0)
+    more = F.when(F.col("first") | F.coalesce(~F.col("first") & is_closing, F.lit(False)), 1).otherwise(0)
+    # Empty documents ahead are first even where nothing is left over.
+    times = F.least(F.col("all_times") + more, F.lit(uses))
     return (
         ordered.join(small(closing), "members", "left")
         .join(small(plan.select("members", "routes")), "members")

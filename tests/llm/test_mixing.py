@@ -82,3 +82,13 @@ def test_edges(edges, empty):
     assert taken.columns == [*edges.columns, "copy"]
     assert taken.count() == sum(r.times for r in got if r.size or r.times)
     assert mixing.mix(mixing.by_source(empty)).count() == 0 and mixing.mixed_documents(empty).count() == 0
+
+
+def test_empty_documents_of_a_capped_source(spark):
+    rows = [(k, "") for k in range(30)] + [(30, "one two three"), (31, "four five")] + [(k, " ".join(words(k, 50))) for k in range(40, 60)]
+    docs = frame(spark, rows).withColumn("source", F.when(F.col("doc_id") < 40, "a").otherwise("b"))
+    copies = {}
+    for r in mixing.mixed_documents(docs).collect():
+        copies.setdefault(r.doc_id, []).append(r["copy"])
+    assert sorted(copies[30]) == sorted(copies[31]) == [1, 2]
+    assert max(map(len, copies.values())) == mixing.USES
