@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, lz_fingerprint, mixing, ngram_join, personal_data, quality, substring_dedup, token_counts, toxicity
+from . import (
+    centroids,
+    decontamination,
+    filter_audit,
+    language,
+    lz_fingerprint,
+    mixing,
+    ngram_join,
+    personal_data,
+    quality,
+    sharding,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
@@ -15,6 +29,9 @@ QUERIES = {
     "op8_language_id": language.query,
     "op9_lz_fingerprint": lz_fingerprint.query,
     "op10_source_mixing": mixing.query,
+    "op11_rendezvous_sharding": sharding.query,
+    "op12_filter_audit": filter_audit.query,
+    "op13_ptolemaic_clustering": centroids.query,
 }
 
 SQL = {
@@ -22,4 +39,7 @@ SQL = {
     "op3_benchmark_decontamination": decontamination.SQL,
     "op6_substring_dedup": substring_dedup.SQL,
     "op10_source_mixing": mixing.SQL,
+    "op11_rendezvous_sharding": sharding.SQL,
+    "op12_filter_audit": filter_audit.SQL,
+    "op13_ptolemaic_clustering": centroids.SQL,
 }
