@@ -43,12 +43,14 @@ def run_pages(
     provider: str = "anthropic",
     model: str | None = None,
     titles: bool = False,
+    replies: str | None = None,
 ) -> DataFrame:
     """Page table from page images ``(document, page, content)``.
 
     ``engine_kind`` is one of ``fixed.ENGINE_KINDS``; ``label`` replaces the
     usual method label of the records. Only the chosen pages reach the engine. Replies are
-    written once; a failed page keeps its error.
+    written once; a failed page keeps its error. ``replies`` names a table of replies that
+    later runs find again (see ``apply_engine``).
     """
     if engine_kind not in fixed.ENGINE_KINDS:
         raise ValueError(f"Unbekannte Engine: {engine_kind}")
@@ -64,9 +66,9 @@ def run_pages(
         F.lit(provider),
         F.lit(model).cast("string"),
     ).select(method.alias("method"), "document", "page", "request")
-    replies = stage(apply_engine(asked, engine, strip=engine_kind == "glm"), "page-replies")
+    answered = stage(apply_engine(asked, engine, strip=engine_kind == "glm", replies=replies), "page-replies")
     content = F.coalesce("reply", F.lit(""))
-    return replies.select(
+    return answered.select(
         *PAGE_KEY,
         (markdown_title(content) if titles else F.lit("")).alias("title"),
         content.alias("content"),
@@ -87,6 +89,7 @@ def vector_ready_pages(
     provider: str = "openai",
     model: str | None = None,
     spread: bool = False,
+    replies: str | None = None,
 ) -> DataFrame:
     """Pages with ``vector_ready_text`` and ``post_seconds`` from a second pass.
 
@@ -101,6 +104,7 @@ def vector_ready_pages(
         requests.rewrite_requests(pages.drop("vector_ready_text"), kind, resolved),
         engine,
         spread_by=PAGE_KEY if spread else (),
+        replies=replies,
     )
     return (
         answered.withColumn("vector_ready_text", F.coalesce("reply", F.lit("")))
@@ -129,6 +133,7 @@ def invoice_properties(
     engine: Engine,
     provider: str = "openai",
     model: str | None = None,
+    replies: str | None = None,
 ) -> DataFrame:
     """One row per (method, document): text, properties, fill ratio, error.
 
@@ -138,7 +143,7 @@ def invoice_properties(
     """
     resolved = lookups.resolve_model(F.lit(provider), F.lit(model).cast("string"))
     documents = page_ops.document_text(pages).withColumnRenamed("seconds", "page_seconds")
-    answered = apply_engine(requests.property_requests(documents, resolved), engine)
+    answered = apply_engine(requests.property_requests(documents, resolved), engine, replies=replies)
     parsed = invoices.parse_replies(answered.withColumn("reply", F.coalesce("reply", F.lit(""))))
     error = F.coalesce("reply_error", "error")
     items = invoices.invoice_fill(

@@ -17,8 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Rows sent to Python carry page images and whole decks, megabytes each.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
+    # Rows sent to Python may carry page images, megabytes each.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "32m",
     "spark.sql.session.timeZone": "UTC",
 }
 
