@@ -174,9 +174,32 @@ def sources(pages: DataFrame, number: str = "page") -> DataFrame:
     )
 
 
+# Shares of documents that a source's pages are dealt over.
+SOURCE_SHARES = 4096
+
+
 def group_pages_by_source(pages: DataFrame, number: str = "page") -> DataFrame:
-    """Pages with ``source``, ``name`` and the ``first_page`` of their group."""
-    return with_source(pages).join(sources(pages, number).drop("pages"), ["method", "source"])
+    """Pages with ``source``, ``name`` and the ``first_page`` of their group.
+
+    A source may hold most pages (the unknown one does where notes are missing), so
+    pages are grouped in shares of a source first: those of a share of documents and
+    of a block of page numbers. Shares meet in a narrow window, and pages meet
+    their share. A source of one short document is a single share.
+    """
+    share = ["method", "source", "__share", "__block"]
+    dealt = (
+        with_source(pages)
+        .withColumn("__share", F.pmod(F.xxhash64("document"), F.lit(SOURCE_SHARES)))
+        .withColumn("__block", block_of(F.col(number)))
+    )
+    first = F.min("__first").over(Window.partitionBy("method", "source"))
+    shares = (
+        dealt.groupBy(*share).agg(F.min(number).alias("__first"))
+        .withColumn("first_page", first)
+        .withColumn("name", paths.base_name(F.col("source")))
+        .drop("__first")
+    )
+    return dealt.join(shares, share).drop("__share", "__block")
 
 
 def batch_time_share(pages: DataFrame, batch: str = "batch", seconds: str = "batch_seconds") -> DataFrame:

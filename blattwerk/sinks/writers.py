@@ -6,13 +6,14 @@ range-sorted first, so their part files, read in name order, are that text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from blattwerk import fixed
 from blattwerk.functions import paths
 from blattwerk.functions.records import page_record, page_text
 from blattwerk.operators.comparing import REPORT_ORDER
 from blattwerk.operators.documents import VECTOR_READY_ORDER, pages_markdown, vector_ready_blocks
+from blattwerk.sinks.row_files import write_files
 
 
 def write_pages_json(pages: DataFrame, path: str) -> None:
@@ -23,29 +24,40 @@ def write_pages_json(pages: DataFrame, path: str) -> None:
 def write_pages_text(pages: DataFrame, path: str, include_notes: bool = False) -> None:
     """Text blocks of a run in (document, page) order, set apart by a rule."""
     order = [paths.path_order(F.col("document")), F.col("page"), F.col("method")]
-    first = pages.orderBy(*order).select("document", "page", "method").head()
+    first = pages.agg(F.min(F.struct(order[0], "page", "method", "document"))).head()[0]
     block = page_text(include_notes)
     if first is not None:
         opening = F.lit(True)
-        for name, value in first.asDict().items():
-            opening = opening & (F.col(name) == F.lit(value))
+        for name in ("document", "page", "method"):
+            opening = opening & (F.col(name) == F.lit(first[name]))
         block = F.when(opening, block).otherwise(F.concat(F.lit("\n---\n\n"), block))
     pages.withColumn("block", block).orderBy(*order).select("block").write.text(path)
 
 
-def write_pages_markdown(pages: DataFrame, path: str, engine_name: str) -> None:
-    """One Markdown text per document, as a table of ``document``, ``part``, ``markdown``."""
-    pages_markdown(pages, engine_name).write.partitionBy("method").parquet(path)
+def method_folder(method: Column) -> Column:
+    """Name of a folder for a method label."""
+    return F.replace(method, F.lit("/"), F.lit("_"))
+
+
+def write_pages_markdown(pages: DataFrame, path: str, engine_name: str) -> DataFrame:
+    """One Markdown file ``<method>/<document>.md`` per document; returns ``(name, length)``."""
+    name = F.concat(method_folder(F.col("method")), F.lit("/"), F.col("document"), F.lit(".md"))
+    found = pages_markdown(pages, engine_name).select(name.alias("name"), F.col("markdown").alias("text"))
+    return write_files(found, path)
 
 
 def write_vector_ready(pages: DataFrame, path: str, number: str = "page") -> None:
-    """The Markdown of all rewritten texts of a run."""
-    blocks = vector_ready_blocks(pages, number).orderBy(*VECTOR_READY_ORDER)
-    heading = pages.sparkSession.range(1, numPartitions=1).select(
-        F.lit(fixed.VECTOR_READY_HEADING).alias("block")
-    )
-    heading.write.text(f"{path}/0-heading")
-    blocks.select("block").write.text(f"{path}/1-documents")
+    """The Markdown of all rewritten texts, a folder ``method=<method>`` per method.
+
+    Part files of a folder, read in name order, are that method's text: blocks are
+    sorted by range over many tasks, and the heading is a block before all others.
+    """
+    blocks = vector_ready_blocks(pages, number)
+    kinds = {field.name: field.dataType for field in blocks.schema.fields}
+    nothing = [F.lit(None).cast(kinds[name]).alias(name) for name in VECTOR_READY_ORDER[1:]]
+    heading = pages.select("method").distinct().select("method", *nothing, F.lit(fixed.VECTOR_READY_HEADING).alias("block"))
+    ordered = blocks.unionByName(heading).withColumn("method", method_folder(F.col("method")))
+    ordered.orderBy(*VECTOR_READY_ORDER).select("method", "block").write.partitionBy("method").text(path)
 
 
 def write_report(lines: DataFrame, path: str) -> None:

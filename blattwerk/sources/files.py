@@ -2,31 +2,69 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from blattwerk import fixed
 from blattwerk.functions import paths
+from blattwerk.session import stage
+from blattwerk.sources import stores
+
+
+# Entries of a listing that one task reads or opens, once all cores have some.
+FILES_PER_TASK = 1000
 
 
 def list_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """Files of a folder as ``(path, length, modificationTime)``; no file is opened."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load(folder)
-        .select("path", "length", "modificationTime")
-    )
+    """Files of a folder as ``(path, length, modificationTime)``; no file is opened.
+
+    The folders of each level are dealt over tasks and their entries written as a
+    table, so the driver sees counts only. A store that tasks cannot open is
+    listed by Spark, which holds all names on the driver and leaves out names that
+    start with ``_`` or ``.``.
+    """
+    if not stores.reachable(folder):
+        return (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", str(recursive).lower())
+            .load(folder)
+            .select("path", "length", "modificationTime")
+        )
+    store, key = stores.located(folder)
+    if store.get_file_info([key])[0].type != fs.FileType.Directory:
+        raise FileNotFoundError(f"Ordner nicht gefunden: {folder}")
+    found, level = [], spark.createDataFrame([(stores.full(folder),)], "path string")
+    schema = "path string, folder boolean, length long, modificationTime timestamp"
+    while True:
+        below = stage(level.mapInArrow(stores.listed, schema), "listing")
+        found.append(below.where("NOT folder"))
+        folders = below.where("folder").select("path")
+        count = folders.count() if recursive else 0
+        if not count:
+            return reduce(DataFrame.unionByName, found).drop("folder")
+        # A folder is one task's: there are as many tasks as cores, or more for many folders.
+        level = folders.repartition(tasks(spark, count))
+
+
+def tasks(spark: SparkSession, count: int, per_task: int = FILES_PER_TASK) -> int:
+    """Tasks for so many entries: one a core while there are few."""
+    return max(1, min(count, max(spark.sparkContext.defaultParallelism, count // per_task)))
 
 
 def read_files(spark: SparkSession, folder: str, suffixes: list[str], recursive: bool = False) -> DataFrame:
     """Content of the files with one of the given suffixes, any case."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load(folder)
-        .where(paths.suffix(F.col("path")).isin(suffixes))
-        .select("path", "content")
-    )
+    if not stores.reachable(folder):
+        return (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", str(recursive).lower())
+            .load(folder)
+            .where(paths.suffix(F.col("path")).isin(suffixes))
+            .select("path", "content")
+        )
+    wanted = list_files(spark, folder, recursive).where(paths.suffix(F.col("path")).isin(suffixes)).select("path")
+    return wanted.repartition(tasks(spark, wanted.count())).mapInArrow(stores.contents, "path string, content binary")
 
 
 def require_rows(df: DataFrame, message: str) -> DataFrame:

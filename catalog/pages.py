@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from blattwerk import fixed
 from blattwerk.functions import lookups, records, text
@@ -10,6 +10,7 @@ from blattwerk.operators import documents, pages as ops
 from blattwerk.operators.ordering import number_rows
 from blattwerk.session import new_table_path, stage
 from blattwerk.sinks import writers
+from blattwerk.sources import files, stores
 from catalog import inputs
 from catalog.registry import base, literal, norm, query, stem, strip
 
@@ -67,11 +68,21 @@ def sort_pages(spark: SparkSession, folder: str) -> DataFrame:
     return number_rows(held, F.col("at"), "place").drop("at")
 
 
-def written_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files below ``path`` with their place, files in name order."""
+def written_lines(spark: SparkSession, path: str, by: str | None = None) -> DataFrame:
+    """Lines of text files below ``path`` with their place, files in name order.
+
+    ``by`` names the folders ``<by>=<value>`` whose files are one text each.
+    """
     lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
     at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
-    return number_rows(lines.select(F.col("value").alias("line"), at.alias("at")), F.col("at"), "place").drop("at")
+    own = [F.regexp_extract("_metadata.file_path", f"{by}=([^/]*)/", 1).alias(by)] if by else []
+    found = lines.select(F.col("value").alias("line"), at.alias("at"), *own)
+    return number_rows(found, F.col("at"), "place", by).drop("at")
+
+
+def paths_below(folder: str) -> Column:
+    """Column ``path`` without the folder before it."""
+    return F.substr("path", F.lit(len(stores.full(folder)) + 2))
 
 
 # --- Titles, sources, labels --------------------------------------------------------
@@ -297,14 +308,16 @@ MD_BLOCK = f"""chr(10) || '## Page ' || CAST(page AS STRING) || chr(10) || chr(1
 
 @query(
     "write_pages_markdown",
-    f"""{PAGES} SELECT method, document,
+    f"""{PAGES} SELECT replace(method, '/', '_') || '/' || document || '.md' AS file,
       '# ' || document || ' (OCR)' || chr(10) || string_agg({MD_BLOCK}, chr(10) ORDER BY page) || chr(10) AS markdown
     FROM v_pages GROUP BY method, document""",
 )
 def write_pages_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    """The written files, read back."""
     path = new_table_path(spark, "markdown")
     writers.write_pages_markdown(inputs.pages(spark, folder), path, "OCR")
-    return spark.read.parquet(path)
+    found = files.read_files(spark, path, [".md"], recursive=True)
+    return found.select(paths_below(path).alias("file"), F.decode("content", "UTF-8").alias("markdown"))
 
 
 @query(
@@ -340,17 +353,17 @@ def vector_ready_blocks(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "write_vector_ready",
     f"""{VECTOR_BLOCKS}, split AS (
-      SELECT row_number() OVER (ORDER BY method, first_page, source, page NULLS FIRST) AS n,
+      SELECT method, row_number() OVER (PARTITION BY method ORDER BY first_page, source, page NULLS FIRST) AS n,
         string_split(block, chr(10)) AS lines FROM blocks
-      UNION ALL SELECT 0, ['{fixed.VECTOR_READY_HEADING}'])
-    SELECT line, row_number() OVER (ORDER BY n, i) AS place FROM (
-      SELECT n, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM split) t""",
+      UNION ALL SELECT DISTINCT method, 0, ['{fixed.VECTOR_READY_HEADING}'] FROM blocks)
+    SELECT replace(method, '/', '_') AS method, line, row_number() OVER (PARTITION BY method ORDER BY n, i) AS place FROM (
+      SELECT method, n, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM split) t""",
 )
 def write_vector_ready(spark: SparkSession, folder: str) -> DataFrame:
-    """The written Markdown, line by line."""
+    """The written Markdown of each method, line by line."""
     path = new_table_path(spark, "vector-ready")
     writers.write_vector_ready(_run_pages(spark, folder), path, "slide_number")
-    return written_lines(spark, path)
+    return written_lines(spark, path, by="method")
 
 
 # --- Scalar functions ----------------------------------------------------------------------

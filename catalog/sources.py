@@ -10,9 +10,11 @@ from blattwerk.operators.ordering import number_rows
 from blattwerk.operators.pages import image_records, number_documents
 from blattwerk.session import new_table_path
 from blattwerk.sinks import writers
+from blattwerk.sinks.row_files import write_files
 from blattwerk.sources import decks, files, records as record_sources
 from catalog import inputs
 from catalog.decks import conversation_decks
+from catalog.pages import paths_below
 from catalog.registry import FOLDER, SUFFIX, literal, query, stem, strip
 
 MANIFEST = inputs.with_tables("manifest")
@@ -33,8 +35,12 @@ KIND = (
     f"{MANIFEST} SELECT path, {SUFFIX} AS suffix, {KIND} AS kind FROM v_manifest WHERE {KIND} <> 'unsupported'",
 )
 def scan_documents(spark: SparkSession, folder: str) -> DataFrame:
-    found = files.supported_documents(inputs.manifest(spark, folder))
-    return files.sort_documents(found).select("path", "suffix", "kind")
+    """Real files, found by a walk over their folders."""
+    path = new_table_path(spark, "documents")
+    listing = inputs.manifest(spark, folder)
+    write_files(listing.select(F.col("path").alias("name"), F.col("path").alias("text")), path)
+    found = files.supported_documents(files.list_files(spark, path, recursive=True))
+    return files.sort_documents(found).select(paths_below(path).alias("path"), "suffix", "kind")
 
 
 @query("classify_documents", f"{MANIFEST} SELECT path, {SUFFIX} AS suffix, {KIND} AS kind FROM v_manifest")
@@ -149,10 +155,12 @@ def read_deck_slides(spark: SparkSession, folder: str) -> DataFrame:
     UNION ALL SELECT {DECK}, 2, 'Ende' FROM conversations""",
 )
 def read_deck_shapes(spark: SparkSession, folder: str) -> DataFrame:
+    """Decks in files, read by ranges."""
     archives = conversation_decks(inputs.table(spark, folder, "conversations", heavy=True))
-    return decks.raw_slides(archives).select(
-        "document", "page", decks.shape_text(F.col("texts")).alias("content")
-    )
+    path = new_table_path(spark, "decks")
+    write_files(archives.select(F.col("path").alias("name"), F.col("content").alias("text")), path)
+    found = decks.file_slides(files.list_files(spark, path, recursive=True)).withColumnRenamed("document", "path")
+    return found.select(paths_below(path).alias("document"), "page", decks.shape_text(F.col("texts")).alias("content"))
 
 
 @query(
@@ -196,20 +204,21 @@ FILE = (
     WHERE o_orderkey % 5 <> 0""",
 )
 def read_ground_truth(spark: SparkSession, folder: str) -> DataFrame:
-    """One JSON file per order, some with an empty object."""
+    """JSON files that hold objects of up to 1000 orders each, some orders with an empty object."""
     fields = F.concat(
         F.lit('{"Belegnummer": '), F.col("o_orderkey").cast("string"),
         F.lit(', "Lieferant": " '), F.col("o_orderpriority"), F.lit('  GmbH", "Tags": ["x", " ", "'),
         F.col("o_orderstatus"), F.lit(' "], "Währung": null}'),
     )
-    document = F.concat(
-        F.lit('{"'), F.expr(FILE), F.lit('": '),
-        F.when(F.expr("o_orderkey % 5 = 0"), F.lit("{}")).otherwise(fields), F.lit("}"),
+    member = F.concat(
+        F.lit('"'), F.expr(FILE), F.lit('":\n  '),
+        F.when(F.expr("o_orderkey % 5 = 0"), F.lit("{}")).otherwise(fields),
     )
-    texts = inputs.table(spark, folder, "orders").select(document.alias("value"))
+    orders = inputs.table(spark, folder, "orders").select(F.expr("o_orderkey DIV 1000").alias("object"), member.alias("member"))
+    objects = orders.groupBy("object").agg(F.expr("listagg(member, ',\n ')").alias("members"))
     path = new_table_path(spark, "ground-truth")
-    texts.write.text(path)
-    return record_sources.truth_from_json(spark.read.text(path))
+    objects.select(F.concat(F.lit("{"), "members", F.lit("}"))).write.text(path)
+    return record_sources.read_ground_truth(spark, path)
 
 
 RECORDS = inputs.with_tables("records")
