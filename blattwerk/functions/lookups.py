@@ -81,9 +81,10 @@ def invalid_methods(asked: Column, allowed: list[str] = fixed.METHODS) -> Column
     return F.array_sort(F.array_except(asked, F.array(*[F.lit(name) for name in allowed])))
 
 
-def method_order(method: Column) -> Column:
-    """Place of a method label in the fixed order; unknown ones come last."""
-    place = F.lit(len(fixed.METHODS) + 1)
-    for number, name in reversed(list(enumerate(fixed.METHODS, start=1))):
+def method_order(method: Column, order: list[str] | None = None) -> Column:
+    """Place of a method label in the given order, or the fixed one; unknown ones come last."""
+    names = order or fixed.METHODS
+    place = F.lit(len(names) + 1)
+    for number, name in reversed(list(enumerate(names, start=1))):
         place = F.when(method.startswith(name), F.lit(number)).otherwise(place)
     return place

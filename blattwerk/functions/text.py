@@ -113,8 +113,8 @@ def fixed_decimals(number: Column, places: int) -> Column:
     return F.format_string(f"%.{places}f", F.round(number.cast("double"), places))
 
 
-def page_range(spec: Column) -> Column:
-    """Page numbers in a list such as ``1,3,5-10``, ascending, each once.
+def page_bounds(spec: Column) -> Column:
+    """First and last page of each part of a list such as ``1,3,5-10``; never longer than the list.
 
     A range that runs downwards holds no page, nor does a part that is no number;
     ``page_range_error`` names those.
@@ -129,8 +129,20 @@ def page_range(spec: Column) -> Column:
             ).try_cast("int").alias("last"),
         ),
     )
-    upward = F.filter(bounds, lambda b: b["first"] <= b["last"])
-    numbers = F.flatten(F.transform(upward, lambda b: F.sequence(b["first"], b["last"])))
+    return F.filter(bounds, lambda b: b["first"] <= b["last"])
+
+
+def page_range(spec: Column, last: Column | None = None) -> Column:
+    """Page numbers in a list such as ``1,3,5-10``, ascending, each once.
+
+    Every number is written out, up to ``last`` where that is given (the pages that a
+    document has); to choose pages use ``page_bounds``, which writes none out.
+    """
+    bounds = page_bounds(spec)
+    if last is not None:
+        bounds = F.transform(bounds, lambda b: F.struct(b["first"].alias("first"), F.least(b["last"], last).alias("last")))
+        bounds = F.filter(bounds, lambda b: b["first"] <= b["last"])
+    numbers = F.flatten(F.transform(bounds, lambda b: F.sequence(b["first"], b["last"])))
     return F.array_sort(F.array_distinct(numbers))
 
 

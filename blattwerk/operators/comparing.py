@@ -133,7 +133,9 @@ def _fixed_lines(like: DataFrame, section: int, lines: list[str]) -> DataFrame:
     )
 
 
-def _method_lines(rows: DataFrame, section: int, lines: list[tuple[Column | int, Column]]) -> DataFrame:
+def _method_lines(
+    rows: DataFrame, section: int, lines: list[tuple[Column | int, Column]], order: list[str] | None = None
+) -> DataFrame:
     pairs = [
         F.struct(
             (number if isinstance(number, Column) else F.lit(number)).cast("int").alias("line_no"),
@@ -143,7 +145,7 @@ def _method_lines(rows: DataFrame, section: int, lines: list[tuple[Column | int,
     ]
     return rows.select(
         F.lit(section).alias("section"),
-        lookups.method_order(F.col("method")).alias("method_order"),
+        lookups.method_order(F.col("method"), order).alias("method_order"),
         "method",
         F.inline(F.array(*pairs)),
     )
@@ -207,10 +209,11 @@ def local_benchmark_report(
     invoices_dir: str,
     provider: str = "openai",
     model: str | None = None,
+    methods: list[str] | None = None,
 ) -> DataFrame:
     """Markdown report of the handwriting and invoice summaries, as lines.
 
-    ``counts`` has one row with ``images`` and ``pdfs``.
+    ``counts`` has one row with ``images`` and ``pdfs``; ``methods`` is the order of methods.
     """
     c = F.col
 
@@ -241,9 +244,9 @@ def local_benchmark_report(
             _fixed_lines(counts, 0, title),
             count_lines,
             _fixed_lines(counts, 2, [llm, "", *fixed.LOCAL_HANDWRITING_HEAD]),
-            _method_lines(handwriting, 3, [(0, table_row(c("method"), items, *seconds))]),
+            _method_lines(handwriting, 3, [(0, table_row(c("method"), items, *seconds))], methods),
             _fixed_lines(counts, 4, ["", *fixed.LOCAL_INVOICE_HEAD]),
-            _method_lines(invoices, 5, [(0, table_row(c("method"), items, *seconds, fill))]),
+            _method_lines(invoices, 5, [(0, table_row(c("method"), items, *seconds, fill))], methods),
             _fixed_lines(counts, 6, ["", *fixed.LOCAL_NOTES, ""]),
         ]
     )

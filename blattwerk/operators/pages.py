@@ -43,11 +43,16 @@ def texts_in_order(
     )
 
 
-def select_pages(pages: DataFrame, numbers: list[int] | Column | None) -> DataFrame:
-    """Pages with one of the numbers. No numbers at all means every page.
+def select_pages(
+    pages: DataFrame, numbers: list[int] | Column | None = None, bounds: Column | None = None
+) -> DataFrame:
+    """Pages with one of the numbers, or within one of the ``bounds``. None at all means every page.
 
     Apply before a model pass, so that the filter reaches the scan.
     """
+    if bounds is not None:
+        inside = F.exists(bounds, lambda b: F.col("page").between(b["first"], b["last"]))
+        return pages.where((F.size(bounds) <= 0) | inside)
     if numbers is None or (isinstance(numbers, list) and not numbers):
         return pages
     if isinstance(numbers, list):
@@ -78,20 +83,21 @@ def number_pages_in_document(
     """Adds the place of a page in its document, from 1.
 
     Pages are counted within blocks; a block's pages get the sizes of the blocks
-    before theirs. The same plan for every size.
+    before theirs. The same plan for every size. Numbers are made on the keys alone;
+    other columns are joined once.
     """
-    blocks = [*keys, "__block"]
-    narrow = pages.select(*keys, "page").withColumn("__block", block_of(F.col("page")))
+    blocks, key = [*keys, "__block"], [*keys, "page"]
+    narrow = pages.select(*key).withColumn("__block", block_of(F.col("page")))
     upto = Window.partitionBy(*keys).orderBy("__block")
     sizes = narrow.groupBy(*blocks).agg(F.count("*").alias("__pages"))
     offsets = sizes.select(*blocks, (F.sum("__pages").over(upto) - F.col("__pages")).alias("__before"))
     place = F.row_number().over(Window.partitionBy(*blocks).orderBy("page"))
-    return (
-        pages.withColumn("__block", block_of(F.col("page")))
-        .join(offsets, blocks)
+    numbers = (
+        narrow.join(offsets, blocks)
         .withColumn(name, (place + F.col("__before")).cast("int"))
-        .drop("__block", "__before")
+        .select(*key, name)
     )
+    return numbers if set(pages.columns) == set(key) else pages.join(numbers, key)
 
 
 def number_documents(documents: DataFrame, name: str = "number") -> DataFrame:

@@ -83,8 +83,8 @@ def match_by_key(items: DataFrame) -> DataFrame:
 
 
 def match_rate(items: DataFrame) -> DataFrame:
-    """Adds fields compared, exact matches and their rate; null without a truth
-    or for a failed reply.
+    """Adds fields compared, exact matches, their rate, and ``per_key`` (key, pred, truth,
+    exact_match); null without a truth or for a failed reply.
 
     The rate is null as well where the truth names none of the known keys.
     """
@@ -98,5 +98,5 @@ def match_rate(items: DataFrame) -> DataFrame:
             "exact_match_rate",
             F.round(F.col("exact_matches") / F.nullif(F.col("evaluated_fields"), F.lit(0)), 4),
         )
-        .drop("__pairs")
+        .withColumnRenamed("__pairs", "per_key")
     )

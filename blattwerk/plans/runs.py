@@ -176,7 +176,6 @@ def invoice_run(
     """
     pages = run_pages(images, engine, engine_kind, mode, model=backend)
     items = invoice_properties(pages, property_engine, provider, model)
-    summary = invoices.invoice_run_summary(items)
     header = {
         "method": engine_kind,
         "task": "invoice_property_extraction",
@@ -184,8 +183,7 @@ def invoice_run(
         "ocr": {"backend": backend or fixed.DEEPSEEK_BACKEND, "prompt_mode": mode},
         **(settings or {}),
     }
-    writers.write_invoice_run(items, summary, path, header)
-    return items, summary
+    return items, writers.write_invoice_run(items, path, header)
 
 
 class LocalBenchmark(NamedTuple):
@@ -196,14 +194,23 @@ class LocalBenchmark(NamedTuple):
     invoice_items: DataFrame
     invoice_summary: DataFrame
     report: DataFrame
+    header: dict[str, object]
+    inputs: DataFrame
+
+    def write(self, path: str) -> None:
+        """Items, summaries, inputs and header below ``path``."""
+        writers.write_local_benchmark(
+            (self.handwriting_items, self.handwriting_summary), (self.invoice_items, self.invoice_summary),
+            path, self.header, self.inputs,
+        )
 
 
 def check_methods(methods: list[str] | None) -> list[str]:
-    """The asked methods in the fixed order, or an error that names the invalid ones."""
+    """The methods as asked, each once (all in the fixed order without any), or an error that names the invalid ones."""
     invalid = sorted(set(methods or []) - set(fixed.METHODS))
     if invalid:
         raise ValueError(f"Ungültige Methoden: {', '.join(invalid)}")
-    return [name for name in fixed.METHODS if methods is None or name in methods]
+    return list(fixed.METHODS) if methods is None else list(dict.fromkeys(methods))
 
 
 def local_benchmark(
@@ -216,8 +223,10 @@ def local_benchmark(
     methods: list[str] | None = None,
     handwriting_dir: str = "",
     invoices_dir: str = "",
+    provider: str = "openai",
+    model: str | None = None,
 ) -> LocalBenchmark:
-    """Handwriting and invoices by every method, scored against ground truth.
+    """Handwriting and invoices by every method, in the asked order, scored against ground truth.
 
     Both inputs are page images ``(document, page, content)``.
     """
@@ -228,25 +237,34 @@ def local_benchmark(
         return page_ops.union_all(runs)
 
     rewritten = stage(
-        vector_ready_pages(by_method(handwriting, "free"), rewriter, "handwriting"), "handwriting"
+        vector_ready_pages(by_method(handwriting, "free"), rewriter, "handwriting", provider, model), "handwriting"
     )
-    items = invoice_properties(by_method(invoice_pages, "structured"), property_engine)
+    items = invoice_properties(by_method(invoice_pages, "structured"), property_engine, provider, model)
     if truth is not None:
         items = scoring.match_rate(
             scoring.truth_lookup(items, truth, paths.base_name(F.col("document")), F.col("document"))
         )
     handwriting_summary = comparing.handwriting_summary(rewritten)
     invoice_summary = invoices.invoice_method_summary(items)
-    documents = handwriting.select(F.col("document").alias("image"), F.lit(None).cast("string").alias("pdf"))
-    documents = documents.unionByName(
-        invoice_pages.select(F.lit(None).cast("string").alias("image"), F.col("document").alias("pdf"))
+    documents = page_ops.union_all(
+        [
+            images.select(F.lit(task).alias("task"), F.col("document").alias("path")).distinct()
+            for task, images in (("handwriting", handwriting), ("invoices", invoice_pages))
+        ]
+    )
+    counts = documents.agg(
+        F.count_if(F.col("task") == "handwriting").alias("images"), F.count_if(F.col("task") == "invoices").alias("pdfs")
     )
-    counts = documents.agg(F.countDistinct("image").alias("images"), F.countDistinct("pdf").alias("pdfs"))
     report = comparing.local_benchmark_report(
-        handwriting_summary, invoice_summary, counts, handwriting_dir, invoices_dir
+        handwriting_summary, invoice_summary, counts, handwriting_dir, invoices_dir, provider, model, chosen
     )
+    header = {
+        "inputs": {"handwriting_dir": handwriting_dir, "invoices_dir": invoices_dir},
+        "methods": chosen,
+        "llm": {"provider": provider, "model": model or "(default)"},
+    }
     return LocalBenchmark(
-        comparing.handwriting_items(rewritten), handwriting_summary, items, invoice_summary, report
+        comparing.handwriting_items(rewritten), handwriting_summary, items, invoice_summary, report, header, documents
     )
 
 

@@ -6,6 +6,8 @@ range-sorted first, so their part files, read in name order, are that text.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from blattwerk import fixed
@@ -13,6 +15,7 @@ from blattwerk.functions import paths
 from blattwerk.functions.records import page_record, page_text
 from blattwerk.operators.comparing import REPORT_ORDER
 from blattwerk.operators.documents import VECTOR_READY_ORDER, pages_markdown, vector_ready_blocks
+from blattwerk.operators.invoices import invoice_run_summary
 from blattwerk.sinks.row_files import write_files
 
 
@@ -65,12 +68,14 @@ def write_report(lines: DataFrame, path: str) -> None:
     lines.orderBy(*REPORT_ORDER).select("line").coalesce(1).write.text(path)
 
 
-def write_invoice_run(
-    items: DataFrame, summary: DataFrame, path: str, settings: dict[str, object]
-) -> None:
-    """Items as Parquet and a one-row header as JSON; credentials are no setting."""
+def write_invoice_run(items: DataFrame, path: str, settings: dict[str, object]) -> DataFrame:
+    """Items as Parquet and a one-row header as JSON; credentials are no setting.
+
+    The header's summary is taken from the items as written, and returned.
+    """
     items.write.parquet(f"{path}/items")
-    header = summary
+    written = items.sparkSession.read.schema(items.schema).parquet(f"{path}/items")
+    header = summary = invoice_run_summary(written)
     for name, value in settings.items():
         group = value if isinstance(value, dict) else None
         column = (
@@ -80,6 +85,7 @@ def write_invoice_run(
         )
         header = header.withColumn(name, column)
     header.coalesce(1).write.json(f"{path}/run")
+    return summary
 
 
 def write_benchmark_data(
@@ -95,9 +101,20 @@ def write_benchmark_data(
 
 
 def write_local_benchmark(
-    handwriting: tuple[DataFrame, DataFrame], invoices: tuple[DataFrame, DataFrame], path: str
+    handwriting: tuple[DataFrame, DataFrame],
+    invoices: tuple[DataFrame, DataFrame],
+    path: str,
+    header: dict[str, object],
+    inputs: DataFrame,
 ) -> None:
-    """Items and summary of both tasks, one folder per task and method."""
+    """Items and summary of both tasks, one folder per task and method, and what they were made from.
+
+    ``header`` (folders, methods, text model) is one JSON line; ``inputs`` are the files
+    of each task as ``(task, path)``.
+    """
     for task, (items, summary) in {"handwriting": handwriting, "invoices": invoices}.items():
         items.write.partitionBy("method").parquet(f"{path}/items/task={task}")
         summary.coalesce(1).write.json(f"{path}/summary/task={task}")
+    inputs.write.partitionBy("task").parquet(f"{path}/inputs")
+    line = json.dumps(header, ensure_ascii=False)
+    inputs.sparkSession.range(1, numPartitions=1).select(F.lit(line).alias("value")).write.text(f"{path}/run")

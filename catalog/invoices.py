@@ -196,26 +196,23 @@ def invoice_method_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "write_invoice_run",
-    f"""{ITEMS.replace("items AS (", "items AS MATERIALIZED (")}, run AS (SELECT count(*) AS total_files,
-      coalesce(round(avg(filled_ratio), 4), 0) AS avg_property_fill_ratio FROM items)
-    SELECT document, items.method, filled_properties, filled_ratio, {ALL_VALUES} AS found,
-      'invoice_property_extraction' AS task, total_files, avg_property_fill_ratio FROM items, run""",
+    f"""{ITEMS}
+    SELECT document, method, filled_properties, filled_ratio, md5({ALL_VALUES}) AS found,
+      'invoice_property_extraction' AS task, count(*) OVER () AS total_files,
+      round(avg(filled_ratio) OVER (), 4) AS avg_property_fill_ratio FROM items""",
 )
 def write_invoice_run(spark: SparkSession, folder: str) -> DataFrame:
     """Items and header of a run, written and read back."""
     path = new_table_path(spark, "invoice-run")
-    rows = stage(
-        items(spark, folder).select("document", "method", "properties", "filled_properties", "filled_ratio"), "items"
-    )
-    summary = invoices.invoice_run_summary(rows)
+    rows = items(spark, folder).select("document", "method", "properties", "filled_properties", "filled_ratio")
     settings = {"task": "invoice_property_extraction", "llm": {"provider": "openai", "model": "(default)"}}
-    writers.write_invoice_run(rows, summary, path, settings)
+    writers.write_invoice_run(rows, path, settings)
     header = spark.read.schema(
         "total_files bigint, avg_property_fill_ratio double, task string, llm struct<provider:string, model:string>"
     ).json(f"{path}/run").head()
     return spark.read.parquet(f"{path}/items").select(
         "document", "method", "filled_properties", "filled_ratio",
-        F.when(F.col("properties").isNotNull(), F.array_join(invoices.property_values(" | "), " ¦ ")).alias("found"),
+        F.when(F.col("properties").isNotNull(), F.md5(F.array_join(invoices.property_values(" | "), " ¦ "))).alias("found"),
         F.lit(header.task).alias("task"),
         F.lit(header.total_files).cast("bigint").alias("total_files"),
         F.lit(header.avg_property_fill_ratio).alias("avg_property_fill_ratio"),
@@ -224,11 +221,11 @@ def write_invoice_run(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- Scores ---------------------------------------------------------------------------------
 
-def known(spark: SparkSession, folder: str) -> DataFrame:
+def known(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """Items with their truth, by file name or path."""
     path = F.concat(F.lit("in/"), F.col("document"))
     return scoring.truth_lookup(
-        items(spark, folder).select("document", "method", "properties"),
+        items(spark, folder).select("document", "method", "properties", *columns),
         inputs.truth(spark, folder),
         F.col("document"),
         path,

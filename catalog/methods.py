@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from blattwerk import fixed
 from blattwerk.functions import lookups
-from blattwerk.operators import comparing, invoices as invoice_ops, pages as ops
-from blattwerk.session import new_table_path
+from blattwerk.operators import comparing, invoices as invoice_ops, pages as ops, scoring
+from blattwerk.session import new_table_path, stage
 from blattwerk.sinks import writers
 from blattwerk.sources import files
 from catalog import inputs, invoices
@@ -239,25 +239,50 @@ def local_benchmark_report(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "write_local_benchmark",
-    f"""{invoices.ITEMS}, {HANDWRITING[5:]}, inv AS ({invoices.METHOD_SUMMARY})
-    SELECT 'handwriting' AS task, v_records.method, document, page, total_items
-      FROM v_records JOIN hw USING (method)
-    UNION ALL SELECT 'invoices', items.method, document, NULL, total_items FROM items JOIN inv USING (method)""",
+    f"""{invoices.SCORED}, {HANDWRITING[5:]}, inv AS ({invoices.METHOD_SUMMARY}),
+      keys AS (SELECT document, method, string_agg(key || ':' || pred || ':' || truth || ':' || CAST(exact_match AS VARCHAR),
+        ';' ORDER BY key) AS per_key FROM scores GROUP BY document, method)
+    SELECT 'handwriting' AS task, v_records.method, document, page, total_items, NULL AS per_key,
+      'glm,deepseek' AS methods, true AS is_input FROM v_records JOIN hw USING (method)
+    UNION ALL SELECT 'invoices', items.method, document, NULL, total_items, per_key, 'glm,deepseek', true
+      FROM items JOIN inv USING (method) LEFT JOIN keys USING (document, method)""",
 )
 def write_local_benchmark(spark: SparkSession, folder: str) -> DataFrame:
-    """Items and summaries of both tasks, written and read back."""
+    """Items, summaries, inputs and header of both tasks, written and read back."""
     path = new_table_path(spark, "local-benchmark")
-    handwriting, invoice = _handwriting(spark, folder), _invoice_items(spark, folder)
+    handwriting = _handwriting(spark, folder)
+    invoice = stage(
+        scoring.match_rate(invoices.known(spark, folder, "filled_properties", "filled_ratio", "seconds")), "scored"
+    )
+    files_of = [
+        rows.select(F.lit(task).alias("task"), F.col("document").alias("path")).distinct()
+        for task, rows in (("handwriting", handwriting), ("invoices", invoice))
+    ]
     writers.write_local_benchmark(
         (comparing.handwriting_items(handwriting), comparing.handwriting_summary(handwriting)),
         (
-            invoice.select("method", "document", "filled_properties", "filled_ratio", "seconds"),
+            invoice.select("method", "document", "filled_properties", "filled_ratio", "seconds", "per_key"),
             invoice_ops.invoice_method_summary(invoice),
         ),
         path,
+        {"methods": ["glm", "deepseek"], "llm": {"provider": "openai", "model": "(default)"}},
+        files_of[0].unionByName(files_of[1]),
+    )
+    pair = "struct<key:string,pred:string,truth:string,exact_match:boolean>"
+    items = spark.read.schema(
+        f"document string, page int, per_key array<{pair}>, task string, method string"
+    ).parquet(f"{path}/items")
+    methods = spark.read.schema("methods array<string>").json(f"{path}/run").head().methods
+    given = spark.read.parquet(f"{path}/inputs").select("task", F.col("path").alias("document"), F.lit(True).alias("is_input"))
+    keys = F.array_join(
+        F.transform(
+            F.array_sort("per_key"), lambda k: F.concat_ws(":", k["key"], k["pred"], k["truth"], k["exact_match"].cast("string"))
+        ),
+        ";",
     )
-    items = spark.read.schema("document string, page int, task string, method string").parquet(f"{path}/items")
     summary = spark.read.schema("method string, total_items bigint, task string").json(f"{path}/summary")
-    return items.select("task", "method", "document", "page").join(
-        summary.select("task", "method", "total_items"), ["task", "method"]
+    return (
+        items.select("task", "method", "document", "page", keys.alias("per_key"), F.lit(",".join(methods)).alias("methods"))
+        .join(summary.select("task", "method", "total_items"), ["task", "method"])
+        .join(given, ["task", "document"], "left")
     )

@@ -44,12 +44,12 @@ def parse_page_range(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "select_pages",
     f"""{PAGES} SELECT {KEY}, content FROM v_pages
-    WHERE CASE length(document) % 3 WHEN 0 THEN page IN (1, 3, 4) WHEN 1 THEN true ELSE page = 2 END""",
+    WHERE CASE length(document) % 3 WHEN 0 THEN page <> 2 WHEN 1 THEN true ELSE page = 2 END""",
 )
 def select_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Ranges that differ by document; a downward one holds nothing, so it keeps every page."""
-    spec = F.expr("CASE length(document) % 3 WHEN 0 THEN '1,3-4' WHEN 1 THEN '5-3' ELSE ' 2 ' END")
-    chosen = ops.select_pages(inputs.pages(spark, folder), text.page_range(spec))
+    spec = F.expr("CASE length(document) % 3 WHEN 0 THEN '1,3-2000000000' WHEN 1 THEN '5-3' ELSE ' 2 ' END")
+    chosen = ops.select_pages(inputs.pages(spark, folder), bounds=text.page_bounds(spec))
     return chosen.select(*KEYS, "content")
 
 
@@ -168,20 +168,18 @@ def join_text_parts(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- Records and numbers ------------------------------------------------------------------
 
-FULL = f"""{PAGES}, full_pages AS (SELECT * FROM v_pages WHERE {strip('content')} <> ''),
-  numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY method, document ORDER BY page) AS INT) AS n,
-    row_number() OVER (PARTITION BY method ORDER BY string_split(document, '/'), page) AS g FROM full_pages)"""
+FULL = f"""{PAGES}, numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY method, document ORDER BY page) AS INT) AS n,
+    row_number() OVER (PARTITION BY method ORDER BY string_split(document, '/'), page) AS g FROM v_pages)"""
 
 
 @query("number_pages_in_document", f"{FULL} SELECT {KEY}, n AS number FROM numbered")
 def number_pages_in_document(spark: SparkSession, folder: str) -> DataFrame:
-    pages = ops.drop_blank_pages(inputs.pages(spark, folder)).select(*KEYS)
-    return ops.number_pages_in_document(pages)
+    return ops.number_pages_in_document(inputs.pages(spark, folder).select(*KEYS))
 
 
 @query("number_pages_global", f"{FULL} SELECT {KEY}, n AS number, g AS slide_number FROM numbered")
 def number_pages_global(spark: SparkSession, folder: str) -> DataFrame:
-    pages = ops.drop_blank_pages(inputs.pages(spark, folder)).select(*KEYS)
+    pages = inputs.pages(spark, folder).select(*KEYS)
     return ops.number_pages_global(ops.number_pages_in_document(pages), number="number")
 
 
@@ -191,8 +189,7 @@ def number_pages_global(spark: SparkSession, folder: str) -> DataFrame:
       || CASE WHEN n < 1000 THEN lpad(CAST(n AS STRING), 3, '0') ELSE CAST(n AS STRING) END AS title FROM numbered""",
 )
 def page_record_pdf(spark: SparkSession, folder: str) -> DataFrame:
-    pages = ops.drop_blank_pages(inputs.pages(spark, folder)).select(*KEYS, "content")
-    return ops.pdf_records(pages)
+    return ops.pdf_records(inputs.pages(spark, folder).select(*KEYS, "content"))
 
 
 @query(
@@ -201,8 +198,7 @@ def page_record_pdf(spark: SparkSession, folder: str) -> DataFrame:
       'source_file=' || document AS notes FROM numbered""",
 )
 def page_record_folder(spark: SparkSession, folder: str) -> DataFrame:
-    pages = ops.drop_blank_pages(inputs.pages(spark, folder)).select(*KEYS, "content")
-    return ops.folder_records(pages)
+    return ops.folder_records(inputs.pages(spark, folder).select(*KEYS, "content"))
 
 
 NOTES = "CASE WHEN page % 5 = 0 THEN 'ohne' WHEN page % 2 = 0 THEN notes || '/x.pdf' ELSE notes END"
