@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import gc
+import sys
 import time
-from collections.abc import Iterator
+import types
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,19 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def held(name: str, key: object, make: Callable[[], object]) -> object:
+    """A worker's ``name`` for ``key``, made when it is first asked for; the one before is given up.
+
+    Kept in a module of its own: what travels to a worker by value has no globals
+    that outlive a task.
+    """
+    place = sys.modules.setdefault("llm_held", types.ModuleType("llm_held")).__dict__
+    if place.get(name, (None, None))[0] != key:
+        place.pop(name, None)
+        place[name] = (key, make())
+    return place[name][1]
+
+
 def text_hash(text: str | Column = "text") -> Column:
     """Hash of a text, null as empty; with the id it names a row of ``documents``."""
     return F.xxhash64(F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit("")))

@@ -14,8 +14,8 @@ both tables are not read.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from . import common
 
 WINDOW = 10
-#: Bytes of window texts that one automaton holds; a larger benchmark is cut
-#: into blocks by a hash of the window, and documents are scanned once per block.
-AUTOMATON_BYTES = 32 << 20
+#: Bytes of window texts that one automaton holds, which takes some twenty times that
+#: in each worker; a larger benchmark is cut into blocks by a hash of the window, and
+#: documents are scanned once per block.
+AUTOMATON_BYTES = 4 << 20
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _BLANK = bytes(
     c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256)
@@ -70,10 +71,9 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=1)
-def _automaton(key: int, load: object) -> ahocorasick.Automaton:
+def _automaton(windows: list[tuple[bytes, list[str]]]) -> ahocorasick.Automaton:
     machine = ahocorasick.Automaton()
-    for window, items in load.windows():
+    for window, items in windows:
         text = f" {window.decode('latin-1')} "
         machine.add_word(text, (text.count(" ") - 1, items))
     machine.make_automaton()
@@ -81,23 +81,14 @@ def _automaton(key: int, load: object) -> ahocorasick.Automaton:
 
 
 class _Block:
-    """Windows of one automaton, broadcast; hashed by the broadcast's number."""
+    """Windows of one automaton, broadcast; a worker makes the automaton once."""
 
     def __init__(self, spark: SparkSession, rows: list) -> None:
         self.shared = spark.sparkContext.broadcast([(bytes(r.window), list(r.items)) for r in rows])
-        self.key = self.shared._jbroadcast.id()
+        self.key = uuid.uuid4().hex
 
-    def __getstate__(self) -> dict:
-        return {"shared": self.shared, "key": self.key}
-
-    def __hash__(self) -> int:
-        return self.key
-
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, _Block) and other.key == self.key
-
-    def windows(self) -> list[tuple[bytes, list[str]]]:
-        return self.shared.value
+    def automaton(self) -> ahocorasick.Automaton:
+        return common.held("automaton", self.key, lambda: _automaton(self.shared.value))
 
 
 def _runs(marked: np.ndarray) -> list[tuple[int, int]]:
@@ -108,7 +99,7 @@ def _runs(marked: np.ndarray) -> list[tuple[int, int]]:
 
 def _scan(docs: DataFrame, block: _Block) -> DataFrame:
     def scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _automaton(block.key, block)
+        machine = block.automaton()
         for batch in common.batches(rows):
             out: dict[str, list] = {f.name: [] for f in _HITS.fields[2:]}
             for text in common.blobs(batch, "text"):

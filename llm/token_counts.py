@@ -18,8 +18,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +26,8 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from blattwerk.sources import stores
+
 from . import common
 
 #: Public vocabulary file (ranks), its splitting pattern, and the identifier that it leaves free.
@@ -44,50 +45,84 @@ TASK_BYTES = 128 << 20
 _NONE = np.iinfo(np.int64).min
 
 
-@lru_cache(maxsize=1)
+#: White space that the tokenizer's pattern knows, in runs that its search may not survive.
+LONG_RUN = 10_000
+_BLANKS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_LONG = re.compile(f"[{_BLANKS}]{{{LONG_RUN},}}")
+
+
 def _encoding(path: str, pattern: str) -> object:
-    import tiktoken
+    def make() -> object:
+        import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        return tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    return common.held("encoding", (path, pattern), make)
 
-def flat_files(docs: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTERN, end: int = END, block: int = BLOCK) -> DataFrame:
-    """Token files of the documents, one per task, as blocks: (file, kind, block, data).
 
-    ``kind`` is 'tokens' for a block of identifiers (``WIDTH`` bytes each, little
-    endian) and 'ids' for the order in which documents were written (8 bytes each).
+def encoder(tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> Callable[[str], list[int]]:
+    """Identifiers of a text.
+
+    With ``PATTERN`` a long run of white space is one piece, but for its last
+    character where text follows. The search for that piece steps back through
+    the run and ends the process on very long ones, so such runs are cut out
+    beforehand, at the places where the pattern would cut.
+    """
+    encoding = _encoding(tokenizer, pattern)
+    if pattern != PATTERN:
+        return encoding.encode_ordinary
+
+    def encode(text: str) -> list[int]:
+        found, at = [], 0
+        for run in _LONG.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            found += encoding.encode_ordinary(text[at : run.start()])
+            found += encoding._encode_single_piece(text[run.start() : end])
+            at = end
+        return found + encoding.encode_ordinary(text[at:]) if at else encoding.encode_ordinary(text)
+
+    return encode
+
+
+def write_token_files(
+    docs: DataFrame, path: str, tokenizer: str = TOKENIZER, pattern: str = PATTERN, end: int = END, width: int = WIDTH
+) -> DataFrame:
+    """Write documents to token files below ``path``, one per task and attempt; returns the files of those that ended well.
+
+    ``<file>.tokens`` is flat: identifiers of ``width`` bytes (little endian), each
+    document followed by ``end``, and nothing else. ``<file>.ids`` has the documents'
+    ids in the same order, 8 bytes each. An identifier that does not fit is an error.
+    Returns (file, tokens, ids): the path without its ending, and both lengths.
     """
-    kind = np.dtype(f"<u{WIDTH}")
+    kind, most = np.dtype(f"<u{width}"), 1 << (8 * width)
+    target = stores.full(path)
 
     def write(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(tokenizer, pattern).encode_ordinary
-        file, number, written = TaskContext.get().partitionId(), 0, 0
-        rest = np.empty(0, kind)
-
-        def out(name: str, at: int, data: bytes) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([file], pa.int64()), pa.array([name]), pa.array([at], pa.int64()), pa.array([data], pa.binary())],
-                names=["file", "kind", "block", "data"],
-            )
-
-        for batch in common.batches(rows, 256):
-            parts = [rest]
-            for text in common.blobs(batch, "text"):
-                parts += [np.array(encode(text or ""), kind), np.array([end], kind)]
-            ids = np.array([_NONE if i is None else i for i in common.blobs(batch, "doc_id")], np.int64)
-            yield out("ids", written, ids.tobytes())
-            written += len(ids)
-            rest = np.concatenate(parts)
-            while len(rest) >= block:
-                yield out("tokens", number, rest[:block].tobytes())
-                rest, number = rest[block:], number + 1
-        if len(rest):
-            yield out("tokens", number, rest.tobytes())
+        encode = encoder(tokenizer, pattern)
+        if max(end, _encoding(tokenizer, pattern).max_token_value) >= most:
+            raise ValueError(f"identifiers of {tokenizer} do not fit {width} bytes")
+        task = TaskContext.get()
+        name = f"{target}/{task.partitionId()}-{task.taskAttemptId()}"
+        store, key = stores.located(name)
+        store.create_dir(key.rpartition("/")[0], recursive=True)
+        sizes = [0, 0]
+        with store.open_output_stream(f"{key}.tokens") as tokens, store.open_output_stream(f"{key}.ids") as ids:
+            for batch in common.batches(rows, 256):
+                parts = []
+                for text in common.blobs(batch, "text"):
+                    parts += [np.array(encode(text or ""), kind), np.array([end], kind)]
+                numbers = np.array([_NONE if i is None else i for i in common.blobs(batch, "doc_id")], "<i8")
+                for at, (file, data) in enumerate(((tokens, np.concatenate(parts)), (ids, numbers))):
+                    file.write(data.tobytes())
+                    sizes[at] += data.nbytes
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([name]), pa.array(sizes[:1], pa.int64()), pa.array(sizes[1:], pa.int64())], names=["file", "tokens", "ids"]
+        )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(write, "file long, kind string, block long, data binary")
+    return common.stage(rows.mapInArrow(write, "file string, tokens long, ids long"), "token-files")
 
 
 def _opened(path: str) -> pa.NativeFile:
@@ -100,7 +135,12 @@ def _opened(path: str) -> pa.NativeFile:
 
 
 def read_files(spark: SparkSession, path: str, width: int = WIDTH, block: int = BLOCK, run: int = RUN) -> DataFrame:
-    """Blocks (file path, block, data) of token files in a folder, of any length.
+    """Blocks (file path, block, data) of token files in a folder, of any length; see ``read_listed``."""
+    return read_listed(spark.read.format("binaryFile").load(path).select("path", "length"), width, block, run)
+
+
+def read_listed(found: DataFrame, width: int = WIDTH, block: int = BLOCK, run: int = RUN) -> DataFrame:
+    """Blocks (file path, block, data) of the token files ``(path, length)``.
 
     Files are listed without their content; runs of ``run`` blocks are dealt over
     the cluster, and a task reads just its runs' bytes, a block at a time. This goes
@@ -123,7 +163,7 @@ def read_files(spark: SparkSession, path: str, width: int = WIDTH, block: int =
                             names=["file", "block", "data"],
                         )
 
-    found = spark.read.format("binaryFile").load(path).select("path", "length")
+    spark = found.sparkSession
     total = found.agg(F.sum("length")).head()[0] or 0
     last = F.greatest(F.ceil(F.col("length") / size) - 1, F.lit(0))
     runs = found.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(run).cast("long"))))
@@ -185,24 +225,28 @@ def scan(blocks: DataFrame, end: int = END, width: int = WIDTH) -> DataFrame:
     return whole.unionByName(stitched.where("ended or n_tokens > 0"))
 
 
-def document_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTERN, end: int = END) -> DataFrame:
+def document_tokens(
+    docs: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTERN, end: int = END, block: int = BLOCK
+) -> DataFrame:
     """doc_id and n_tokens of every document, through flat files and the scan."""
-    spark = docs.sparkSession
-    path = common.new_table_path(spark, "token-files")
-    flat_files(docs, tokenizer, pattern, end).write.option("compression", "zstd").parquet(path)
-    files = spark.read.schema("file long, kind string, block long, data binary").parquet(path)
-    counts = scan(files.where("kind = 'tokens'"), end)
+    files = write_token_files(docs, common.new_table_path(docs.sparkSession, "tokens"), tokenizer, pattern, end)
+
+    def blocks(kind: str, width: int) -> DataFrame:
+        found = files.select(F.concat("file", F.lit(f".{kind}")).alias("path"), F.col(kind).alias("length")).where("length > 0")
+        return read_listed(found, width, block).withColumn("file", F.expr(f"left(file, length(file) - {len(kind) + 1})"))
 
     def order(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for file, first, data in zip(*(common.blobs(batch, k) for k in ("file", "block", "data")), strict=True):
-                ids = np.frombuffer(data, np.int64)
+            for file, number, data in zip(*(common.blobs(batch, k) for k in ("file", "block", "data")), strict=True):
+                ids = np.frombuffer(data, "<i8")
+                first = number * block
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), file)), pa.array(np.arange(first, first + len(ids))), pa.array(ids, mask=ids == _NONE)],
+                    [pa.array([file] * len(ids)), pa.array(np.arange(first, first + len(ids))), pa.array(ids, mask=ids == _NONE)],
                     names=["file", "ordinal", "doc_id"],
                 )
 
-    names = files.where("kind = 'ids'").select("file", "block", "data").mapInArrow(order, "file long, ordinal long, doc_id long")
+    counts = scan(blocks("tokens", WIDTH), end)
+    names = blocks("ids", 8).mapInArrow(order, "file string, ordinal long, doc_id long")
     return names.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 

@@ -1,9 +1,12 @@
 """Lempel-Ziv fingerprints against a plain parse; token counts against the tokenizer."""
 
 import hashlib
+import re
 
 import numpy as np
+import pytest
 from llm import lz_fingerprint as lz, token_counts
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from tests.llm.conftest import edge_texts, frame, words
 
@@ -65,10 +68,34 @@ def test_equal_texts_have_equal_fingerprints(edges):
 def test_token_counts(edges, empty):
     encode = token_counts._encoding(token_counts.TOKENIZER, token_counts.PATTERN).encode_ordinary
     want = sorted(((i, len(encode(t or ""))) for i, t in edge_texts()), key=repr)
-    assert sorted((tuple(r) for r in token_counts.document_tokens(edges).collect()), key=repr) == want
+    for block in (3, token_counts.BLOCK):
+        assert sorted((tuple(r) for r in token_counts.document_tokens(edges, block=block).collect()), key=repr) == want
     assert token_counts.document_tokens(empty).count() == 0
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\u3000", " \t\x85"])
+def test_long_runs_are_cut_where_the_pattern_cuts(monkeypatch, blank):
+    plain = token_counts._encoding(token_counts.TOKENIZER, token_counts.PATTERN).encode_ordinary
+    monkeypatch.setattr(token_counts, "_LONG", re.compile(f"[{token_counts._BLANKS}]{{2,}}"))
+    encode = token_counts.encoder()
+    for n in (0, 1, 2, 3, 7, 500):
+        run = blank * n
+        for text in (run, f"a{run}b", f"{run}1", f"x.{run}", f"it's{run}'s{run}!?{run}Ü {run}\x1c{run}", f"\x1f{run}\x1fz"):
+            assert encode(text) == plain(text), (n, text[:20])
+
+
+def test_very_long_blank_run(spark):
+    texts = [(1, "a" + " " * 2_000_000 + "b"), (2, " " * 1_000_000), (3, "c")]
+    got = dict(map(tuple, token_counts.document_tokens(spark.createDataFrame(texts, "doc_id long, text string")).collect()))
+    piece = token_counts._encoding(token_counts.TOKENIZER, token_counts.PATTERN)._encode_single_piece
+    assert got == {1: 2 + len(piece(" " * 1_999_999)), 2: len(piece(" " * 1_000_000)), 3: 1}
+
+
+def test_identifiers_that_do_not_fit(spark, edges, tmp_path):
+    with pytest.raises(PySparkException, match="do not fit"):
+        token_counts.write_token_files(edges, str(tmp_path), width=1)
+
+
 def test_scan_stitches_over_blocks(spark, tmp_path):
     draw = np.random.default_rng(4)
     lengths = [0, 0, 5, 100, 1, 0, 37, 64, 63, 65, 1000, 0]
