@@ -130,3 +130,34 @@ def test_token_files_are_read_by_ranges(spark, tmp_path):
         assert [r.block for r in mine] == list(range(31))
         assert b"".join(r.data for r in mine) == own.tobytes() and len({r.task for r in mine}) > 1
     assert not any(r.file.endswith("empty") for r in rows)
+
+
+def plain_mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 % 2**64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def plain_fingerprint(text):
+    """Phrases one by one, and the least hash of each of 128 parts; an empty part asks the next full one."""
+    data, parts, start = text.encode(), {}, 0
+    for end in phrase_ends(data):
+        value = plain_mix(sum((b + 1) * pow(0x9E3779B97F4A7C15, at, 2**64) for at, b in enumerate(data[start:end])) % 2**64)
+        parts[value >> 57] = min(value, parts.get(value >> 57, value))
+        start = end
+    out = bytearray()
+    for part in range(128):
+        distance = next((d for d in range(128) if (part + d) % 128 in parts), None)
+        if distance is None:
+            return ""
+        out.append(plain_mix((parts[(part + distance) % 128] + distance * 0x9E3779B97F4A7C15) % 2**64) & 0xFF)
+    return out.hex()
+
+
+@pytest.mark.parametrize("chunk", [1, 13, 1 << 18])
+def test_fingerprint_against_a_plain_one(monkeypatch, chunk):
+    monkeypatch.setattr(lz, "CHUNK", chunk)
+    for text in ("", "a", "na na na", "Ünï çödé", " ".join(words(3, 300)), "x" * 3000, "".join(map(chr, range(1, 900)))):
+        assert lz.fingerprint(text) == plain_fingerprint(text)
