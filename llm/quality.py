@@ -4,15 +4,16 @@ One classifier sees the text's content (words, signs, function words,
 repetition), the other the page's metadata (source, language, size, layout, stored
 size, and address and markup of the page of that id where ``pages`` has one).
 Both start from a seeded, bounded sample of labels. In each of ``ROUNDS`` rounds
-each view names the pool documents that it is surest of, and the *other* view
-learns them as further labels. Each view is then calibrated on labels that
-neither has learned, and the calibrated log odds are added to score every
-document.
+each view scores all documents without a label and names the ``EXCHANGED`` of each
+class that it is surest of, and the *other* view learns them as further labels.
+Each view is then calibrated on labels that neither has learned, and the
+calibrated log odds are added to score every document.
 
 Defined results: null and empty texts get the features of no words; missing
 metadata counts as 0; several labels of one document count as good if one does;
 without labels of both classes every score is the share of good ones (0.5
-without any); of several pages with one id the largest values count; repeated
+without any); of several pages with one id the largest values count; equally sure
+documents are taken by their hash, and rows equal in id and text as one; repeated
 documents each get their row.
 """
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -30,11 +31,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from . import common
 
-#: Most labelled rows and most unlabelled pool rows that are fitted on.
+#: Most labelled rows that are fitted on.
 TRAINING = 16_000
-POOL = 8_000
 ROUNDS = 3
-#: Pool documents that a view hands over per round and class at most, and how sure it has to be.
+#: Documents that a view hands over per round and class, the surest of all, and how sure it has to be.
 EXCHANGED, SURE = 400, 0.95
 SEED = "quality"
 BUCKETS = 16
@@ -163,33 +163,55 @@ class View:
         return self
 
 
+#: The surest documents in a view's eyes: (view number, view, good or not, how many) to
+#: (key, both views' features) of each, surest first.
+Surest = Callable[[int, View, bool, int], list[tuple[object, tuple[np.ndarray, np.ndarray]]]]
+
+
 def co_train(
     labelled: tuple[np.ndarray, np.ndarray, np.ndarray], check: tuple[np.ndarray, np.ndarray, np.ndarray],
-    pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS,
+    surest: Surest, rounds: int = ROUNDS, exchanged: int = EXCHANGED,
 ) -> tuple[View, View]:
-    """Both views after ``rounds`` exchanges; each tuple holds both views' rows (and labels)."""
+    """Both views after ``rounds`` exchanges; each tuple holds both views' rows (and labels).
+
+    What a view has been given once it is not given again; so many more are asked for.
+    """
     ends = []
     own = [(labelled[v], labelled[2]) for v in (0, 1)]
-    free = [np.ones(len(pool[0]), bool) for _ in (0, 1)]
+    taken: list[set] = [set(), set()]
     for turn in range(rounds + 1):
         ends = [View(labelled[v]).fit(*own[v]).calibrate(check[v], check[2]) for v in (0, 1)]
-        if turn == rounds or not len(pool[0]):
+        if turn == rounds:
             break
         given = []
         for v in (0, 1):
-            odds, other = ends[v].odds(pool[v]), 1 - v
-            for good in (1.0, 0.0):
-                sure = (odds if good else -odds)
-                places = np.flatnonzero(free[other] & (sure >= math.log(SURE / (1 - SURE))))
-                places = places[np.argsort(-sure[places], kind="stable")][:EXCHANGED]
-                free[other][places] = False
-                given.append((other, places, good))
-        for other, places, good in given:
-            x, y = own[other]
-            own[other] = (np.vstack([x, pool[other][places]]), np.concatenate([y, np.full(len(places), good)]))
+            other = 1 - v
+            for good in (True, False):
+                new = {}
+                for key, x in surest(v, ends[v], good, exchanged + len(taken[other])):
+                    if key not in taken[other] and len(new) < exchanged:
+                        new.setdefault(key, x[other])
+                taken[other] |= set(new)
+                given.append((other, list(new.values()), float(good)))
+        for other, found, good in given:
+            if found:
+                x, y = own[other]
+                own[other] = (np.vstack([x, found]), np.concatenate([y, np.full(len(found), good)]))
     return ends[0], ends[1]
 
 
+def surest_of(rows: DataFrame) -> Surest:
+    """Named from all of ``rows``: one pass each time, and the asked number of rows to the driver."""
+
+    def name(v: int, view: View, good: bool, most: int) -> list:
+        odds = _linear(view, ("content", "page")[v])
+        sure = rows.withColumn("sure", odds if good else -odds).where(F.col("sure") >= math.log(SURE / (1 - SURE)))
+        found = sure.orderBy(F.col("sure").desc(), "text_hash", "doc_id").limit(most).collect()
+        return [((r.doc_id, r.text_hash), (np.array(r.content), np.array(r.page))) for r in found]
+
+    return name
+
+
 def _linear(view: View, column: str) -> Column:
     terms = [
         F.greatest(F.lit(-8.0), F.least(F.lit(8.0), (F.col(column)[at] - float(m)) / float(s))) * float(w)
@@ -199,7 +221,7 @@ def _linear(view: View, column: str) -> Column:
 
 
 def score(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, training: int = TRAINING,
-          pool: int = POOL, seed: str = SEED) -> DataFrame:
+          seed: str = SEED) -> DataFrame:
     """doc_id, text_hash, content_score, page_score and score (0 to 1, higher: better) of every document."""
     rows = common.stage(views(docs, pages), "quality-features")
     known = (
@@ -207,7 +229,7 @@ def score(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, tr
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.max(F.when(F.col("quality") > 0, 1).otherwise(0)).alias("quality"))
     )
-    # Bounded samples by seeded order: ``training`` and ``pool`` rows reach the driver.
+    # A bounded sample by seeded order: ``training`` rows reach the driver.
     learned = known.where(~common.held_out(5, 0)).withColumn("key", common.seeded(seed))
     chosen = common.stage(common.at_most(learned, training, "key", "doc_id"), "quality-labels")
     fitted = common.at_most(rows.join(F.broadcast(chosen), "doc_id"), training, "key", "text_hash").collect()
@@ -217,12 +239,10 @@ def score(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, tr
     if len(set(y[part])) < 2 or len(set(y[~part])) < 2:
         share = F.lit(0.5 if good is None else float(good))
         return rows.select("doc_id", "text_hash", *[share.alias(n) for n in ("content_score", "page_score", "score")])
-    spare_rows = rows.join(known.select("doc_id"), "doc_id", "left_anti").withColumn("key", common.seeded(f"{seed}-pool"))
-    free = common.at_most(spare_rows, pool, "key", "text_hash").select("content", "page").collect()
+    spare = rows.join(known.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id", "text_hash"])
     both = [np.array([r[k] for r in fitted]) for k in ("content", "page")]
-    spare = [np.array([r[k] for r in free]).reshape(-1, both[v].shape[1]) for v, k in enumerate(("content", "page"))]
     content, page = co_train(
-        (both[0][part], both[1][part], y[part]), (both[0][~part], both[1][~part], y[~part]), (spare[0], spare[1])
+        (both[0][part], both[1][part], y[part]), (both[0][~part], both[1][~part], y[~part]), surest_of(common.stage(spare, "quality-unlabelled"))
     )
     prior = float(np.log(y.mean() / (1 - y.mean())))
     chance = lambda odds: 1 / (1 + F.exp(-odds))

@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 from llm import common, language, quality, toxicity
 from pyspark.sql import functions as F
@@ -97,13 +98,45 @@ def test_quality(corpus, edges, empty, spark):
     assert quality.score(edges, labels).count() == len(edge_texts())
 
 
-def test_views_teach_each_other():
-    import numpy as np
+def plain_surest(keys, pool):
+    """Every document looked at, on the driver."""
+
+    def name(v, view, good, most):
+        odds = view.odds(pool[v]) if good else -view.odds(pool[v])
+        order = sorted((k for k in range(len(odds)) if odds[k] >= np.log(0.95 / 0.05)), key=lambda k: (-odds[k], keys[k]))
+        return [(keys[k], (pool[0][k], pool[1][k])) for k in order[:most]]
+
+    return name
+
+
+def test_exchange_looks_at_all_documents(spark, corpus):
+    """Spark's surest documents are those of a plain look at every row, round by round, repeated rows once."""
+    docs, labels = corpus
+    rows = quality.views(docs).cache()
+    held = sorted(rows.collect(), key=lambda r: (r.text_hash, r.doc_id))
+    truth = {r.doc_id: float(r.quality) for r in labels.collect()}
+    known, check, pool = held[:60], held[60:160], held[160:]
+
+    def both(part):
+        return tuple(np.array([r[n] for r in part]) for n in ("content", "page"))
+
+    y = [np.array([truth[r.doc_id] for r in part]) for part in (known, check)]
+    spare = spark.createDataFrame(pool + pool[:50], rows.schema).dropDuplicates(["doc_id", "text_hash"]).repartition(5)
+    keys = [(r.doc_id, r.text_hash) for r in pool]
+    pairs = [
+        quality.co_train((*both(known), y[0]), (*both(check), y[1]), surest, exchanged=7)
+        for surest in (quality.surest_of(spare), plain_surest([(h, d) for d, h in keys], both(pool)))
+    ]
+    for ours, plain in zip(*pairs, strict=True):
+        assert np.allclose(ours.weights, plain.weights, atol=1e-7) and abs(ours.shift - plain.shift) < 1e-7
 
+
+def test_views_teach_each_other():
     draw = np.random.default_rng(3)
     y = (draw.random(3000) < 0.5).astype(float)
     a, b = (np.stack([y * 4 + draw.normal(size=3000), draw.normal(size=3000)], 1) for _ in (0, 1))
     few, check, pool = slice(0, 14), slice(14, 200), slice(200, 3000)
-    ends = [quality.co_train((a[few], b[few], y[few]), (a[check], b[check], y[check]), (a[pool], b[pool]), rounds=r) for r in (0, 3)]
+    surest = plain_surest(range(2800), (a[pool], b[pool]))
+    ends = [quality.co_train((a[few], b[few], y[few]), (a[check], b[check], y[check]), surest, rounds=r) for r in (0, 3)]
     right = [np.mean((e[1].odds(b[pool]) > 0) == (y[pool] > 0)) for e in ends]
     assert right[1] >= right[0] and right[1] > 0.95
