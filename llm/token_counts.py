@@ -233,7 +233,9 @@ def document_tokens(
 
     def blocks(kind: str, width: int) -> DataFrame:
         found = files.select(F.concat("file", F.lit(f".{kind}")).alias("path"), F.col(kind).alias("length")).where("length > 0")
-        return read_listed(found, width, block).withColumn("file", F.expr(f"left(file, length(file) - {len(kind) + 1})"))
+        # A file is known by the number of the attempt that wrote it.
+        number = F.regexp_extract("file", rf"([0-9]+)\.{kind}$", 1).cast("long")
+        return read_listed(found, width, block).withColumn("file", number)
 
     def order(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -241,13 +243,14 @@ def document_tokens(
                 ids = np.frombuffer(data, "<i8")
                 first = number * block
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([file] * len(ids)), pa.array(np.arange(first, first + len(ids))), pa.array(ids, mask=ids == _NONE)],
+                    [pa.array(np.full(len(ids), file)), pa.array(np.arange(first, first + len(ids))), pa.array(ids, mask=ids == _NONE)],
                     names=["file", "ordinal", "doc_id"],
                 )
 
     counts = scan(blocks("tokens", WIDTH), end)
-    names = blocks("ids", 8).mapInArrow(order, "file string, ordinal long, doc_id long")
-    return names.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    names = blocks("ids", 8).mapInArrow(order, "file long, ordinal long, doc_id long")
+    # Spark takes what is read from a list of files for as small as the list; both sides are large.
+    return names.hint("merge").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
