@@ -28,9 +28,13 @@ def direct(
     numbers: list[int] | None = None,
     include_notes: bool = False,
 ) -> DataFrame:
-    """Page table of the decks in a folder, read from their XML."""
+    """Page table of the decks in a folder, read from their XML.
+
+    Written once: Spark takes what is read from a list of files for as small as the
+    list, and might send it whole to every task of a later join.
+    """
     prepare(spark)
-    return decks.read_decks(spark, folder, include_notes, numbers=numbers)
+    return stage(decks.read_decks(spark, folder, include_notes, numbers=numbers), "deck-pages")
 
 
 def run_pages(
