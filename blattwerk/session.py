@@ -9,6 +9,8 @@ import uuid
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+from blattwerk.sources import stores
+
 # Runtime SQL settings the operators rely on.
 SETTINGS = {
     # A repeated key in a JSON reply keeps its last value.
@@ -55,8 +57,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def own_folder(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables."""
+    return f"{shared_folder(spark)}/blattwerk/{spark.sparkContext.applicationId}"
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/blattwerk/{name}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application, once its results are written elsewhere.
+
+    Nothing is removed on the way, as a lost executor may ask for any of them. Folders
+    in a store that Arrow does not open are left to its own rules.
+    """
+    folder = own_folder(spark)
+    if stores.reachable(folder):
+        store, key = stores.located(stores.full(folder))
+        if store.get_file_info([key])[0].type == stores.fs.FileType.Directory:
+            store.delete_dir(key)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from blattwerk import session
 from blattwerk.operators import documents, pages as ops
 from blattwerk.plans import runs
 from blattwerk.sinks import row_files, writers
@@ -151,3 +152,14 @@ def test_a_source_with_most_pages_is_dealt_out(spark):
     found = grouped.where("method = 'm/1'").select("source", "first_page", "slide_number").collect()
     assert len(found) == 40_000 and all(first[r.source] == r.first_page for r in found)
     assert documents.vector_ready_blocks(plain, "slide_number").count() == 40_000 + len(first)
+
+
+def test_intermediate_tables_are_cleared_at_the_end(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    other = tmp_path / "blattwerk" / "other-application" / "table"
+    other.mkdir(parents=True)
+    assert session.stage(spark.range(3), "three").count() == 3
+    assert os.path.isdir(session.own_folder(spark))
+    session.clear(spark)
+    session.clear(spark)
+    assert not os.path.exists(session.own_folder(spark)) and other.is_dir()
