@@ -132,6 +132,15 @@ def image_records(images: DataFrame) -> DataFrame:
     )
 
 
+def image_page_records(pages: DataFrame) -> DataFrame:
+    """Pages that are one image each: numbered in path order over all of them, titled by file stem.
+
+    Numbers are made on the paths alone; the other columns are joined once.
+    """
+    numbers = image_records(pages.select(F.col("document").alias("path")).distinct()).withColumnRenamed("path", "document")
+    return pages.drop("page", "title").join(numbers, "document").select(*pages.columns)
+
+
 def pdf_records(pages: DataFrame) -> DataFrame:
     """Pages of PDFs renumbered from 1 and titled ``<stem>_page_<number>``."""
     number = F.col("number").cast("string")

@@ -48,16 +48,19 @@ def run_pages(
     model: str | None = None,
     titles: bool = False,
     replies: str | None = None,
+    records: str | None = None,
 ) -> DataFrame:
     """Page table from page images ``(document, page, content)``.
 
     ``engine_kind`` is one of ``fixed.ENGINE_KINDS``; ``label`` replaces the
     usual method label of the records. Only the chosen pages reach the engine. Replies are
     written once; a failed page keeps its error. ``replies`` names a table of replies that
-    later runs find again (see ``apply_engine``).
+    later runs find again (see ``apply_engine``). ``records`` is ``pdf`` or ``image`` for
+    runs on those, which number and title their pages themselves.
     """
     if engine_kind not in fixed.ENGINE_KINDS:
         raise ValueError(f"Unbekannte Engine: {engine_kind}")
+    numbered = {None: lambda pages: pages, "pdf": page_ops.pdf_records, "image": page_ops.image_page_records}[records]
     prepare(images.sparkSession)
     chosen = page_ops.select_pages(images, numbers)
     settings = [F.lit(value).cast("string") for value in (engine_kind, provider, model, mode)]
@@ -72,7 +75,7 @@ def run_pages(
     ).select(method.alias("method"), "document", "page", "request")
     answered = stage(apply_engine(asked, engine, strip=engine_kind == "glm", replies=replies), "page-replies")
     content = F.coalesce("reply", F.lit(""))
-    return answered.select(
+    found = answered.select(
         *PAGE_KEY,
         (markdown_title(content) if titles else F.lit("")).alias("title"),
         content.alias("content"),
@@ -84,6 +87,7 @@ def run_pages(
         estimate_tokens(content).alias("tokens"),
         F.col("reply_error").alias("error"),
     )
+    return numbered(found)
 
 
 def vector_ready_pages(

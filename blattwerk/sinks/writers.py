@@ -89,12 +89,19 @@ def write_invoice_run(items: DataFrame, path: str, settings: dict[str, object])
 
 
 def write_benchmark_data(
-    summary: DataFrame, pages: DataFrame | None, path: str, input_kind: str = "deck"
+    summary: DataFrame, pages: DataFrame, path: str, input_kind: str = "deck", inputs: DataFrame | None = None
 ) -> None:
-    """Results per method and, but for images, the page records of each method."""
+    """Results per method, the input files and, but for images, the page records of each method.
+
+    ``inputs`` are the files as ``path``; without them, the documents of the pages. Their
+    folder is ``images`` or ``file``, after the kind of input.
+    """
+    if inputs is None:
+        inputs = pages.select(F.col("document").alias("path")).distinct()
+    inputs.select("path").write.json(f"{path}/{'images' if input_kind == 'image' else 'file'}")
     summary.coalesce(1).write.json(f"{path}/results")
     folder = {"deck": "slides", "pdf": "pages"}.get(input_kind)
-    if pages is not None and folder:
+    if folder:
         pages.select(
             F.col("method").alias("by_method"), "document", page_record().alias("r")
         ).select("by_method", "document", "r.*").write.partitionBy("by_method").json(f"{path}/{folder}")

@@ -152,10 +152,10 @@ def benchmark_report(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "write_benchmark_data",
     f"""{TOTALS}, summary AS ({SUMMARY}) SELECT v_records.method, document, page AS slide_number, content, total_slides,
-      total_chars, estimated_cost_usd FROM v_records JOIN summary USING (method)""",
+      total_chars, estimated_cost_usd, true AS is_input FROM v_records JOIN summary USING (method)""",
 )
 def write_benchmark_data(spark: SparkSession, folder: str) -> DataFrame:
-    """Results and pages of a comparison, written and read back."""
+    """Results, inputs and pages of a comparison, written and read back."""
     path = new_table_path(spark, "benchmark")
     pages = inputs.records(spark, folder)
     summary = comparing.method_summary(pages, **SETTINGS)
@@ -165,7 +165,10 @@ def write_benchmark_data(spark: SparkSession, folder: str) -> DataFrame:
         "document string, slide_number int, content string, by_method string"
     ).json(f"{path}/slides")
     totals = results.select("method", "total_slides", "total_chars", "estimated_cost_usd")
-    return slides.withColumnRenamed("by_method", "method").join(totals, "method")
+    given = spark.read.schema("path string").json(f"{path}/file").select(
+        F.col("path").alias("document"), F.lit(True).alias("is_input")
+    )
+    return slides.withColumnRenamed("by_method", "method").join(totals, "method").join(given, "document", "left")
 
 
 # --- Two-task comparison ------------------------------------------------------------------------

@@ -8,6 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from blattwerk.operators import comparing
 from blattwerk.operators.engine import Engine
 from blattwerk.plans import runs
 from blattwerk.sinks import writers
@@ -249,6 +250,29 @@ def test_run_with_titles_and_chosen_pages(images):
     assert sorted((r.document, r.title) for r in rows) == [("a.jpg", "Kopf"), ("b", "")]
 
 
+def test_runs_on_images_and_pdfs_number_their_pages(spark, images):
+    single = images.where("content <> encode('b1', 'UTF-8')").select(
+        F.concat(F.lit("in/"), "document", F.lit("-"), F.col("page"), F.lit(".png")).alias("document"), F.lit(1).alias("page"), "content"
+    )
+    rows = runs.run_pages(single, READ, "glm", "free", records="image").orderBy("page").collect()
+    assert [(r.document, r.page, r.title, r.content) for r in rows] == [
+        ("in/a.jpg-1.png", 1, "a.jpg-1", "# Kopf"), ("in/b-2.png", 2, "b-2", ""), ("in/b-3.png", 3, "b-3", "b3"),
+    ]
+    pages = images.where("page > 1").withColumn("document", F.concat("document", F.lit(".pdf")))
+    rows = runs.run_pages(pages, READ, "deepseek", "free", records="pdf").orderBy("page").collect()
+    assert [(r.document, r.page, r.title) for r in rows] == [("b.pdf", 1, "b_page_001"), ("b.pdf", 2, "b_page_002")]
+    with pytest.raises(KeyError):
+        runs.run_pages(pages, READ, "glm", "free", records="deck")
+
+
+def test_benchmark_inputs_are_written(spark, tmp_path):
+    rows = page_rows(spark)
+    for kind, folder in (("deck", "file"), ("image", "images")):
+        writers.write_benchmark_data(comparing.method_summary(rows), rows, str(tmp_path / kind), kind)
+        assert sorted(r.path for r in spark.read.json(str(tmp_path / kind / folder)).collect()) == ["a", "b"]
+    assert (tmp_path / "deck" / "slides").is_dir() and not (tmp_path / "image" / "slides").exists()
+
+
 def test_invoice_run(spark, images, tmp_path):
     out = str(tmp_path / "run")
     items, summary = runs.invoice_run(images, READ, INVOICE, out, settings={"input_dir": "r"})
@@ -259,7 +283,7 @@ def test_invoice_run(spark, images, tmp_path):
     assert header.ocr.backend == "transformers" and header.input_dir == "r" and summary.head().total_files == 2
 
 
-def test_local_benchmark(spark, images):
+def test_local_benchmark(spark, images, tmp_path):
     truth = spark.createDataFrame(
         [("b.pdf", "Belegnummer", "B3"), ("b.pdf", "Währung", "x")], "file string, key string, value string"
     )
@@ -282,6 +306,24 @@ def test_local_benchmark(spark, images):
     }
     lines = [r.line for r in result.report.collect()]
     assert "- Handschrift-Dateien: 2" in lines and "- Rechnungs-PDFs: 2" in lines
+    assert {k.key: (k.pred, k.truth, k.exact_match) for k in items["glm", "in/b.pdf"].per_key} == {
+        "Belegnummer": ("b3", "B3", True), "Währung": ("", "x", False),
+    }
+    assert result.header == {
+        "inputs": {"handwriting_dir": "h", "invoices_dir": "r"}, "methods": ["deepseek", "glm"],
+        "llm": {"provider": "openai", "model": "(default)"},
+    }
+    result.write(str(tmp_path / "bench"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "bench" / "inputs")).select("task", "path").collect())) == [
+        (task, path) for task in ("handwriting", "invoices") for path in ("in/a.jpg", "in/b.pdf")
+    ]
+    assert json.loads(text_of(tmp_path / "bench" / "run")) == result.header
+
+
+def test_methods_keep_the_asked_order(spark, images):
+    result = runs.local_benchmark(images, images, {"deepseek": READ, "glm": READ}, QUOTE, INVOICE, methods=["glm", "deepseek"])
+    rows = result.report.orderBy(*comparing.REPORT_ORDER).collect()
+    assert [r.method for r in rows if r.section == 3] == ["glm", "deepseek"] and result.header["methods"] == ["glm", "deepseek"]
 
 
 def test_unknown_method_is_an_error():
