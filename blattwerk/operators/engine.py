@@ -159,24 +159,23 @@ def apply_engine(
 
     @F.pandas_udf(schemas.REPLY)
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting: deque[tuple[pd.DataFrame, list[int]]] = deque()
-        asked: deque[tuple[pd.DataFrame, list[int], int, dict]] = deque()
+        # Replies of an Arrow batch by place, and how many are still asked for.
+        waiting: deque[tuple[list[tuple], list[int]]] = deque()
+        asked: deque[tuple[list[tuple], list[int], int, dict]] = deque()
 
         def ask(count: int) -> None:
             batch = [asked.popleft() for _ in range(count)]
             answers = _answer(_worker(key, code), [record for *_, record in batch], retries, timeout)
             for (out, left, at, _), (text, seconds, error) in zip(batch, answers, strict=True):
-                out.iloc[at] = (text.strip() if strip and text is not None else text, seconds, error)
+                out[at] = (text.strip() if strip and text is not None else text, seconds, error)
                 left[0] -= 1
 
         def done() -> Iterator[pd.DataFrame]:
             while waiting and not waiting[0][1][0]:
-                yield waiting.popleft()[0].astype({"seconds": float})
+                yield pd.DataFrame(waiting.popleft()[0], columns=["text", "seconds", "error"]).astype({"seconds": float})
 
         for frame in batches:
-            out = pd.DataFrame(
-                {"text": "", "seconds": 0.0, "error": None}, index=range(len(frame)), dtype=object
-            )
+            out = [("", 0.0, None)] * len(frame)
             places = [at for at, prompt in enumerate(frame["prompt"]) if prompt is not None]
             left = [len(places)]
             waiting.append((out, left))
