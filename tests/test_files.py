@@ -110,6 +110,19 @@ def with_media(whole, size):
     return out.getvalue()
 
 
+def test_many_small_decks_share_a_task(spark, tmp_path):
+    for n in range(200):
+        (tmp_path / f"{n}.pptx").write_bytes(made.deck([[made.shape([f"Text {n}"])], [made.shape(["Ende"])]]))
+    (tmp_path / "kaputt.pptx").write_bytes(b"kaputt")
+    pages = decks.file_slides(files.list_files(spark, str(tmp_path)))
+    assert pages.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    rows = pages.collect()
+    assert len(rows) == 401 and sum(r.error is not None for r in rows) == 1
+    assert {(r.document.rsplit("/", 1)[-1], r.page, *r.texts) for r in rows if r.error is None} == {
+        (f"{n}.pptx", page, text) for n in range(200) for page, text in ((1, f"Text {n}"), (2, "Ende"))
+    }
+
+
 def test_a_deck_is_read_by_ranges(spark, tmp_path):
     slides = [[made.shape([f"Text {n}"])] for n in range(1, 301)]
     whole = with_media(made.deck(slides), 20_000_000)
