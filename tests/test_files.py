@@ -5,6 +5,8 @@ import json
 import random
 import zipfile
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +125,31 @@ def test_many_small_decks_share_a_task(spark, tmp_path):
     }
 
 
+def test_decks_are_built_few_at_a_time():
+    frame = pd.DataFrame({"conv_id": range(1000), "turn": 0, "role": "user", "text": "Text"})
+    parts = list(made.built([frame, frame[:0]]))
+    assert max(map(len, parts)) <= made.DECKS_PER_BATCH
+    whole = pd.concat(parts, ignore_index=True)
+    assert list(whole.path) == [f"in/deck{n}_0.pptx" for n in range(1000)]
+    assert whole.content[7] == made.conversation_deck(7, 0, "user", "Text")
+    large = pd.DataFrame({"conv_id": range(4), "turn": 0, "role": "user", "text": random.Random(1).randbytes(2 << 20).hex()})
+    assert [len(part) for part in made.built([large])] == [2, 2]
+
+
+def test_slides_go_back_by_size(monkeypatch):
+    class Batches:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, unpack, schema):  # noqa: N802
+            return unpack
+
+    monkeypatch.setattr(decks, "CHARACTERS_PER_BATCH", 1000)
+    one = made.deck([[made.shape(["x" * 600])], [made.shape(["y" * 600])], [made.shape(["z"])]])
+    given = pa.RecordBatch.from_pydict({"path": ["a", "b"], "content": [one, one]})
+    assert [b.num_rows for b in decks.raw_slides(Batches())([given])] == [2, 3, 1]
+
+
 def test_a_deck_is_read_by_ranges(spark, tmp_path):
     slides = [[made.shape([f"Text {n}"])] for n in range(1, 301)]
     whole = with_media(made.deck(slides), 20_000_000)
