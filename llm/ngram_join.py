@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common, repeats
-from .components import components
+from .components import components, few
 
 WORDS = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -192,7 +192,8 @@ def class_links(sets: DataFrame) -> DataFrame:
         .where((F.col("x") != F.col("y")) & _near("nx", "ny") & _enough_left())
         .select("x", "y", "nx", "ny").distinct()
     )
-    found = common.stage(_links(common.stage(stars, "pairs", free=True), classes), "class-links", free=True)
+    stars = common.stage(stars, "pairs", free=True)
+    found = common.stage(few(_links(stars, classes), stars.count()), "class-links", free=True)
     joined = common.stage(components(found), "star-components")
     # Pairs with a common shingle that are still apart. If x is not larger than y, their
     # first common shingle stands early enough in x for an overlap of 8/9 of x.
@@ -224,7 +225,8 @@ def class_links(sets: DataFrame) -> DataFrame:
         .where(((F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))) & _near("nx", "ny") & _enough_left())
         .select("x", "y", "nx", "ny").distinct()
     )
-    more = common.stage(_links(common.stage(pairs, "pairs"), classes), "class-links")
+    pairs = common.stage(pairs, "pairs")
+    more = common.stage(few(_links(pairs, classes), pairs.count()), "class-links")
     if more.isEmpty():
         return joined
     whole = joined.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(more)

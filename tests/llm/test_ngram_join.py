@@ -97,3 +97,27 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 150)] + [(149, 200)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys([*range(100, 150), 200], 100)}
+
+
+def test_rounds_write_few_files(spark, monkeypatch):
+    tasks = {}
+    stage = components.common.stage
+
+    def counted(df, name, free=False):
+        out = stage(df, name, free)
+        tasks.setdefault(name, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(components.common, "stage", counted)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        edges = spark.createDataFrame([(n, n + 1) for n in range(300) if n % 10], "a long, b long")
+        got = {r.node: r.component for r in components.components(edges).collect()}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert len(got) == 300 and all(least == (node - 1) // 10 * 10 + 1 for node, least in got.items())
+    assert len(tasks["links"]) > 1 and max(tasks["links"]) <= spark.sparkContext.defaultParallelism
