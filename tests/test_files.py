@@ -131,12 +131,12 @@ def test_decks_are_built_few_at_a_time():
     assert max(map(len, parts)) <= made.DECKS_PER_BATCH
     whole = pd.concat(parts, ignore_index=True)
     assert list(whole.path) == [f"in/deck{n}_0.pptx" for n in range(1000)]
-    assert whole.content[7] == made.conversation_deck(7, 0, "user", "Text")
+    assert [slide["texts"][0] for slide in decks._slides(whole.content[7], None)] == ["Text", "Ende"]
     large = pd.DataFrame({"conv_id": range(4), "turn": 0, "role": "user", "text": random.Random(1).randbytes(2 << 20).hex()})
     assert [len(part) for part in made.built([large])] == [2, 2]
 
 
-def test_slides_go_back_by_size(monkeypatch):
+def test_slides_go_back_by_size(spark, monkeypatch):
     class Batches:
         def select(self, *names):
             return self
